@@ -1,4 +1,571 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, one or more for each operator, and SQL with the same results.
 
-QUERIES = {}
-ORACLES = {}
+The tables stand in for bibliographic ones: parts are titles with a publisher and
+a number, orders are issues with dates, line items are pages, vectors are pixel
+rows.  Every query reads whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scriptorium.functions import ark, fuzzy, ranges, text
+from scriptorium.operators import imaging, matching, pages, report, store
+from scriptorium.sources import bibtex, markup, ris
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _arr(c, sep: str = ",") -> F.Column:
+    return F.array_join(c.cast("array<string>"), sep)
+
+
+# --- text -----------------------------------------------------------------
+
+
+@_query(r"""SELECT doc_id, CASE WHEN length(text) > 0 THEN regexp_replace(lower(text), '^[\s\x0B\x1c-\x1f]+|[\s\x0B\x1c-\x1f]+$', '', 'g') END AS plain
+FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')""")
+def normalize_text(t):
+    return t("documents").where(F.col("text").rlike(text.ASCII)).select("doc_id", text.plain(F.col("text")).alias("plain"))
+
+
+@_query()
+def normalize_unicode(t):
+    return t("documents").select("doc_id", F.length(text.plain(F.col("text"))).cast("long").alias("n_plain"))
+
+
+_PAIRS = """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT a.p_name AS a, b.p_name AS b FROM n a, n b),
+steps AS (SELECT a, b, list_reduce(list_prepend([0 for _ in range(0, length(b) + 1)], list_transform(range(1, length(a) + 1), lambda i: [i])),
+ lambda above, i: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
+  lambda got, j: list_append(got, CASE WHEN substr(a, i[1], 1) = substr(b, j[1], 1) THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], got[j[1]]) END))) AS last FROM c)
+"""
+
+
+@_query(_PAIRS + "SELECT a, b, CAST(round_even(200.0 * last[-1] / (length(a) + length(b)), 0) AS INTEGER) AS ratio FROM steps")
+def name_similarity(t):
+    # the names are a closed list of some dozens, which stand against each other in full
+    names = t("part").select("p_name").distinct()
+    every = names.agg(F.collect_set("p_name").alias("bs"))
+    pairs = names.select(F.col("p_name").alias("a"), F.lit(1).alias("k")).join(every.withColumn("k", F.lit(1)), "k").select("a", F.explode("bs").alias("b"))
+    return pairs.select("a", "b", text.ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@_query("SELECT s_suppkey, s_name || ' (' || n_name || ')' AS long_name, substr(s_name, 1, 4) || ' (' || substr(n_name, 1, 4) || ')' AS short_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def record_names(t):
+    s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return s.select("s_suppkey", text.name(F.col("s_name"), F.col("n_name")).alias("long_name"), text.name(F.col("s_name"), F.col("n_name"), 4).alias("short_name"))
+
+
+_REPR = """'Article(publicationdate=' || CAST(1900 + p_size AS VARCHAR) || ', publisher=''' || p_brand || ''', ark=None, title=''' || p_name || ''', subtitle=None, journaltitle=''' || p_type
+ || ''', pages=[''' || CAST(p_size AS VARCHAR) || ''', ''' || CAST(p_size + 1 AS VARCHAR) || '''], author=''' || p_brand || ''', editor=None, number=None, volume=' || CAST(p_size AS VARCHAR) || ', physical_pages=None)'"""
+
+
+def _part_article() -> dict:
+    c = F.col
+    return {
+        "publicationdate": F.array(c("p_size") + 1900), "publisher": c("p_brand"), "title": c("p_name"), "journaltitle": c("p_type"), "author": c("p_brand"),
+        "pages": F.array(c("p_size").cast("string"), (c("p_size") + 1).cast("string")), "volume": F.array(c("p_size")), "number": F.lit(None).cast("array<int>"),
+    }
+
+
+@_query(f"SELECT p_partkey, sha1({_REPR}) AS record_key FROM part")
+def record_key(t):
+    return t("part").select("p_partkey", text.key(text.article_repr(_part_article())).alias("record_key"))
+
+
+@_query(r"""WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part)
+SELECT p_partkey, slug || CASE WHEN n = 1 THEN '' ELSE '-' || CAST(n - 1 AS VARCHAR) END || '.pdf' AS filename FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM s)""")
+def slug_filenames(t):
+    named = t("part").select("p_partkey", text.slug(text.name(F.col("p_name"), F.col("p_brand"))).alias("slug"))
+    return report.numbered_names(named, "slug", "p_partkey", ".pdf").select("p_partkey", "filename")
+
+
+@_query(r"""WITH s AS (SELECT s_suppkey, regexp_replace(lower(substr(s_name, 1, 14)), '[^a-z0-9]+', '-', 'g') AS stem FROM supplier)
+SELECT s_suppkey, stem || CASE WHEN n = 1 THEN '' ELSE '-' || CAST(n - 2 AS VARCHAR) END || '.pdf' AS filename FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY s_suppkey) AS n FROM s)""")
+def stem_filenames(t):
+    named = t("supplier").select("s_suppkey", text.slug(F.substring("s_name", 1, 14)).alias("stem"))
+    return report.numbered_names(named, "stem", "s_suppkey", ".pdf", first_number=0).select("s_suppkey", "filename")
+
+
+@_query(r"""WITH li AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS item FROM pages),
+e AS (SELECT page_id, item || '. - ' || item || '. x' AS line FROM li WHERE item <> '')
+SELECT page_id, line, trim(regexp_extract(line, '(.+?)\.* - (.+)', 1), ' ') AS author, trim(regexp_extract(line, '(.+?)\.* - (.+)', 2), ' ') AS title, count(*) AS n FROM e GROUP BY ALL""")
+def toc_entry_split(t):
+    items = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a></li>'), 1)).alias("item")).where("item <> ''")
+    lines = items.select("page_id", F.concat("item", F.lit(". - "), "item", F.lit(". x")).alias("line"))
+    author, title = text.toc_entry(F.col("line"))
+    return lines.select("page_id", "line", author.alias("author"), title.alias("title")).groupBy("page_id", "line", "author", "title").agg(F.count("*").alias("n"))
+
+
+# --- ranges ---------------------------------------------------------------
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(100 + p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN array_to_string(range(100 + p_size, 100 + p_size + p_size % 7 + 1), ',')
+ ELSE array_to_string(range(540 + p_size % 10, 551), ',') END AS expanded FROM part""")
+def range_expand_bib(t):
+    c, s = F.col("p_size"), lambda x: x.cast("string")
+    shown = F.when(F.col("p_partkey") % 3 == 0, s(c + 100)).when(F.col("p_partkey") % 3 == 1, F.concat(s(c + 100), F.lit("--"), s(c + 100 + c % 7))).otherwise(F.concat(s(c % 10 + 540), F.lit("-50")))
+    return t("part").select("p_partkey", F.array_join(ranges.bib_pages(shown), ",").alias("expanded"))
+
+
+@_query("SELECT p_partkey, array_to_string(list_concat(range(1130 + p_size % 10, 1158), [p_size]), ',') AS expanded FROM part")
+def range_deprettify(t):
+    c = F.col("p_size")
+    return t("part").select("p_partkey", _arr(ranges.deprettify(F.concat((c % 10 + 1130).cast("string"), F.lit("--57, "), c.cast("string")))).alias("expanded"))
+
+
+@_query("""WITH k AS (SELECT o_custkey, CAST(o_orderkey % 100 AS INTEGER) AS p FROM orders GROUP BY ALL),
+r AS (SELECT o_custkey, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS isle FROM k) GROUP BY o_custkey, isle),
+q AS (SELECT *, CAST(a AS VARCHAR) AS s, CAST(b AS VARCHAR) AS e FROM r)
+SELECT o_custkey, string_agg(s || '--' || CASE WHEN length(s) = length(e) THEN array_to_string(list_transform(range(1, length(e) + 1), lambda i: CASE WHEN substr(e, i, 1) <> substr(s, i, 1) THEN substr(e, i, 1) ELSE '' END), '') ELSE e END, ', ' ORDER BY a) AS pages
+FROM q GROUP BY o_custkey""")
+def range_prettify(t):
+    by = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set((F.col("o_orderkey") % 100).cast("int"))).alias("p"))
+    return by.select("o_custkey", ranges.pretty_pages(F.col("p").cast("array<string>")).alias("pages"))
+
+
+_ROMAN_SQL = "['','i','ii','iii','iv','v','vi','vii','viii','ix']"
+
+
+@_query(f"""SELECT p_size, ['','x','xx','xxx','xl','l'][p_size // 10 + 1] || {_ROMAN_SQL}[p_size % 10 + 1] AS roman, p_size AS back, count(*) AS n FROM part WHERE p_size BETWEEN 1 AND 59 GROUP BY p_size""")
+def roman_roundtrip(t):
+    sizes = t("part").groupBy("p_size").agg(F.count("*").alias("n")).withColumn("roman", ranges.to_roman(F.col("p_size")))
+    return sizes.where("p_size between 1 and 59").select("p_size", "roman", ranges.from_roman(F.upper("roman")).alias("back"), "n")
+
+
+@_query("""WITH d AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(o_orderkey % 40 AS INTEGER) AS v, CAST(o_custkey % 9 AS INTEGER) AS n FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(y AS VARCHAR) ELSE y || ',' || (y + 1) END AS years, CAST(v AS VARCHAR) AS volume,
+ CASE WHEN o_orderkey % 2 = 0 OR o_custkey % 9 = 0 THEN CAST(n AS VARCHAR) ELSE array_to_string(range(n, n + 3), ',') END AS numbers, o_orderkey % 2 = 1 AS year_is_list
+FROM d JOIN orders USING (o_orderkey)""".replace(" OR o_custkey % 9 = 0", ""))
+def describe_parse(t):
+    y, v, n = F.year("o_orderdate"), F.col("o_orderkey") % 40, F.col("o_custkey") % 9
+    one = lambda y, n: F.concat(y.cast("string"), F.lit("/10 (A4,T"), v.cast("string"), F.lit(",N"), n.cast("string"), F.lit(")"))
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(one(y, n), F.lit("."))).otherwise(F.concat(one(y, n), F.lit("-"), one(y + 1, n + 2), F.lit(".")))
+    got = ranges.describe(shown)
+    return t("orders").select("o_orderkey", _arr(got["year"]).alias("years"), _arr(got["volume"]).alias("volume"), _arr(got["number"]).alias("numbers"), got["year_is_list"].alias("year_is_list"))
+
+
+@_query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN array_to_string(list_concat([y], range(y + 3, y + 7)), ',') WHEN 1 THEN CAST(y AS VARCHAR) WHEN 2 THEN CAST(y + 1 AS VARCHAR) END AS years
+FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)""")
+def date_list_years(t):
+    y = lambda k: (F.year("o_orderdate") + k).cast("string")
+    k = F.col("o_orderkey") % 4
+    shown = F.when(k == 0, F.concat(y(0), F.lit(","), y(3), F.lit("-"), y(6))).when(k == 1, F.concat(y(2), F.lit(","), y(0), F.lit("-"))).when(k == 2, F.concat(F.lit("-"), y(1))).otherwise("1-2-3")
+    return t("orders").select("o_orderkey", _arr(ranges.catalogue_years(shown)).alias("years"))
+
+
+# --- keys and addresses ----------------------------------------------------
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '12148' END AS naan, CASE WHEN doc_id % 3 < 2 THEN 'bpt6k' || doc_id END AS name, CASE WHEN doc_id % 3 = 1 THEN 'date' END AS qualifier,
+ CASE WHEN doc_id % 3 = 0 THEN 'ark' WHEN doc_id % 3 = 1 THEN 'https' END AS scheme, CASE WHEN doc_id % 3 = 1 THEN 'arks.example.org' END AS authority,
+ CASE WHEN doc_id % 3 = 0 THEN 'ark:/12148/bpt6k' || doc_id WHEN doc_id % 3 = 1 THEN 'https://arks.example.org/ark:/12148/bpt6k' || doc_id || '/date' END AS back, doc_id % 3 = 2 AS failed FROM documents""")
+def ark_parse(t):
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    shown = F.when(k == 0, F.concat(F.lit("ark:/12148/bpt6k"), i)).when(k == 1, F.concat(F.lit("https://arks.example.org/ark:/12148/bpt6k"), i, F.lit("/date"))).otherwise(F.concat(F.lit("ark:/12148#"), i))
+    p = t("documents").select("doc_id", ark.parse_ark(shown).alias("a"))
+    c = F.col("a")
+    return p.select("doc_id", "a.naan", "a.name", "a.qualifier", "a.scheme", "a.authority", ark.ark_text(c).alias("back"), F.col("a.error").isNotNull().alias("failed"))
+
+
+@_query("""SELECT p_partkey, 'https://arks.example.org/ark:/12148/p' || p_partkey || '.search?query=' || replace(replace(p_name, ' ', '+'), '#', '%23') || '&publisher=' || replace(p_brand, '#', '%23') AS url FROM part""")
+def build_url(t):
+    a = F.struct(F.lit("https").alias("scheme"), F.lit("arks.example.org").alias("authority"), F.lit("12148").alias("naan"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("qualifier"))
+    return t("part").select("p_partkey", ark.service_url(a, "search", {"query": F.col("p_name"), "publisher": F.col("p_brand"), "page": F.lit(None).cast("string")}).alias("url"))
+
+
+# --- search and matching -----------------------------------------------------
+
+
+@_query("""SELECT p_partkey, 'bib.publicationdate all "' || (1900 + p_size) || '" and bib.publisher all "' || p_brand || '" and bib.title all "' || p_type || '" and bib.recordtype all "per"' AS query FROM part""")
+def search_string(t):
+    p = t("part").select("p_partkey", F.lit("article").alias("kind"), F.col("p_name").alias("title"), F.col("p_type").alias("journaltitle"), F.col("p_brand").alias("publisher"), F.lit("x").alias("editor"), (F.col("p_size") + 1900).cast("string").alias("publicationdate"))
+    r = matching.translated(matching.source_of(p))
+    fields = {"publicationdate": F.col("publicationdate"), "publisher": F.col("publisher"), "title": F.col("title"), "recordtype": F.lit(matching.RECORD_TYPES["journal"])}
+    return r.select("p_partkey", matching.search_string(fields).alias("query"))
+
+
+@_query("""WITH q AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_sort(list_distinct(string_split(p_name, ' '))) AS words FROM q)
+SELECT w.p_name AS query, p.p_partkey FROM w JOIN part p ON list_has_all(string_split(p.p_name || ' ' || lower(p.p_type), ' '), w.words)""")
+def token_search(t):
+    p = t("part").withColumn("held", F.concat("p_name", F.lit(" "), "p_type"))
+    return matching.token_search(p.select(F.col("p_name").alias("query")).distinct().withColumn("words", F.col("query")), "query", "words", p, "p_partkey", "held")
+
+
+@_query("""WITH b AS (SELECT item_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS q FROM benchmark), w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS words FROM b),
+d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS held FROM documents)
+SELECT item_id, doc_id FROM w JOIN d ON list_has_all(held, words)""")
+def fulltext_words(t):
+    q = t("benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
+    return matching.token_search(q, "item_id", "q", t("documents"), "doc_id", "text")
+
+
+_SCORED = _PAIRS + """, r AS (SELECT a, b, round_even(200.0 * last[-1] / (length(a) + length(b)), 0) / 100 AS s FROM steps),
+f AS (SELECT DISTINCT p_name, min(p_partkey) OVER (PARTITION BY p_name) AS k FROM part), tg AS (SELECT t.* FROM part t JOIN f ON t.p_partkey = f.k),
+m AS (SELECT t.p_partkey AS target, c.p_partkey AS pos, CAST(CASE WHEN list_contains(range(c.p_size, c.p_size + 3), t.p_size) THEN 1 ELSE 0 END AS DOUBLE) AS s_number, CASE WHEN t.p_brand = c.p_brand THEN 1.0 ELSE NULL END AS same_brand, r.s AS s_title, t.p_type AS t_type, c.p_type AS c_type, t.p_name, c.p_brand, t.p_brand AS t_brand
+ FROM tg t JOIN part c ON c.p_type = t.p_type JOIN r ON r.a = t.p_name AND r.b = c.p_name)
+, g AS (SELECT target, pos, s_title, s_number, (s_title + s_number) / 2 AS score FROM m)
+"""
+
+
+def _scored(t):
+    """The first part of every name as target, against the parts of its type."""
+    p = t("part")
+    first = p.groupBy(F.col("p_name").alias("t_name")).agg(F.min(F.struct("p_partkey", "p_size", "p_type")).alias("f"))
+    targets = first.select("t_name", F.col("f.p_partkey").alias("target"), F.array("f.p_size").alias("t_number"), F.col("f.p_type").alias("p_type"))
+    pairs = p.join(targets, "p_type")
+    c = F.col("p_size")
+    scores = {"title": matching.text_score(F.col("t_name"), F.col("p_name")), "number": matching.number_score(F.col("t_number"), F.array(c, c + 1, c + 2), F.lit(False), F.lit(True)), "subtitle": matching.text_score(F.lit(None).cast("string"), F.col("p_brand"))}
+    return pairs.select("target", F.col("p_partkey").alias("pos"), scores["title"].alias("s_title"), scores["number"].alias("s_number"), matching.score_map(scores).alias("vals"), matching.mean_score(scores).alias("score"))
+
+
+@_query(_SCORED + "SELECT target, pos, s_title, s_number, round(score, 6) AS score, CAST(2 AS INTEGER) AS n_scored FROM g")
+def match_scores(t):
+    return _scored(t).select("target", "pos", "s_title", "s_number", F.round("score", 6).alias("score"), F.size("vals").alias("n_scored"))
+
+
+_SEEN = """, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS seen FROM g), h AS (SELECT *, max(score) OVER (PARTITION BY target ORDER BY pos) AS top FROM k WHERE seen < 50),
+e AS (SELECT h.* FROM h LEFT JOIN (SELECT target, min(seen) AS stop FROM h WHERE seen >= 4 AND top > 0.7 GROUP BY target) x USING (target) WHERE stop IS NULL OR seen <= stop)
+"""
+
+
+@_query(_SCORED + _SEEN + "SELECT target, pos, round(score, 6) AS score, score >= 0.5 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos) AS n FROM e) WHERE n = 1")
+def match_best(t):
+    best = matching.best_match(_scored(t), "target", "pos")
+    return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
+
+
+@_query(_SCORED + _SEEN + "SELECT target, pos, seen FROM e")
+def early_exit(t):
+    return matching.early_exit(_scored(t), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
+
+
+@_query("""WITH s AS (SELECT o_custkey AS target, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS issue, o_orderkey AS pos, round(o_totalprice / 500000, 4) AS score FROM orders),
+o AS (SELECT target, issue, max(best) OVER (PARTITION BY target ORDER BY issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT target, issue, max(score) AS best FROM s GROUP BY ALL)),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY s.target ORDER BY score DESC, s.issue, pos) AS rank FROM s JOIN o ON s.target = o.target AND s.issue = o.issue WHERE before IS NULL OR before <= 0.7)
+SELECT target, issue, pos, score, rank FROM r WHERE rank <= 5 AND score >= 0.5""")
+def article_topk(t):
+    s = t("orders").select(F.col("o_custkey").alias("target"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("issue"), F.col("o_orderkey").alias("pos"), F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
+    return matching.confident(matching.article_candidates(s, "target", "issue", "pos")).select("target", "issue", "pos", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@_query("""WITH c AS (SELECT c_custkey, CAST(1995 + c_nationkey % 5 AS INTEGER) AS y FROM customer), w AS (SELECT DISTINCT c_custkey, unnest(list_distinct([y - 1, y, y + 1, y + 1, y + 2, y + 3])) AS wanted FROM c)
+SELECT c_custkey, wanted, o_orderkey FROM w JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = wanted""")
+def issue_year_join(t):
+    y = (F.col("c_nationkey") % 5 + 1995).cast("int")
+    serials = t("customer").select("c_custkey", F.array(y, y + 2).alias("years"))
+    issues = t("orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("issue_year"))
+    return matching.possible_issues(serials, "years", "c_custkey", issues, "o_custkey", "issue_year").select("c_custkey", "wanted", "o_orderkey")
+
+
+@_query("""SELECT doc_id, CAST(quality AS VARCHAR) AS found, 'toc' AS via FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT doc_id, lang AS found, 'ocr' AS via FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def toc_fallback(t):
+    toc = t("documents").select("doc_id").join(t("labels").select("doc_id", F.col("quality").cast("string").alias("found")), "doc_id").withColumn("via", F.lit("toc"))
+    return matching.with_fallback(toc, t("documents").select("doc_id", F.col("lang").alias("found"), F.lit("ocr").alias("via")), "doc_id")
+
+
+@_query("""WITH r AS (SELECT o_custkey AS target, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+a AS (SELECT r.*, row_number() OVER (PARTITION BY target ORDER BY rank) AS n FROM r WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) SELECT target, o_orderkey, rank FROM a WHERE n = 1""")
+def availability_semi(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = t("orders").select(F.col("o_custkey").alias("target"), "o_orderkey", F.row_number().over(w).cast("long").alias("rank"))
+    return matching.first_available(ranked, t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "target")
+
+
+@_query("""WITH k(kind) AS (VALUES ('article'), ('journal'), ('book'), ('collection'))
+SELECT a.kind AS target_kind, b.kind AS source_kind, n_nationkey, CASE WHEN a.kind <> 'article' OR b.kind IN ('book', 'collection') THEN 'unable to match a ' || a.kind || ' in a ' || b.kind END AS error FROM nation, k a, k b""")
+def supported_pairs(t):
+    kinds = F.array(*map(F.lit, ("article", "journal", "book", "collection")))
+    return matching.supported(t("nation").select("n_nationkey", F.explode(kinds).alias("target_kind")).withColumn("source_kind", F.explode(kinds))).select("target_kind", "source_kind", "n_nationkey", "error")
+
+
+@_query("""SELECT s_suppkey, 'ark:/1/' || s_suppkey AS ark, s_name AS journaltitle, n_name AS publisher, CASE WHEN s_suppkey % 4 = 0 THEN '1919,1920' ELSE '1919' END AS years FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0""")
+def catalogue_journals(t):
+    s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "monographie imprimée").otherwise("publication en série imprimée")
+    raw = s.select(
+        F.col("s_suppkey").alias("pos"), F.array(F.concat(F.lit("ark:/1/"), F.col("s_suppkey").cast("string")), F.lit("x")).alias("identifier"), F.array("s_name").alias("title"), F.array("n_name", F.lit("y")).alias("publisher"),
+        F.when(F.col("s_suppkey") % 4 == 0, "1919-1920").otherwise("1919").alias("date"), F.array(F.lit("fre"), F.lit("français")).alias("language"), F.array(F.struct(F.lit("fre").alias("lang"), kind.alias("text"))).alias("type"),
+    )
+    good, _ = matching.catalogue_journals(raw)
+    return good.select(F.col("pos").alias("s_suppkey"), "ark", "journaltitle", "publisher", _arr(F.col("publicationdate")).alias("years"))
+
+
+# --- pages -----------------------------------------------------------------
+
+_MAP = "(SELECT l_orderkey AS ark, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, CAST(l_linenumber AS VARCHAR) AS numero, l_partkey AS ordre, l_returnflag AS kind FROM lineitem)"
+
+
+def _page_map(t):
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return t("lineitem").select(F.col("l_orderkey").alias("ark"), pos.alias("pos"), F.col("l_linenumber").cast("string").alias("numero"), F.col("l_partkey").alias("ordre"), F.col("l_returnflag").alias("pagination_type"))
+
+
+@_query(f"""WITH m AS {_MAP}, h AS (SELECT ark, arg_min(ordre, pos) FILTER (numero = '3') AS hit, arg_max(ordre, pos) AS last, arg_max(ordre, pos) FILTER (kind = 'A') AS a, arg_min(ordre, pos) AS first FROM m GROUP BY ark)
+SELECT ark, coalesce(hit, last) AS ordre, coalesce(a, first) AS last_pno FROM h""")
+def page_lookup(t):
+    m = _page_map(t)
+    wanted = m.select("ark").distinct().withColumn("pno", F.lit("3"))
+    return pages.physical_pages(wanted, m).join(pages.last_page(m), "ark").select("ark", "ordre", "last_pno")
+
+
+@_query(f"""WITH m AS {_MAP}, l AS (SELECT ark, coalesce(arg_max(ordre, pos) FILTER (kind = 'A'), arg_min(ordre, pos)) AS last_pno FROM m GROUP BY ark),
+n AS (SELECT ark, pos, CAST(numero AS BIGINT) AS start, lead(CAST(numero AS BIGINT)) OVER (PARTITION BY ark ORDER BY CAST(numero AS BIGINT), pos) - 1 AS nxt FROM m WHERE numero = '2')
+SELECT ark, pos, CAST(greatest(0, least(coalesce(nxt, last_pno), 10000000) - start + 1) AS BIGINT) AS n_pages, CASE WHEN coalesce(nxt, last_pno) >= start THEN coalesce(nxt, last_pno) END AS last_page FROM n JOIN l USING (ark)""")
+def toc_end_pages(t):
+    m = _page_map(t)
+    entries = m.select("ark", "pos", F.col("numero").alias("pno"), F.lit("A. B. - C").alias("title"))
+    found = pages.toc_articles(entries, pages.last_page(m).withColumn("last_pno", F.col("last_pno").cast("int")), F.lit("2"), "ark")
+    return found.select("ark", "pos", F.size("pages").cast("long").alias("n_pages"), F.try_element_at("pages", F.lit(-1)).cast("long").alias("last_page"))
+
+
+@_query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS INTEGER) AS a, CAST(o_orderkey % 50 + o_custkey % 470 AS INTEGER) AS b FROM orders), e AS (SELECT *, unnest(range(a, b + 1, 100)) AS block_start FROM s)
+SELECT o_orderkey, CAST((block_start - a) // 100 AS INTEGER) AS block_no, CAST(block_start AS INTEGER) AS block_start, CAST(least(100, b - block_start + 1) AS INTEGER) AS block_len FROM e""")
+def block_plan(t):
+    a = (F.col("o_orderkey") % 50).cast("int")
+    s = t("orders").select("o_orderkey", a.alias("a"), (a + F.col("o_custkey") % 470).cast("int").alias("b"))
+    return pages.block_plan(s, "a", "b").select("o_orderkey", "block_no", "block_start", "block_len")
+
+
+@_query("""WITH p AS (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS block_no, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) - 1 AS j FROM lineitem),
+x AS (SELECT l_orderkey, block_no - 1 AS block_no, j * 3 + unnest([0, 1, 2]) AS page_idx FROM p), k AS (SELECT * FROM x WHERE NOT (page_idx < 2 AND block_no > 0))
+SELECT l_orderkey, block_no, CAST(page_idx AS INTEGER) AS page_idx, row_number() OVER (PARTITION BY l_orderkey ORDER BY block_no, page_idx) AS out_page FROM k""")
+def merge_pages(t):
+    j = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")) - 1
+    p = t("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("block_no"), j.alias("j")).select("l_orderkey", "block_no", F.explode(F.sequence(F.col("j") * 3, F.col("j") * 3 + 2)).alias("page_idx"))
+    return pages.merged_pages(p, "l_orderkey").select("l_orderkey", "block_no", "page_idx", F.col("out_page").cast("long").alias("out_page"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'image' ELSE 'pdf' END AS mode, least(o_custkey, o_orderkey + 9) AS end_p FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') AND o_orderkey % 7 NOT IN (1, 2)""")
+def download_plan(t):
+    o = t("orders")
+    todo = pages.missing_outputs(o.select("o_orderkey", "o_custkey"), t("lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    kept = pages.unsuppressed(todo.withColumn("page_idx", F.col("o_orderkey") % 7), [3, 4], has_cover=True)
+    return kept.select("o_orderkey", pages.fetch_mode(F.when(F.col("o_orderkey") % 5 == 0, 451).otherwise(200)).alias("mode"), pages.limited_end(F.col("o_orderkey"), F.col("o_custkey"), 10).alias("end_p"))
+
+
+# --- images ----------------------------------------------------------------
+
+
+@_query("""WITH s AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, CAST(round_even(avg(l_quantity), 0) AS BIGINT) AS value FROM lineitem JOIN s USING (l_returnflag, l_linestatus) WHERE d = 0 OR abs(l_quantity - m) < 1.5 * d GROUP BY ALL""")
+def deanomalise(t):
+    return imaging.deanomalised(t("lineitem").select("l_returnflag", "l_linestatus", "l_quantity"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
+_SIGNAL = """WITH s AS (SELECT vec_id, unnest(range(0, len(embedding))) AS y, CAST(round(unnest(embedding)::DOUBLE, 3) * 1000 AS BIGINT)::DOUBLE AS mean FROM embeddings),
+g AS (SELECT *, CASE WHEN b IS NULL THEN a - mean WHEN a IS NULL THEN mean - b ELSE (a - b) / 2 END AS gradient FROM (SELECT *, lag(mean) OVER w AS b, lead(mean) OVER w AS a FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY y))),
+l AS (SELECT *, avg(gradient) OVER w + 1.5 * stddev_pop(gradient) OVER w AS high, avg(gradient) OVER w - 1.5 * stddev_pop(gradient) OVER w AS low FROM g WINDOW w AS (PARTITION BY vec_id))
+"""
+
+
+def _signal(t):
+    s = t("embeddings").select("vec_id", F.posexplode("embedding").alias("y", "e")).select("vec_id", "y", F.round(F.round(F.col("e").cast("double"), 3) * 1000).cast("long").cast("double").alias("mean"))
+    return imaging.peak_limits(imaging.gradients(s, ["vec_id"]), ["vec_id"])
+
+
+@_query(_SIGNAL + """, u AS (SELECT vec_id, min(y) FILTER (gradient >= high) AS r, min(y) FILTER (gradient <= low) AS f FROM l GROUP BY vec_id)
+SELECT vec_id, coalesce(min(y) FILTER (gradient <= low AND y > r), 0) AS up, coalesce(min(y) FILTER (gradient >= high AND y >= f), 0) AS down, round(max(high), 6) AS high FROM l JOIN u USING (vec_id) GROUP BY vec_id""")
+def signal_peaks(t):
+    s = _signal(t).withColumn("i", F.col("y").cast("long"))
+    up = imaging.paired_peaks(s, ["vec_id"], "i", True).withColumnRenamed("peak", "up")
+    down = imaging.paired_peaks(s, ["vec_id"], "i", False).withColumnRenamed("peak", "down")
+    return up.join(down, "vec_id").join(s.groupBy("vec_id").agg(F.round(F.max("high"), 6).alias("high")), "vec_id")
+
+
+_PIXELS = "WITH p AS (SELECT CAST(vec_id // 100 AS BIGINT) AS doc, CAST(vec_id % 100 AS INTEGER) AS y, CAST(unnest(range(0, len(embedding))) * 2 AS INTEGER) AS x, CAST(abs(CAST(round(unnest(embedding)::DOUBLE, 3) * 1000 AS BIGINT)) % 256 AS INTEGER) AS v FROM embeddings)"
+
+
+def _pixels(t):
+    e = t("embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    v = F.abs(F.round(F.round(F.col("e").cast("double"), 3) * 1000).cast("long")) % 256
+    return e.select(F.floor(F.col("vec_id") / 100).alias("doc"), (F.col("vec_id") % 100).cast("int").alias("y"), (F.col("x") * 2).alias("x"), v.cast("int").alias("v"))
+
+
+@_query(_PIXELS + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), i AS (SELECT p.*, w, h FROM p JOIN s USING (doc) WHERE x >= 40 AND y >= 40 AND x < w - 40 AND y < h - 40),
+b AS (SELECT doc, w, h, min(x) FILTER (v < 255) AS a, min(y) FILTER (v < 255) AS b, max(x) FILTER (v < 255) + 1 AS c, max(y) FILTER (v < 255) + 1 AS d FROM i GROUP BY ALL)
+SELECT doc, coalesce(a, 40) - 10 AS ux, CASE WHEN a IS NULL THEN 40 ELSE b END - 10 AS uy, CASE WHEN a IS NULL THEN w - 40 ELSE c END + 10 AS lx, CASE WHEN a IS NULL THEN h - 40 ELSE d END + 10 AS ly FROM b""")
+def bbox(t):
+    return imaging.crop_bounds(_pixels(t).withColumn("v", F.when(F.col("v") > 60, 255).otherwise(0)), ["doc"])
+
+
+@_query(_PIXELS + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), e AS (SELECT doc, w, y, min(x) FILTER (v < 40) AS l, min(w - x) FILTER (v < 40 AND x > 0) AS r FROM p JOIN s USING (doc) WHERE y IN (h // 2 - 20, h // 2, h // 2 + 20) GROUP BY ALL),
+z AS (SELECT doc, w, 'left' AS side, l AS m FROM e WHERE l IS NOT NULL UNION ALL SELECT doc, w, 'right', r FROM e WHERE r IS NOT NULL), q AS (SELECT doc, w, side, avg(m) AS mean, stddev_pop(m) AS sd FROM z GROUP BY ALL),
+v AS (SELECT doc, w, side, CAST(round_even(avg(m), 0) AS BIGINT) AS value FROM z JOIN q USING (doc, w, side) WHERE sd = 0 OR abs(m - mean) < 1.5 * sd GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY value, side) AS k FROM v)
+SELECT doc, side, value AS margin, CASE WHEN side = 'left' THEN value + 10 ELSE 0 END AS crop_left, CASE WHEN side = 'right' THEN w - value - 10 ELSE w END AS crop_right FROM n WHERE k = 1""")
+def spine(t):
+    return imaging.spine(_pixels(t), ["doc"])
+
+
+@_query(_PIXELS + """, a AS (SELECT doc, x, y, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER) & 248 AS v FROM p WINDOW w AS (PARTITION BY doc)),
+c AS (SELECT doc, x, y, CAST(least(255, CASE WHEN v < 160 THEN round_even(v / 1.2, 0) ELSE v * 2 END) AS INTEGER) AS v FROM a)
+SELECT doc, x, y, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER) AS v FROM c WINDOW w AS (PARTITION BY doc)""")
+def tone_filter(t):
+    return imaging.filter_image(_pixels(t), ["doc"]).select("doc", "x", "y", "v")
+
+
+@_query("""SELECT p_partkey, round((max(p_retailprice) OVER w - p_retailprice) / 2, 4) AS offset_x, round(least(max(p_retailprice) OVER w / p_retailprice, max(p_size) OVER w / p_size), 6) AS cover_scale, 60 - p_size AS flipped FROM part WINDOW w AS (PARTITION BY p_brand)""")
+def page_geometry(t):
+    p = imaging.largest_page(t("part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("width"), F.col("p_size").alias("height")), ["p_brand"])
+    return p.select(
+        "p_partkey", F.round(imaging.equal_size_offset(F.col("width"), F.col("max_width")), 4).alias("offset_x"), F.round(imaging.cover_scale(F.col("width"), F.col("height"), F.col("max_width"), F.col("max_height")), 6).alias("cover_scale"), imaging.flipped(F.col("height"), F.lit(60)).alias("flipped")
+    )
+
+
+@_query("""WITH f AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'A' THEN 'FlateDecode' WHEN 'N' THEN 'DCTDecode' ELSE 'JPXDecode' END, l_linenumber * 1000000 + l_partkey) AS filter, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS image FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, image, CASE filter WHEN 'FlateDecode' THEN 'png' WHEN 'DCTDecode' THEN 'jpg' ELSE 'jp2' END AS format FROM f""")
+def page_images(t):
+    kind = F.when(F.col("l_returnflag") == "A", "FlateDecode").when(F.col("l_returnflag") == "N", "DCTDecode").otherwise("JPXDecode")
+    i = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("image"), kind.alias("filter"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
+    return imaging.last_image(i, ["l_orderkey"]).select("l_orderkey", "image", "format")
+
+
+# --- store and reports -------------------------------------------------------
+
+
+@_query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
+def kv_latest(t):
+    return store.latest(t("events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@_query("""WITH l AS (SELECT user_id, arg_max(value, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, coalesce(v, -1) AS stored, v IS NOT NULL AS hit FROM u LEFT JOIN l USING (user_id)""")
+def cache_probe(t):
+    e = t("events")
+    log = e.where("event_type = 'click'").select("user_id", "value", "event_id")
+    return store.probe(e.select("user_id").distinct(), log, "user_id", "value", "event_id", F.lit(-1.0)).select("user_id", "stored", "hit")
+
+
+@_query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
+def cache_misses(t):
+    return store.misses(t("orders").select("o_custkey").distinct().withColumnRenamed("o_custkey", "user_id"), t("events"), "user_id").select(F.col("user_id").alias("o_custkey"))
+
+
+def _results(t):
+    d = t("documents").select("doc_id", "lang", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select("doc_id", F.concat("source", F.lit(" & <"), "lang", F.lit(">")).alias("name"), (F.col("quality") == 1).alias("status"), F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("processed"))
+
+
+_RESULTS = "WITH r AS (SELECT doc_id, source || ' & <' || lang || '>' AS name, quality = 1 AS status, '/out/' || doc_id || '.pdf' AS processed FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@_query(_RESULTS + r"""SELECT doc_id, E'\n  ==' || name || E'==\n\n@x\n\n' || CASE WHEN status THEN '  Processed: ' || processed || E'\n  Confidence: 72.33 %\n' ELSE E'  Failed to match :(\n' END AS plain,
+'<h2>' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || E'</h2>\n<pre><code>\n@x\n</code></pre>\n' || CASE WHEN status THEN '<a href="pdfs/' || doc_id || E'.pdf">Processed Pdf</a>\nConfidence: 72.33 %\n' ELSE E'Unable to download pdf :(\n' END AS html,
+'** ' || CASE WHEN status THEN 'DONE ' ELSE 'TODO ' END || name || E'\n\n   #+BEGIN_SRC bibtex\n@x\n   #+END_SRC\n\n   #+BEGIN_SRC python\nark = "ark:/1/2"\n   #+END_SRC\n' || CASE WHEN status THEN E'\n   [[' || processed || E'][Processed Pdf]]   Confidence: 72.33 %\n' ELSE '' END AS org FROM r""")
+def status_report(t):
+    r, none = _results(t), F.lit(None).cast("string")
+    c, raw, conf = F.col, F.lit("@x"), text.confidence(F.lit(0.7233333))
+    return r.select(
+        "doc_id", report.text_entry(c("name"), raw, c("status"), c("processed"), none, conf).alias("plain"), report.html_entry(c("name"), raw, c("status"), c("processed"), none, conf).alias("html"),
+        report.org_entry(c("name"), raw, F.lit("bibtex"), F.lit("ark:/1/2"), c("status"), c("processed"), none, conf).alias("org"),
+    )
+
+
+@_query(_RESULTS + "SELECT count(*) AS successful, count(*) AS total, count(*) FILTER (status) AS matched, count(*) FILTER (NOT status) AS failed, count(*) FILTER (status IS NULL) AS unmatched, round(avg(CASE WHEN status IS NULL THEN 0 ELSE 1 END), 6) AS progress FROM r")
+def status_counts(t):
+    return report.status_counts(_results(t)).withColumn("progress", F.round("progress", 6))
+
+
+@_query(_RESULTS + "SELECT name, status, min(doc_id) AS doc_id FROM r GROUP BY name, status")
+def results_deduplicated(t):
+    return report.deduplicated(_results(t).select("name", "status", "doc_id"), ["name", "status"], "doc_id")
+
+
+@_query(r"""WITH q AS (SELECT *, trim(regexp_replace(lower(substr(p_name, 1, 8) || ' (' || substr(p_brand, 1, 8) || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS k, CAST(p_size AS VARCHAR) AS s, CAST(p_size + 1 AS VARCHAR) AS e FROM part)
+SELECT p_partkey, '@Article{' || k || E',\n    year = {' || (1900 + p_size) || E'},\n    title = {' || p_name || E'},\n    journaltitle = {' || p_type || E'},\n    pages = {' || s || '--' ||
+CASE WHEN length(s) = length(e) THEN array_to_string(list_transform(range(1, length(e) + 1), lambda i: CASE WHEN substr(e, i, 1) <> substr(s, i, 1) THEN substr(e, i, 1) ELSE '' END), '') ELSE e END || E'},\n    author = {' || p_brand || E'},\n    volume = {' || p_size || E'},\n}\n' AS entry FROM q""")
+def bibtex_export(t):
+    return t("part").select("p_partkey", report.bibtex_article(_part_article()).alias("entry"))
+
+
+# --- sources -----------------------------------------------------------------
+
+
+@_query("SELECT p_partkey, 'article' AS kind, p_name || ' é' AS title, p_type AS journaltitle, p_brand AS author, CAST(1900 + p_size AS VARCHAR) AS years, array_to_string(range(p_size + 100, p_size + 103), ',') AS pages, NULL::VARCHAR AS error FROM part")
+def bibtex_parse(t):
+    s = lambda c: F.col(c).cast("string")
+    n = F.col("p_size")
+    source = F.concat(
+        F.lit("\n@Article{k"), s("p_partkey"), F.lit(",\n  title = {"), s("p_name"), F.lit(" {\\'e}},\n\n  journaltitle = \""), s("p_type"), F.lit("\",\n  author = {"), s("p_brand"), F.lit("}, language = {x},\n  year = "), (n + 1900).cast("string"),
+        F.lit(",\n  pages = {"), (n + 100).cast("string"), F.lit("--"), (n + 102).cast("string"), F.lit("}}\n"),
+    )
+    r = bibtex.records(t("part").select(F.col("p_partkey").alias("file"), source.alias("value")))
+    return r.select(F.col("file").alias("p_partkey"), "kind", "title", "journaltitle", "author", _arr(F.col("publicationdate")).alias("years"), F.array_join("pages", ",").alias("pages"), "error")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN 'article' END AS kind, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'T2' END AS journaltitle, p_brand || 'andX, Y' AS author, CAST(1900 + p_size AS VARCHAR) AS years, array_to_string(range(p_size, p_size + 3), ',') AS pages,
+CASE WHEN p_partkey % 5 = 0 THEN 'Unsupported type' END AS error FROM part""")
+def ris_parse(t):
+    s = lambda c: F.col(c).cast("string")
+    n = F.col("p_size")
+    source = F.concat(
+        F.lit("TY  - "), F.when(F.col("p_partkey") % 5 > 0, "JOUR").otherwise("ABST"), F.lit("\nAU  - "), s("p_brand"), F.lit("\nAU  - X, Y\nTI  - "), s("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\nJO  - "), s("p_type"))).otherwise(""),
+        F.lit("\nT2  - T2\n\nPY  - "), (n + 1900).cast("string"), F.lit("\nSP  - "), n.cast("string"), F.lit("\nEP  - "), (n + 2).cast("string"), F.lit("\nER  - \n\n"),
+    )
+    r = ris.records(t("part").select(F.col("p_partkey").alias("file"), source.alias("value")))
+    return r.select(F.col("file").alias("p_partkey"), "kind", "title", "journaltitle", "author", _arr(F.col("publicationdate")).alias("years"), F.array_join("pages", ",").alias("pages"), "error")
+
+
+@_query(r"""WITH li AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS x FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS pno, x[i] AS title FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM li)""")
+def toc_extract(t):
+    links = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">([^<]*)</a></li>'), 0)
+    items = F.transform(links, lambda a: F.regexp_replace(a, r'<li><a href="([^"]*)">([^<]*)</a></li>', "<ITEM><seg n=1> $2 </seg><xref>\n$1</xref></item>"))
+    p = t("pages").select("page_id", F.concat(F.lit("<list>"), F.array_join(items, "\n"), F.lit("</list")).alias("xml"))
+    return markup.toc_table(p, "xml", ["page_id"])
+
+
+@_query()
+def html_text(t):
+    return t("pages").select("page_id", F.length(markup.page_text(F.concat(F.lit("<body><p>x</p><hr>"), "html", F.lit("</body>")))).cast("long").alias("n_text"))
+
+
+@_query("""SELECT page_id, CAST(page_id % 90 AS INTEGER) AS ux, CAST(page_id % 70 AS INTEGER) AS uy, CAST(page_id % 90 + 1400 AS INTEGER) AS lx, CAST(page_id % 70 + 2100 AS INTEGER) AS ly, 1852 AS total_width, 3088 AS total_height FROM pages""")
+def ocr_boxes(t):
+    s = lambda c: c.cast("string")
+    x = F.concat(F.lit('<alto><Page WIDTH="1852" HEIGHT="3088"><PrintSpace HPOS="'), s(F.col("page_id") % 90), F.lit('" VPOS="'), s(F.col("page_id") % 70), F.lit('" WIDTH="1400" HEIGHT="2100"/></Page></alto>'))
+    b = t("pages").select("page_id", markup.ocr_box(x).alias("b"))
+    return b.select("page_id", F.col("b.upper.x").alias("ux"), F.col("b.upper.y").alias("uy"), F.col("b.lower.x").alias("lx"), F.col("b.lower.y").alias("ly"), "b.total_width", "b.total_height")
+
+
+# --- approximate search -------------------------------------------------------
+
+
+def _needles(t):
+    """Items and the documents that share their first eight words' rarest word: what a search has brought up."""
+    q = t("benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("needle"))
+    words = q.select("item_id", "needle", F.explode(F.slice(F.split("needle", " "), 2, 3)).alias("w")).where(F.length("w") > 5)
+    d = t("documents").select("doc_id", F.lower("text").alias("hay"))
+    held = d.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("w")).where(F.length("w") > 5)
+    return held.join(words, "w").select("item_id", "needle", "doc_id").distinct().join(d, "doc_id")
+
+
+_NEEDLES = """WITH q AS (SELECT item_id, lower(substr(text, 1, 40)) AS needle FROM benchmark), w AS (SELECT item_id, needle, unnest(string_split(needle, ' ')[2:4]) AS w FROM q), d AS (SELECT doc_id, lower(text) AS hay FROM documents),
+h AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(hay, ' ')) AS w FROM d) WHERE length(w) > 5), c AS (SELECT DISTINCT item_id, needle, doc_id FROM h JOIN w USING (w))
+"""
+
+
+@_query(_NEEDLES + "SELECT item_id, doc_id, contains(hay, needle) AS found FROM c JOIN d USING (doc_id)")
+def fuzzy_contains_k0(t):
+    return _needles(t).select("item_id", "doc_id", (F.size(fuzzy.near_matches(F.col("needle"), F.col("hay"), 0)) > 0).alias("found"))
+
+
+@_query()
+def fuzzy_contains_k2(t):
+    hits = _needles(t).withColumn("m", fuzzy.near_matches(F.col("needle"), F.col("hay"), 2))
+    return hits.select("item_id", "doc_id", F.size("m").alias("hits"), F.get("m", F.lit(0))["dist"].alias("dist"), text.ratio(F.get("m", F.lit(0))["matched"], F.col("needle")).alias("ratio"))
