@@ -6,12 +6,17 @@ columns of documents; the last returns each document's ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, exact, jaccard, quality
 from scriptorium.llm.shared import Workspace, documents
+from scriptorium.ship import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose chance of label 1 is less goes.
 LEAST_QUALITY = 0.3
@@ -47,12 +52,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.col("decoded").alias("text"))
 
 
-STAGES = [
-    ("compression classifier", keep_quality),
-    ("exact dedup", keep_first_copies),
-    ("n-gram Jaccard join", keep_one_near_copy),
-    ("winnowing decontamination", keep_uncontaminated),
-    ("byte-level BPE", encode),
+def _shipped(stage: Stage) -> Stage:
+    """The stage, with the package on the executors."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("compression classifier", _shipped(keep_quality)),
+    ("exact dedup", _shipped(keep_first_copies)),
+    ("n-gram Jaccard join", _shipped(keep_one_near_copy)),
+    ("winnowing decontamination", _shipped(keep_uncontaminated)),
+    ("byte-level BPE", _shipped(encode)),
 ]
 
 #: Compression, trained dictionaries and BPE merges are beyond SQL; the stages are tested against brute force.

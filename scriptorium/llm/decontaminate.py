@@ -186,9 +186,13 @@ def _unite(given: DataFrame, parts: list[DataFrame]) -> DataFrame:
     grouped = tagged.groupBy(F.xxhash64("row").alias("key"), "row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / number).cast("int").alias("copies")
     )
-    merged = F.aggregate(
-        F.array_sort("s"),
-        F.array().cast("array<struct<first:bigint,last:bigint>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (s["first"] <= F.element_at(a, -1)["last"] + 1), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(a, F.array(s))),
-    )
+    kind = "array<struct<first:bigint,last:bigint>>"
+
+    def merge(a, s):
+        last = F.element_at(a, -1)
+        wider = F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))).cast(kind)
+        joins = (F.size(a) > 0) & (s["first"] <= last["last"] + 1)
+        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), wider)).otherwise(F.concat(a, F.array(s).cast(kind))).cast(kind)
+
+    merged = F.aggregate(F.array_sort("s"), F.array().cast(kind), merge)
     return grouped.select("row", "n_words", merged.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, decontaminate, exact, jaccard, lm, quality, substrings, tokenfile, unigram
+from scriptorium.llm import bpe, chat, decontaminate, exact, jaccard, lm, oracles, quality, substrings, tokenfile, unigram
 from scriptorium.llm.shared import documents
 
 
@@ -98,4 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_substring_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+#: The rest is beyond SQL and tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_winnow_decontamination": oracles.CONTAMINATION,
+    "op6_chat_format": oracles.CHAT,
+    "op7_exact_dedup": oracles.EXACT,
+    "op9_ngram_jaccard": oracles.JACCARD,
+    "op10_substring_dedup": oracles.REPEATS,
+}
