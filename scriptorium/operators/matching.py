@@ -83,7 +83,7 @@ def number_score(target: Column, candidate: Column, target_is_list: Column | Non
     """
     listed, other = target_is_list if target_is_list is not None else F.lit(False), candidate_is_list if candidate_is_list is not None else F.lit(False)
     v, c = F.get(target, F.lit(0)), F.get(candidate, F.lit(0))
-    nothing = candidate.isNull() | (F.size(candidate) == 0) | (~other & (c == 0))
+    nothing = candidate.isNull() | (F.size(candidate) == 0) | (~other & (c.cast("string") == "0"))
     single = F.when(nothing, F.lit(0.5)).otherwise(F.array_contains(candidate, v).cast("double"))
     shared = F.size(F.filter(target, lambda x: F.array_contains(candidate, x))) / F.size(target)
     against_one = F.when(F.array_contains(target, c), F.lit(1.0) / F.size(target)).otherwise(F.lit(0.0))

@@ -23,14 +23,14 @@ KINDS = ("article", "book", "collection")
 _ACCENTS = {"`": "̀", "'": "́", "^": "̂", '"': "̈", "~": "̃", "=": "̄", "u": "̆", ".": "̇", "v": "̌", "c": "̧", "r": "̊", "H": "̋", "k": "̨"}
 _LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "i": "ı", "&": "&", "%": "%", "$": "$", "#": "#", "_": "_"}
 _ACCENT = re.compile(r"""\{?\\([`'^"~=.]|[uvcrHk](?![A-Za-z]))\s*(?:\{\s*(\\?[A-Za-z])\s*\}|(\\?[A-Za-z]))\}?""")
-_COMMAND = re.compile(r"\{?\\(ss|ae|AE|oe|OE|aa|AA|[oOlLi&%$#_])(?![A-Za-z])\s*(?:\{\})?\}?")
+_COMMAND = re.compile(r"\{?\\(?:(ss|ae|AE|oe|OE|aa|AA|[oOlLi])(?![A-Za-z])\s*(?:\{\})?|([&%$#_]))\}?")
 _FIELDS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
 
 
 def from_latex(text: str) -> str:
     """Accents and letters as characters, without the braces around them."""
     accent = lambda m: unicodedata.normalize("NFC", (m[2] or m[3]).lstrip("\\") + _ACCENTS[m[1]])
-    out = _COMMAND.sub(lambda m: _LETTERS[m[1]], _ACCENT.sub(accent, text))
+    out = _COMMAND.sub(lambda m: _LETTERS[m[1] or m[2]], _ACCENT.sub(accent, text))
     return out.replace("{", "").replace("}", "")
 
 

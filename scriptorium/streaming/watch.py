@@ -18,7 +18,7 @@ from scriptorium.sources import bibtex, ris
 def record_stream(spark: SparkSession, folder: str, kind: str = "bibtex", most_files: int = 1000) -> DataFrame:
     """A streaming DataFrame of records with `key` and the time of arrival."""
     reader = {"bibtex": bibtex.records, "ris": ris.records}[kind]
-    files = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", most_files).text(folder)
+    files = spark.readStream.schema("value string").option("maxFilesPerTrigger", most_files).text(folder, wholetext=True)
     arrived = reader(files.withColumn("file", F.input_file_name()))
     return arrived.withColumns({"key": F.sha1("raw"), "arrived": F.current_timestamp()})
 
