@@ -1,10 +1,12 @@
 """Quality by compression.
 
 Two zstandard dictionaries are built, from texts labelled good and bad.  A text
-is compressed with either, in independent blocks so that it does not become its
-own dictionary; the difference of the two sizes over their sum is small where
-the text is like the good ones, and a logistic curve fitted on labelled rows
-that no dictionary has seen turns it into the chance of label 1.
+is compressed with either, in independent blocks of BLOCK bytes or somewhat more,
+so that it does not become its own dictionary.  The size with the bad dictionary
+less that with the good one, over their sum, is large where the text is like the
+good ones.  That difference of the whole text, and that of its worst block, go
+through a logistic curve fitted on labelled rows that no dictionary has seen,
+which gives the chance of label 1.
 
 The fit reads at most SAMPLE labelled rows of either label, the first by a hash
 of their ids, and at most SAMPLE_BYTES of each text; a score reads every whole
@@ -29,7 +31,7 @@ from scriptorium.llm.arrays import column_bytes
 
 SAMPLE = 2000
 SAMPLE_BYTES = 16_384
-BLOCK = 2048
+BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 
@@ -38,7 +40,7 @@ LEVEL = 3
 class CompressionClassifier:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     intercept: float
     share: float
     block: int = BLOCK
@@ -48,7 +50,7 @@ class CompressionClassifier:
 
     def scores(self, features: np.ndarray, empty: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            p = 1 / (1 + np.exp(-(self.slope * features + self.intercept)))
+            p = 1 / (1 + np.exp(-(features @ np.array(self.slopes) + self.intercept)))
         return np.where(empty | (not self.good), self.share, p)
 
 
@@ -63,14 +65,16 @@ class Sizes:
                 held.precompute_compress(level=LEVEL)
             self.both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False))
 
-    def feature(self, text: memoryview) -> float:
-        """(size with the bad dictionary - size with the good one) / their sum."""
+    def features(self, text: memoryview) -> tuple[float, float]:
+        """(bad - good) / (bad + good) in compressed bytes: of all blocks, and the least of any block."""
         good = bad = 0
-        for i in range(0, len(text), self.block):
-            part = text[i : i + self.block]
-            good += len(self.both[0].compress(part))
-            bad += len(self.both[1].compress(part))
-        return (bad - good) / (bad + good) if good + bad else 0.0
+        worst = 1.0
+        n = max(1, len(text) // self.block)
+        for i in range(n):
+            part = text[i * len(text) // n : (i + 1) * len(text) // n]
+            g, b = len(self.both[0].compress(part)), len(self.both[1].compress(part))
+            good, bad, worst = good + g, bad + b, min(worst, (b - g) / (b + g))
+        return (bad - good) / (bad + good), worst
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -82,19 +86,19 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY_BYTES:].ljust(8, b" ")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a slight ridge."""
-    scale = x.std() or 1.0
-    design, b = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and intercept by Newton's method with a slight ridge on the slopes."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    b, ridge = np.zeros(design.shape[1]), np.array([*[1e-3] * x.shape[1], 1e-9])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
-        slope = design.T @ (weight * (y - p)) - 1e-3 * b * [1, 0]
-        bend = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-9])
-        step = np.linalg.solve(bend, slope)
+        slope = design.T @ (weight * (y - p)) - ridge * b
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge), slope)
         b += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(b[0] / scale), float(b[1])
+    return tuple((b[:-1] / scale).tolist()), float(b[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> CompressionClassifier:
@@ -109,17 +113,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(few, "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).orderBy("order", "id").collect()
     by = {k: [r["text"].encode() for r in rows if r["label"] == k and r["text"]] for k in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
-        return CompressionClassifier(b"", b"", 0.0, 0.0, share)
-    model = CompressionClassifier(_dictionary(by[1][::2]), _dictionary(by[0][::2]), 0.0, 0.0, share)
+        return CompressionClassifier(b"", b"", (0.0, 0.0), 0.0, share)
+    model = CompressionClassifier(_dictionary(by[1][::2]), _dictionary(by[0][::2]), (0.0, 0.0), 0.0, share)
     sizes = model.sizes()
     x, y, weight = [], [], []
     for k in (0, 1):
         rest = by[k][1::2]
-        x += [sizes.feature(memoryview(t)) for t in rest]
+        x += [sizes.features(memoryview(t)) for t in rest]
         y += [k] * len(rest)
         weight += [max(totals[k], 1) / len(rest)] * len(rest)
     w = np.array(weight)
-    model.slope, model.intercept = _logistic(np.array(x), np.array(y, float), w * (len(w) / w.sum()))
+    model.slopes, model.intercept = _logistic(np.array(x), np.array(y, float), w * (len(w) / w.sum()))
     return model
 
 
@@ -135,7 +139,7 @@ def score_documents(docs: DataFrame, model: CompressionClassifier, text_col: str
         for batch in batches:
             data, offs = column_bytes(batch.column(place))
             view = memoryview(data)
-            found = np.array([sizes.feature(view[a:b]) for a, b in zip(offs, offs[1:], strict=False)], float)
+            found = np.array([sizes.features(view[a:b]) for a, b in zip(offs, offs[1:], strict=False)], float).reshape(-1, 2)
             score = shared.value.scores(found, np.diff(offs) == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, score_col])
 
