@@ -10,10 +10,12 @@ at most, so linked sets have at least 1 + SPARE equal parts.  Parts without any
 shingle are left out, but for sets with more than SPARE of those.  Sets that
 share a part meet in a bucket, wherever the sketches' hash sends it.
 
-A bucket's sets are first verified against its least one only.  Then, in buckets
-whose sets are not yet in one component, the pairs across components whose
-one-bit-a-shingle sketches are near enough are verified, too: the Hamming
-distance never exceeds the difference of the sets, so no link is lost.
+A second sketch, one bit flipped for each shingle, rules pairs out: its Hamming
+distance never exceeds the difference of the sets.  Of the least sets of its
+buckets, each set is verified against the least one that this leaves.  Then, in
+buckets whose sets are not yet in one component, the pairs across components that
+it leaves are verified, too, so no link is lost.  Whole sets travel only for
+pairs that are left.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing.  Texts of fewer words than a shingle have one, the whole sequence.
@@ -38,6 +40,8 @@ from scriptorium.llm.shared import Workspace
 
 SPARE = 2
 SKETCH_BITS = 1024
+#: So many ids, of 16 bytes each, may be sent to every executor.
+MOST_BROADCAST = 2_000_000
 #: Rows of the Hamming matrix held at once, in pairs.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -118,13 +122,17 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     return keys[keep], which[job[keep]]
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One bit flipped for each shingle, in SKETCH_BITS bits."""
-    out = np.zeros((len(sets), SKETCH_BITS // 8), np.uint8)
-    for i, s in enumerate(sets):
-        odd = np.bincount((mix(s ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-        out[i] = np.packbits(odd.astype(bool))
-    return out
+def sketch(s: np.ndarray) -> np.ndarray:
+    """One bit flipped for each shingle, in a power of two of bits, 2 for a shingle and SKETCH_BITS at least."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def folded(drawn: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one size: a larger one's halves laid on each other are the smaller one's bits."""
+    size = min(map(len, drawn))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in drawn])
 
 
 def _sizes(docs: DataFrame, shingle: int) -> DataFrame:
@@ -180,19 +188,33 @@ def _buckets(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["nodes"])
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, n, items (the set, binary) and sketch of each row."""
+def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """node, n and either the set (items, binary) or its sketch, of each row."""
+    last = "items" if whole else "sketch"
 
     def run(batches):
         for _, data, offs in chunks(batches, "text"):
             sets = [s for s in shingle_sets(Words(data, offs, NOT_BLANK, lower=True), shingle) if len(s)]
-            drawn = sketches(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(node_of(s).view(np.int64)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in drawn], pa.binary())],
-                names=["node", "n", "items", "sketch"],
-            )
+            shown = sets if whole else map(sketch, sets)
+            yield pa.RecordBatch.from_arrays([pa.array([int(node_of(s).view(np.int64)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in shown], pa.binary())], names=["node", "n", last])
+
+    return docs.select("text").mapInArrow(run, f"node long, n long, {last} binary")
+
+
+def _near(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    one = drawn.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = drawn.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
-    return docs.select("text").mapInArrow(run, "node long, n long, items binary, sketch binary")
+    def run(batches):
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                p, q = folded([x, y])
+                near.append(int(np.bitwise_count(p ^ q).sum()) <= (100 - percent) * (a + b) // (100 + percent))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +244,7 @@ def _across(percent: int):
             for members in batch.column(0).to_pylist():
                 members.sort(key=lambda m: m["n"])
                 node, label, n = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n"))
-                drawn = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(members), -1)
+                drawn = folded([m["sketch"] for m in members])
                 step = max(1, PAIRS_AT_ONCE // (len(members) * drawn.shape[1]))
                 for i in range(0, len(members), step):
                     end = int(np.searchsorted(n, 100 * n[min(i + step, len(n)) - 1] // bands.percent, "right"))
@@ -248,20 +270,32 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     rows = space.write(_sizes(given, shingle), "rows")
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     buckets = space.write(_sent(given, shingle, percent, shards).groupBy("shard").applyInArrow(_buckets, "nodes array<long>").distinct(), "buckets")
+
+    def fetched(nodes: DataFrame, name: str, whole: bool) -> DataFrame:
+        """Sets or sketches of the nodes, each from one document."""
+        of = space.write(nodes.join(least, "node").select(F.col("least").alias("id"), "node"), f"{name} from")
+        number = of.count()
+        few = F.broadcast if number <= MOST_BROADCAST else lambda frame: frame  # beyond, the texts are shuffled
+        made = _sets(given.join(few(of.select("id").distinct()), "id", "left_semi"), shingle, whole)
+        made = space.write(made.join(few(of.select("node")), "node", "left_semi"), name)
+        # more only if rows repeat an id and its text
+        return made if made.count() <= number else space.write(made.dropDuplicates(["node"]), f"{name} once")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    drawn = fetched(buckets.select(F.explode("nodes").alias("node")).distinct(), "sketches", whole=False)
     stars = buckets.select(F.col("nodes")[0].alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes) - 1)")).alias("b")).distinct()
-    wanted = buckets.select(F.explode("nodes").alias("node")).distinct()
-    # one document for each set that a bucket holds
-    of = wanted.join(least, "node").select(F.col("least").alias("id"), F.col("node").alias("own"))
-    sets = _sets(given.join(of.select("id").distinct(), "id", "left_semi"), shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = space.write(sets, "sets", "lz4")
-    near = space.write(_verified(stars, sets, percent), "near")
+    stars = space.write(_near(stars, drawn, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    near = space.write(_verified(stars, fetched(ends_of(stars), "sets", whole=True), percent), "near")
     label = space.write(connected(near, space, "first"), "first")
-    rest = buckets.where(F.size("nodes") > 2).select(F.monotonically_increasing_id().alias("bucket"), F.explode("nodes").alias("node")).join(label, "node", "left")
+    rest = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(label, "node", "left")
     rest = rest.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    drawn = rest.join(mixed, "bucket", "left_semi").join(sets.select("node", "n", "sketch"), "node")
-    open_pairs = drawn.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members")).select("members").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = space.write(_verified(open_pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "more")
+    members = rest.join(mixed, "bucket", "left_semi").join(drawn, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
+    open_pairs = members.select("members").mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    open_pairs = space.write(open_pairs, "open")
+    more = space.write(_verified(open_pairs, fetched(ends_of(open_pairs), "more sets", whole=True), percent), "more")
     if not more.isEmpty():
         label = space.write(connected(near.unionByName(more), space, "second"), "second")
     ends = least.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
