@@ -36,6 +36,8 @@ from scriptorium.llm.blocks import MESSAGE, blocked, layout, messages, number, p
 PRIOR = 100.0
 QUANT_BITS = 8
 HEAVY = 1 << 22
+#: Bytes of text to a shard: its bigrams and their trie are held at once.
+SHARD_BYTES = 8 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0x1D8E4E27C47D124F)
 
@@ -320,7 +322,7 @@ def _answer_bigrams(prior: float, bits: int):
 
 def score_corpus(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, bits: int = QUANT_BITS) -> DataFrame:
     """Learns from rows whose train_col is true, scores all: id, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks, shards = layout(docs, text_col)
+    blocks, shards = layout(docs, text_col, shard_bytes=SHARD_BYTES)
     given = blocked(docs, id_col, text_col, blocks, train=F.coalesce(F.col(train_col), F.lit(False)))
     out = T.StructType([docs.schema[id_col], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]])
 
