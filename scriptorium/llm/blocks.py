@@ -32,8 +32,9 @@ def unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(data))
 
 
-def layout(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+def layout(docs: DataFrame, text_col: str, block_bytes: int | None = None, shard_bytes: int | None = None) -> tuple[int, int]:
     """Numbers of blocks and of shards for all bytes of text."""
+    block_bytes, shard_bytes = block_bytes or BLOCK_BYTES, shard_bytes or SHARD_BYTES
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
     return max(1, -(-total // block_bytes)), max(1, -(-total // shard_bytes))
 
