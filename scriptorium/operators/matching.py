@@ -61,12 +61,15 @@ def token_search(queries: DataFrame, query_id: str, query_text: str, rows: DataF
     multiplies nothing unless a query has no other; all words are then tested.
     """
     held = rows.select(F.col(row_id), tokens(F.col(row_text)).alias("held"))
-    index = held.select(row_id, "held", F.explode("held").alias("word"))
     wanted = queries.select(F.col(query_id), tokens(F.col(query_text)).alias("wanted")).where(F.size("wanted") > 0)
-    often = index.groupBy("word").count()
-    each = wanted.select(query_id, "wanted", F.explode("wanted").alias("word")).join(often, "word", "left").fillna(0, ["count"])
-    rarest = each.groupBy(query_id, "wanted").agg(F.min(F.struct("count", "word")).alias("least")).select(query_id, "wanted", F.col("least.word").alias("word"))
-    return rarest.join(index, "word").where(F.size(F.array_except("wanted", "held")) == 0).select(query_id, row_id)
+    each = wanted.select(query_id, "wanted", F.explode("wanted").alias("word"))
+    index = held.select(row_id, F.explode("held").alias("word")).join(each.select("word").distinct(), "word", "left_semi")
+    rated = each.join(index.groupBy("word").count(), "word", "left").fillna(0, ["count"])
+    rarest = rated.groupBy(query_id, "wanted").agg(F.min(F.struct("count", "word")).alias("least")).select(query_id, "wanted", F.col("least.word").alias("word"))
+    hits = rarest.join(index, "word").select(query_id, "wanted", row_id)
+    single = F.size("wanted") == 1  # nothing left to test
+    rest = hits.where(~single).join(held, row_id).where(F.size(F.array_except("wanted", "held")) == 0)
+    return hits.where(single).select(query_id, row_id).unionByName(rest.select(query_id, row_id))
 
 
 def text_score(target: Column, candidate: Column) -> Column:
@@ -111,7 +114,8 @@ def early_exit(scored: DataFrame, target: str, pos: str, score: str = "score", s
     score seen is above the limit.  Adds `seen`, the candidate's number from 0.
     """
     order = Window.partitionBy(target).orderBy(pos)
-    ranked = scored.withColumn("seen", F.row_number().over(order) - 1).where(F.col("seen") < settings.give_up)
+    # a plain limit on the row number is applied before the shuffle, too
+    ranked = scored.withColumn("number", F.row_number().over(order)).where(F.col("number") <= settings.give_up).withColumn("seen", F.col("number") - 1).drop("number")
     so_far = F.max(score).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = ranked.withColumn("ends", (F.col("seen") >= settings.skip_from) & (so_far > settings.skip_score))
     ended = F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -48,20 +48,27 @@ def normalize_unicode(t):
     return t("documents").select("doc_id", F.length(text.plain(F.col("text"))).cast("long").alias("n_plain"))
 
 
-_PAIRS = """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT a.p_name AS a, b.p_name AS b FROM n a, n b),
-steps AS (SELECT a, b, list_reduce(list_prepend([0 for _ in range(0, length(b) + 1)], list_transform(range(1, length(a) + 1), lambda i: [i])),
+_STEPS = """steps AS (SELECT a, b, list_reduce(list_prepend([0 for _ in range(0, length(b) + 1)], list_transform(range(1, length(a) + 1), lambda i: [i])),
  lambda above, i: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
   lambda got, j: list_append(got, CASE WHEN substr(a, i[1], 1) = substr(b, j[1], 1) THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], got[j[1]]) END))) AS last FROM c)
 """
 
 
-@_query(_PAIRS + "SELECT a, b, CAST(round_even(200.0 * last[-1] / (length(a) + length(b)), 0) AS INTEGER) AS ratio FROM steps")
+@_query("""WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part), c AS (SELECT DISTINCT a, b FROM p WHERE b IS NOT NULL),
+""" + _STEPS + "SELECT p_partkey, p.a AS a, p.b AS b, CAST(CASE WHEN p.b IS NULL THEN 0 ELSE round_even(200.0 * last[-1] / (length(p.a) + length(p.b)), 0) END AS INTEGER) AS ratio FROM p LEFT JOIN steps ON p.a = steps.a AND p.b = steps.b")
 def name_similarity(t):
-    # the names are a closed list of some dozens, which stand against each other in full
-    names = t("part").select("p_name").distinct()
-    every = names.agg(F.collect_set("p_name").alias("bs"))
-    pairs = names.select(F.col("p_name").alias("a"), F.lit(1).alias("k")).join(every.withColumn("k", F.lit(1)), "k").select("a", F.explode("bs").alias("b"))
-    return pairs.select("a", "b", text.ratio(F.col("a"), F.col("b")).alias("ratio"))
+    following = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return t("part").select("p_partkey", F.col("p_name").alias("a"), following.alias("b")).withColumn("ratio", text.ratio(F.col("a"), F.col("b")))
+
+
+@_query("""WITH p AS (SELECT p_partkey, p_name || ' ' || lower(p_type) AS a, p_name || ' ' || p_brand AS b FROM part), c AS (SELECT DISTINCT a, b FROM p),
+""" + _STEPS + "SELECT p_partkey, CAST(round_even(200.0 * last[-1] / (length(p.a) + length(p.b)), 0) AS INTEGER) AS ratio FROM p JOIN steps ON p.a = steps.a AND p.b = steps.b")
+def name_similarity_native(t):
+    a, b = F.concat("p_name", F.lit(" "), F.lower("p_type")), F.concat("p_name", F.lit(" "), F.col("p_brand"))
+    return t("part").select("p_partkey", text.ratio_native(a, b).alias("ratio"))
+
+
+_PAIRS = "WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT a.p_name AS a, b.p_name AS b FROM n a, n b), " + _STEPS
 
 
 @_query("SELECT s_suppkey, s_name || ' (' || n_name || ')' AS long_name, substr(s_name, 1, 4) || ' (' || substr(n_name, 1, 4) || ')' AS short_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
