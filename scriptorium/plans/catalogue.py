@@ -434,11 +434,11 @@ def page_geometry(t):
     )
 
 
-@_query("""WITH f AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'A' THEN 'FlateDecode' WHEN 'N' THEN 'DCTDecode' ELSE 'JPXDecode' END, l_linenumber * 1000000 + l_partkey) AS filter, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS image FROM lineitem GROUP BY ALL)
+@_query("""WITH f AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'A' THEN 'FlateDecode' WHEN 'N' THEN 'DCTDecode' ELSE 'JPXDecode' END, (l_linenumber * 1000000 + l_partkey) * 256 + ascii(l_returnflag)) AS filter, arg_max(l_partkey, (l_linenumber * 1000000 + l_partkey) * 256 + ascii(l_returnflag)) AS image FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, image, CASE filter WHEN 'FlateDecode' THEN 'png' WHEN 'DCTDecode' THEN 'jpg' ELSE 'jp2' END AS format FROM f""")
 def page_images(t):
     kind = F.when(F.col("l_returnflag") == "A", "FlateDecode").when(F.col("l_returnflag") == "N", "DCTDecode").otherwise("JPXDecode")
-    i = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("image"), kind.alias("filter"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
+    i = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("image"), kind.alias("filter"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 256 + F.ascii("l_returnflag")).alias("ordinal"))
     return imaging.last_image(i, ["l_orderkey"]).select("l_orderkey", "image", "format")
 
 
