@@ -11,11 +11,13 @@ shingle are left out, but for sets with more than SPARE of those.  Sets that
 share a part meet in a bucket, wherever the sketches' hash sends it.
 
 A second sketch, one bit flipped for each shingle, rules pairs out: its Hamming
-distance never exceeds the difference of the sets.  Of the least sets of its
-buckets, each set is verified against the least one that this leaves.  Then, in
-buckets whose sets are not yet in one component, the pairs across components that
-it leaves are verified, too, so no link is lost.  Whole sets travel only for
-pairs that are left.
+distance never exceeds the difference of the sets.  What it leaves is verified in
+rounds, each for the buckets that are not in one component yet: first a bucket's
+central set against the others, which joins groups of near copies at a cost in
+proportion to their size; then each set against its nearest ones in other
+components, more of them in each round, until no pair across components is left
+unverified.  So no link that joins components is lost, and pairs inside a
+component, which change nothing, are never listed.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing.  Texts of fewer words than a shingle have one, the whole sequence.
@@ -42,8 +44,12 @@ SPARE = 2
 SKETCH_BITS = 1024
 #: So many ids, of 16 bytes each, may be sent to every executor.
 MOST_BROADCAST = 2_000_000
-#: Rows of the Hamming matrix held at once, in pairs.
-PAIRS_AT_ONCE = 1 << 20
+#: Pairs of which Hamming distances are held at once.
+PAIRS_AT_ONCE = 1 << 21
+#: Sets of a bucket to which distances choose its central one.
+PROBES = 64
+#: Rounds of verification: the central set, then so many of the nearest sets, at last all.
+ROUNDS = (0, 2, 32, None)
 
 
 class Bands:
@@ -123,8 +129,8 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """One bit flipped for each shingle, in a power of two of bits, 2 for a shingle and SKETCH_BITS at least."""
-    bits = max(SKETCH_BITS, 1 << (2 * len(s) - 1).bit_length())
+    """One bit flipped for each shingle, in a power of two of bits, 4 for a shingle and SKETCH_BITS at least."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool))
 
@@ -201,22 +207,6 @@ def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, f"node long, n long, {last} binary")
 
 
-def _near(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
-    one = drawn.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    two = drawn.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-
-    def run(batches):
-        for batch in batches:
-            near = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                p, q = folded([x, y])
-                near.append(int(np.bitwise_count(p ^ q).sum()) <= (100 - percent) * (a + b) // (100 + percent))
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -234,29 +224,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(percent: int):
-    """Pairs of a bucket's sets from different components that may link."""
-    bands = _bands(percent)
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of all rows of x to all of y."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for w in range(x.shape[1]):
+        out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    return out
+
+
+def _proposed(percent: int, nearest: int | None):
+    """Pairs of a bucket's sets that may link, in a round of ROUNDS; a row of nulls if there were more."""
+
+    def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (100 - percent) * (a + b) // (100 + percent)
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            left, right, more = [], [], False
             for members in batch.column(0).to_pylist():
                 members.sort(key=lambda m: m["n"])
                 node, label, n = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n"))
                 drawn = folded([m["sketch"] for m in members])
-                step = max(1, PAIRS_AT_ONCE // (len(members) * drawn.shape[1]))
-                for i in range(0, len(members), step):
-                    end = int(np.searchsorted(n, 100 * n[min(i + step, len(n)) - 1] // bands.percent, "right"))
-                    a, b = n[i : i + step, None], n[None, i:end]
-                    near = np.bitwise_count(drawn[i : i + step, None, :] ^ drawn[None, i:end, :]).sum(2, dtype=np.int64) <= (100 - bands.percent) * (a + b) // (100 + bands.percent)
-                    near &= label[i : i + step, None] != label[None, i:end]
-                    x, y = np.nonzero(near)
-                    ok = x < y
-                    out_a.append(node[i + x[ok]])
-                    out_b.append(node[i + y[ok]])
-            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if nearest == 0:
+                    probes = np.linspace(0, len(n) - 1, min(len(n), PROBES)).astype(int)
+                    step = max(1, PAIRS_AT_ONCE // len(probes))
+                    total = np.concatenate([distances(drawn[i : i + step], drawn[probes]).sum(1) for i in range(0, len(n), step)])
+                    c = int(total.argmin())
+                    ok = distances(drawn, drawn[c : c + 1])[:, 0] <= limit(n, n[c])
+                    ok[c] = False
+                    left.append(np.full(int(ok.sum()), node[c]))
+                    right.append(node[ok])
+                    continue
+                step = max(1, PAIRS_AT_ONCE // len(n))
+                for i in range(0, len(n), step):
+                    rows = slice(i, min(i + step, len(n)))
+                    low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
+                    high = int(np.searchsorted(n, 100 * n[rows.stop - 1] // percent, "right"))
+                    d = distances(drawn[rows], drawn[low:high])
+                    ok = (d <= limit(n[rows, None], n[None, low:high])) & (label[rows, None] != label[None, low:high])
+                    if nearest is not None:
+                        full = np.flatnonzero(ok.sum(1) > nearest)
+                        more |= len(full) > 0
+                        for r in full:
+                            there = np.flatnonzero(ok[r])
+                            ok[r, there[np.argsort(d[r, there], kind="stable")[nearest:]]] = False
+                    x, y = np.nonzero(ok)
+                    left.append(node[i + x])
+                    right.append(node[low + y])
+            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+            flag = [None] if more else []
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(z, pa.int64()), pa.array(flag, pa.int64())]) for z in (np.minimum(a, b), np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -285,19 +302,21 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     drawn = fetched(buckets.select(F.explode("nodes").alias("node")).distinct(), "sketches", whole=False)
-    stars = buckets.select(F.col("nodes")[0].alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes) - 1)")).alias("b")).distinct()
-    stars = space.write(_near(stars, drawn, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    near = space.write(_verified(stars, fetched(ends_of(stars), "sets", whole=True), percent), "near")
-    label = space.write(connected(near, space, "first"), "first")
-    rest = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(label, "node", "left")
-    rest = rest.select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    members = rest.join(mixed, "bucket", "left_semi").join(drawn, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
-    open_pairs = members.select("members").mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    open_pairs = space.write(open_pairs, "open")
-    more = space.write(_verified(open_pairs, fetched(ends_of(open_pairs), "more sets", whole=True), percent), "more")
-    if not more.isEmpty():
-        label = space.write(connected(near.unionByName(more), space, "second"), "second")
+    held = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    label = spark.createDataFrame([], "node long, component long")
+    tried = links = spark.createDataFrame([], "a long, b long")
+    for k, nearest in enumerate(ROUNDS):
+        now = held.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
+        members = now.join(mixed, "bucket", "left_semi").join(drawn, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
+        proposed = space.write(members.select("members").mapInArrow(_proposed(percent, nearest), "a long, b long").distinct(), f"proposed {k}")
+        pairs = space.write(proposed.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), f"pairs {k}")
+        if not pairs.isEmpty():
+            found = space.write(_verified(pairs, fetched(ends_of(pairs), f"sets {k}", whole=True), percent), f"links {k}")
+            tried, links = tried.unionByName(pairs), links.unionByName(found)
+            label = space.write(connected(links, space, f"round {k}"), f"label {k}")
+        if k and proposed.where("a IS NULL").isEmpty():
+            break  # every pair across components that sketches leave has been verified
     ends = least.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ends = space.write(ends, "ends")
     final = ends.groupBy("component").agg(F.min("least").alias("component_id"))
