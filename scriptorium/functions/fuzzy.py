@@ -10,10 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Characters of needles that are sent out together, and bytes of texts that are hashed together.
+BLOCK_CHARS, CHUNK_BYTES = 1 << 20, 1 << 21
+#: The most bytes of a piece that are looked up; a power of two.
+GRAM = 32
+_BITS = 20
 
 MATCHES = T.ArrayType(T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("start", "end", "dist")], T.StructField("matched", T.StringType())]))
 
@@ -34,6 +43,11 @@ def search(needle: str, text: str, k: int) -> list[tuple[int, int, int]]:
         d, start = column[n]
         if d <= k:
             hits.append((start, j, d))
+    return _grouped(hits)
+
+
+def _grouped(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The best of each group of overlapping hits, which come by their ends."""
     best: list[tuple[int, int, int]] = []
     reach = -1
     for hit in hits:
@@ -63,3 +77,155 @@ def near_matches(needle: Column, text: Column, k: int) -> Column:
         return pd.Series([[{"start": a, "end": b, "dist": d, "matched": t[a:b]} for a, b, d in search(s, t, k)] if s and t else [] for s, t in rows])
 
     return F.when(may_hold(needle, text, k), found(F.when(may_hold(needle, text, k), needle), F.when(may_hold(needle, text, k), text))).otherwise(F.array().cast(MATCHES))
+
+
+def cuts(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, end) of the k + 1 pieces of n characters."""
+    return [(n * i // (k + 1), n * (i + 1) // (k + 1)) for i in range(k + 1)]
+
+
+def _aligned(needle: str, text: str, k: int, low: int, high: int) -> list[tuple[int, int, int]]:
+    """Every end of a hit in text[low:high]; as in `search`, but only cells of at most k are kept."""
+    n = len(needle)
+    column = {i: (i, low) for i in range(min(n, k) + 1)}  # row -> distance, start; rows ascend
+    hits = []
+    for j in range(low + 1, high + 1):
+        c = text[j - 1]
+        reached = {0: (0, j)}
+        for i, (d, start) in column.items():
+            if i and d < k and reached.get(i, (k + 1,)) > (d + 1, start):
+                reached[i] = (d + 1, start)
+            if i < n and d + (needle[i] != c) <= k and reached.get(i + 1, (k + 1,)) > (d + (needle[i] != c), start):
+                reached[i + 1] = (d + (needle[i] != c), start)
+        column, row, above = {}, 0, None
+        for i in sorted(reached):
+            while above and row < i:
+                column[row], row, above = above, row + 1, (above[0] + 1, above[1]) if above[0] < k else None
+            cell = min(reached[i], above) if above else reached[i]
+            column[i], row, above = cell, i + 1, (cell[0] + 1, cell[1]) if cell[0] < k else None
+        while above and row <= n:
+            column[row], row, above = above, row + 1, (above[0] + 1, above[1]) if above[0] < k else None
+        if n in column:
+            hits.append((column[n][1], j, column[n][0]))
+    return hits
+
+
+def search_near(needle: str, text: str, k: int) -> list[tuple[int, int, int]]:
+    """What `search` finds, from the surroundings of the needle's pieces only."""
+    n = len(needle)
+    if not n or not text:
+        return []
+    if n <= k:
+        return search(needle, text, k)
+    spans = []
+    for a, b in cuts(n, k):
+        at = text.find(needle[a:b])
+        while at >= 0:
+            spans.append((max(0, at - a - k), min(len(text), at - a + n + k)))
+            at = text.find(needle[a:b], at + 1)
+    joined: list[list[int]] = []
+    for low, high in sorted(spans):
+        if joined and low <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    return _grouped([hit for low, high in joined for hit in _aligned(needle, text, k, low, high)])
+
+
+class Needles:
+    """A block of needles, found by the hashes of the first bytes of their pieces."""
+
+    def __init__(self, ids: list, needles: list[str], k: int):
+        self.ids, self.needles, self.k = ids, needles, k
+        self.anywhere = [x for x, needle in enumerate(needles) if 0 < len(needle) <= k]
+        by: dict[int, dict[int, set[int]]] = {}
+        for x, needle in enumerate(needles):
+            for a, b in cuts(len(needle), k) if len(needle) > k else []:
+                piece = needle[a:b].encode()
+                size = min(GRAM, 1 << len(piece).bit_length() - 1)
+                key = next(h for n, h in _hashes(np.frombuffer(piece[:size], np.uint8)) if n == size)
+                by.setdefault(size, {}).setdefault(int(key[0]), set()).add(x)
+        self.grams = {}
+        for size, held in by.items():
+            keys = np.array(sorted(held), np.uint64)
+            seen = np.zeros(1 << _BITS, bool)
+            seen[keys >> np.uint64(64 - _BITS)] = True
+            self.grams[size] = keys, seen, [sorted(held[int(h)]) for h in keys]
+
+    def pairs(self, data: np.ndarray, offs: np.ndarray) -> set[tuple[int, int]]:
+        """(text, needle) of every text in which a piece may occur; offs are the texts' ends within data, from 0."""
+        found = {(t, x) for x in self.anywhere for t in range(len(offs) - 1)}
+        for size, hashes in _hashes(data):
+            if size not in self.grams:
+                continue
+            keys, seen, held = self.grams[size]
+            at = np.flatnonzero(seen[hashes >> np.uint64(64 - _BITS)])
+            slot = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+            same = keys[slot] == hashes[at]
+            texts = np.searchsorted(offs, at[same], "right") - 1
+            for t, h in np.unique(np.column_stack([texts, slot[same]]), axis=0).tolist():
+                found.update((t, x) for x in held[h])
+        return found
+
+
+def _hashes(data: np.ndarray):
+    """(size, hashes of the `size` bytes from each place on) for sizes 1, 2, 4 to GRAM, as far as there are so many."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        hashes, size = (data.astype(np.uint64) + np.uint64(1)) * mix, 1
+        while len(hashes):
+            yield size, hashes
+            if size == GRAM:
+                return
+            left, right = hashes[: max(0, len(hashes) - size)], hashes[size:]
+            hashes = (left ^ left >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + right
+            hashes, size = (hashes ^ hashes >> np.uint64(32)) * mix, 2 * size
+
+
+def search_all(items: DataFrame, item_id: str, needle: str, docs: DataFrame, doc_id: str, text: str, k: int, block_chars: int | None = None) -> DataFrame:
+    """(item_id, needle, doc_id, matches) of every pair of rows with a hit, `matches` as by `near_matches`.
+
+    Needles go out in blocks of some block_chars characters, each against all
+    texts.  Null or empty needles and texts have no hits; rows that repeat an id,
+    or have none, count as rows of their own.
+    """
+    given = items.select(F.col(item_id).alias("id"), F.col(needle).alias("needle")).where(F.length("needle") > 0)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    total = given.agg(F.sum(F.length("needle"))).first()[0] or 0
+    count = max(1, -(-total // (block_chars or BLOCK_CHARS)))
+    schema = T.StructType([T.StructField(item_id, given.schema["id"].dataType), T.StructField(needle, T.StringType()), T.StructField(doc_id, texts.schema["id"].dataType), T.StructField("matches", MATCHES)])
+    parts = []
+    for b in range(count):
+        rows = given.where(F.pmod(F.xxhash64("needle"), F.lit(count)) == b).collect()  # of bounded size
+        block = items.sparkSession.sparkContext.broadcast(Needles([r["id"] for r in rows], [r["needle"] for r in rows], k))
+        parts.append(texts.mapInArrow(_scan(block, schema), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scan(block, schema: T.StructType):
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches):
+        held = block.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(1).cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            first = 0
+            while first < len(column):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
+                out: list[tuple] = []
+                near = held.pairs(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
+                texts = {t: column[first + t].as_py() for t in {t for t, _ in near}}
+                for t, x in sorted(near):
+                    if hits := search_near(held.needles[x], texts[t], held.k):
+                        out.append((x, first + t, [{"start": a, "end": b, "dist": d, "matched": texts[t][a:b]} for a, b, d in hits]))
+                first = last
+                if out:
+                    rows = [r for _, r, _ in out]
+                    found = [pa.array([held.ids[x] for x, _, _ in out], types[0]), pa.array([held.needles[x] for x, _, _ in out], types[1]), batch.column(0).take(pa.array(rows)).cast(types[2]), pa.array([m for _, _, m in out], types[3])]
+                    yield pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    return run
