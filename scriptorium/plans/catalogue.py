@@ -8,6 +8,7 @@ rows.  Every query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -261,6 +262,47 @@ def early_exit(t):
     return matching.early_exit(_scored(t), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
 
 
+#: Every part is a target.
+_SCORED_ALL = _SCORED.replace(" JOIN f ON t.p_partkey = f.k", "")
+
+
+def _scored_all(t, first: int | None = None):
+    """Every part as target, against all parts of its type, or the first of them in the order of keys.
+
+    The parts of a type are candidates of all its parts, in one order, so a search
+    that gives up after so many never sees those beyond.  A part without a type has none.
+    """
+    p = t("part").select("p_partkey", "p_name", "p_size", "p_type")
+    held = p if first is None else matching.first_of_block(p, "p_type", "p_partkey", first)
+    targets = p.select("p_type", F.col("p_partkey").alias("target"), F.col("p_name").alias("t_name"), F.array("p_size").alias("t_number"))
+    met = targets.select("p_type", "t_name").distinct().join(held.select("p_type", F.col("p_name").alias("c_name")).distinct(), "p_type")
+    titles = met.select("t_name", "c_name").distinct().withColumn("s_title", matching.text_score(F.col("t_name"), F.col("c_name")))
+    c = F.col("p_size")
+    scores = {"title": F.col("s_title"), "number": matching.number_score(F.col("t_number"), F.array(c, c + 1, c + 2), F.lit(False), F.lit(True))}
+    known = met.alias("m").join(titles.alias("x"), F.col("m.t_name").eqNullSafe(F.col("x.t_name")) & F.col("m.c_name").eqNullSafe(F.col("x.c_name"))).select("m.*", "x.s_title")
+    named = targets.alias("t").join(known.alias("k"), (F.col("t.p_type") == F.col("k.p_type")) & F.col("t.t_name").eqNullSafe(F.col("k.t_name"))).select("t.*", "k.c_name", "k.s_title")
+    named = named.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target")  # few bytes here, which one task would take, make very many pairs
+    pairs = named.alias("n").join(held.alias("h"), (F.col("n.p_type") == F.col("h.p_type")) & F.col("n.c_name").eqNullSafe(F.col("h.p_name"))).select("n.target", "n.t_number", "n.s_title", "h.p_partkey", "h.p_size")
+    n_scored = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in scores.values()])
+    return pairs.select("target", F.col("p_partkey").alias("pos"), "s_title", scores["number"].alias("s_number"), matching.mean_score(scores).alias("score"), n_scored.alias("n_scored"))
+
+
+@_query(_SCORED_ALL + "SELECT target, pos, s_title, s_number, round(score, 6) AS score, CAST(2 AS INTEGER) AS n_scored FROM g")
+def match_scores_all(t):
+    return _scored_all(t).withColumn("score", F.round("score", 6))
+
+
+@_query(_SCORED_ALL + _SEEN + "SELECT target, pos, round(score, 6) AS score, score >= 0.5 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos) AS n FROM e) WHERE n = 1")
+def match_best_all(t):
+    best = matching.best_match(_scored_all(t, matching.DEFAULTS.give_up), "target", "pos")
+    return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
+
+
+@_query(_SCORED_ALL + _SEEN + "SELECT target, pos, seen FROM e")
+def early_exit_all(t):
+    return matching.early_exit(_scored_all(t, matching.DEFAULTS.give_up), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
+
+
 @_query("""WITH s AS (SELECT o_custkey AS target, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS issue, o_orderkey AS pos, round(o_totalprice / 500000, 4) AS score FROM orders),
 o AS (SELECT target, issue, max(best) OVER (PARTITION BY target ORDER BY issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT target, issue, max(score) AS best FROM s GROUP BY ALL)),
 r AS (SELECT s.*, row_number() OVER (PARTITION BY s.target ORDER BY score DESC, s.issue, pos) AS rank FROM s JOIN o ON s.target = o.target AND s.issue = o.issue WHERE before IS NULL OR before <= 0.7)
