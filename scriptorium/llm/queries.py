@@ -65,6 +65,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the role machine accepts a conversation's turns in their order."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(turns).select("conv_id", "n_turns", "valid")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_unigram_token_count,
         op5_compression_quality,
         op6_chat_format,
+        op6_turn_order,
         op7_exact_dedup,
         op8_token_files,
         op9_ngram_jaccard,
