@@ -4,13 +4,14 @@ Two zstandard dictionaries are built, from texts labelled good and bad.  A text
 is compressed with either, in independent blocks of BLOCK bytes or somewhat more,
 so that it does not become its own dictionary.  The size with the bad dictionary
 less that with the good one, over their sum, is large where the text is like the
-good ones.  That difference of the whole text, and that of its worst block, go
+good ones.  That difference of the whole text, and that of its bad blocks (the
+tenth percentile over its blocks, which does not sink as texts get longer), go
 through a logistic curve fitted on labelled rows that no dictionary has seen,
 which gives the chance of label 1.
 
 The fit reads at most SAMPLE labelled rows of either label, the first by a hash
-of their ids, and at most SAMPLE_BYTES of each text; a score reads every whole
-text and nothing but the text.  Null texts are empty, and an empty text gets the
+of their ids, each as a whole text; a score reads every whole text and nothing
+but the text.  Null texts are empty, and an empty text gets the
 share of label 1.  Labels that contradict each other for a document count as 0;
 null labels or ids do not count.  Without labels of both kinds, every score is
 the share of label 1, or 0.5 if there are none.
@@ -30,7 +31,6 @@ from pyspark.sql import types as T
 from scriptorium.llm.arrays import column_bytes
 
 SAMPLE = 2000
-SAMPLE_BYTES = 16_384
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -66,15 +66,19 @@ class Sizes:
             self.both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False))
 
     def features(self, text: memoryview) -> tuple[float, float]:
-        """(bad - good) / (bad + good) in compressed bytes: of all blocks, and the least of any block."""
+        """(bad - good) / (bad + good) in compressed bytes: of all blocks, and the tenth percentile of single ones."""
         good = bad = 0
-        worst = 1.0
+        each = []
         n = max(1, len(text) // self.block)
         for i in range(n):
             part = text[i * len(text) // n : (i + 1) * len(text) // n]
             g, b = len(self.both[0].compress(part)), len(self.both[1].compress(part))
-            good, bad, worst = good + g, bad + b, min(worst, (b - g) / (b + g))
-        return (bad - good) / (bad + good), worst
+            good, bad = good + g, bad + b
+            each.append((b - g) / (b + g))
+        each.sort()
+        at = (n - 1) / 10
+        low = each[int(at)]
+        return (bad - good) / (bad + good), low + (each[min(int(at) + 1, n - 1)] - low) * (at - int(at))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -109,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     chosen = [marks.where(F.col("label") == k).orderBy("order", "id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 x sample ids at most
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(few, "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).orderBy("order", "id").collect()
     by = {k: [r["text"].encode() for r in rows if r["label"] == k and r["text"]] for k in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
