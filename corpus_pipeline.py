@@ -35,9 +35,21 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, the one with the smallest doc_id stays."""
-    groups = jaccard.components(docs, shingle=5, percent=80)
-    return docs.join(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by five-word shingles at 0.8, the one with the smallest doc_id stays, null ids last.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, stand or go for themselves.
+    """
+    keyed = docs.withColumn("row key", F.xxhash64("doc_id", "text"))
+    groups = jaccard.components(keyed, shingle=5, percent=80, id_col="row key")
+    several = groups.where(F.col("row key") != F.col("component_id")).select("component_id").distinct()
+    members = groups.join(several, "component_id", "left_semi").select("row key", "component_id").distinct()
+    known = keyed.select("row key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row key").alias("place")).join(members, "row key")
+    first = known.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = known.join(first, "component_id").where(F.col("row key") != F.col("first.row key")).select("row key").distinct()
+    kept = keyed.join(gone, "row key", "left_anti")
+    equal = groups.where("n_shingles > 0").groupBy("row key").count().where("count > 1").select("row key")  # equal rows; none after exact dedup
+    once = kept.join(equal, "row key", "left_semi").dropDuplicates(["row key"])
+    return kept.join(equal, "row key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
