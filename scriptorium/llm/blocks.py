@@ -51,6 +51,16 @@ def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, steps), [len(keys)]]).astype(np.int64)
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of 64-bit keys, ascending with them."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """The same non-negative integers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     block, shard, payload = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table([pa.array(block, pa.int64()), pa.array(shard, pa.int32()), pa.array(payload, pa.binary())], names=_NAMES)

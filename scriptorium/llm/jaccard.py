@@ -4,26 +4,33 @@ A document's set is its distinct word shingles.  Equal sets are one node from th
 start, so copies cost nothing later.  Sizes fall into bands such that sets that
 can link lie in one band or in neighbouring ones.  In a band's geometry, which
 its own sets and those of the band below take part in, two linked sets differ in
-at most d shingles.  A hash deals shingles to d + 1 + SPARE parts, and a part's
+at most d shingles.  A hash deals shingles to d + 1 + spare(d) parts, and a part's
 sketch is the XOR of its shingles' hashes: each differing shingle spoils one part
-at most, so linked sets have at least 1 + SPARE equal parts.  Parts without any
-shingle are left out, but for sets with more than SPARE of those.  Sets that
-share a part meet in a bucket, wherever the sketches' hash sends it.
+at most, so linked sets have at least 1 + spare(d) equal parts.  A set leaves its
+poorest parts out, those of at most c shingles for the largest c with no more
+than spare(d) of them.  Equal parts are equally rich, so of two sets' equal parts
+the greater c rules out spare(d) at most, and one is left that both put forward.
+That keeps sets apart that share no more than a line.  Sets that share a part
+meet in a bucket, wherever the sketches' hash sends it.
 
 A second sketch, one bit flipped for each shingle, rules pairs out: its Hamming
-distance never exceeds the difference of the sets.  What it leaves is verified in
-rounds, each for the buckets that are not in one component yet: first a bucket's
-central set against the others, which joins groups of near copies at a cost in
-proportion to their size; then each set against its nearest ones in other
-components, more of them in each round, until no pair across components is left
-unverified.  So no link that joins components is lost, and pairs inside a
-component, which change nothing, are never listed.
+distance never exceeds the difference of the sets.  What it leaves is verified
+with whole sets, in rounds, each for the buckets that are not in one component
+yet.  First a bucket's least node against the others, by names alone, which joins
+groups of near copies at a cost in proportion to their size.  Then each set
+against its nearest ones in other components, more of them in each round, until
+no pair across components is left unverified.  So no link that joins components
+is lost, and pairs inside a component, which change nothing, are never listed.
+A bucket of more than SLICE sets is split into pairs of slices.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing.  Texts of fewer words than a shingle have one, the whole sequence.
-Equal rows link with each other like any copies.  Shingles count as equal when
-their 64-bit hashes are.  Documents with the same id but different texts share
-the component of the least id that either reaches only if the texts link.
+Equal rows link with each other like any copies, and rows without an id link like
+any others; a component without any id has null for its least id.  Shingles count
+as equal when their 64-bit hashes are.  Documents with the same id but different
+texts share a component only if the texts link.  Texts of any length are whole
+sets.  An empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,22 +41,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm.arrays import NOT_BLANK, Words, chunks, mix, run_hashes
-from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, shard_bounds
+from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, shard_of, small
 from scriptorium.llm.components import components as connected
 from scriptorium.llm.shared import Workspace
 
-SPARE = 2
-SKETCH_BITS = 1024
-#: So many ids, of 16 bytes each, may be sent to every executor.
-MOST_BROADCAST = 2_000_000
+#: Bits of the second sketch for a set: a power of two, two for a shingle at least.
+LEAST_BITS = 512
 #: Pairs of which Hamming distances are held at once.
 PAIRS_AT_ONCE = 1 << 21
-#: Sets of a bucket to which distances choose its central one.
-PROBES = 64
-#: Rounds of verification: the central set, then so many of the nearest sets, at last all.
-ROUNDS = (0, 2, 32, None)
+#: Sets of a bucket that are compared in one task, at most twice as many.
+SLICE = 1024
+#: Rounds of verification after the first: so many of the nearest sets, at last all.
+ROUNDS = (2, 32, None)
+#: The most bits of the filter that keeps unneeded texts out of a shuffle; 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def spare(d: int) -> int:
+    """Parts beyond pigeonhole, of which so many may stay out."""
+    return 2 + d // 8
 
 
 class Bands:
@@ -74,7 +87,11 @@ class Bands:
             self.low.append(100 * self.low[-1] // self.percent + 1)
         high = self.low[band + 1] - 1
         d = self.most(high, high)
-        return d + 1 + SPARE if d else 0
+        return d + 1 + spare(d) if d else 0
+
+    def spared(self, band: int) -> int:
+        high = self.low[band + 1] - 1
+        return spare(self.most(high, high))
 
 
 @lru_cache(8)
@@ -107,10 +124,10 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     """Bucket keys of all sets, and the place of the set of each."""
     bands = _bands(percent)
     own = [bands.of(len(s)) for s in sets]
-    jobs = [(i, g, n) for i, band in enumerate(own) for g in (band, band + 1) if len(sets[i]) and (n := bands.parts(g))]
+    jobs = [(i, g, n, bands.spared(g)) for i, band in enumerate(own) for g in (band, band + 1) if len(sets[i]) and (n := bands.parts(g))]
     if not jobs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    which, geometry, count = (np.array(x, np.int64) for x in zip(*jobs, strict=True))
+    which, geometry, count, most = (np.array(x, np.int64) for x in zip(*jobs, strict=True))
     base = np.cumsum(count) - count
     length = np.array([len(sets[i]) for i in which], np.int64)
     flat = np.concatenate([sets[i] for i in which])
@@ -122,15 +139,20 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     job = np.repeat(np.arange(len(jobs)), count)
     place = (np.arange(total) - base[job]).astype(np.uint64)
     keys = mix(value ^ mix((geometry[job].astype(np.uint64) << np.uint64(40)) + place))
-    empty = members == 0
-    spared = np.bincount(job, weights=empty, minlength=len(jobs)) <= SPARE
-    keep = ~(empty & spared[job])
+    keep, poor, c = np.ones(total, bool), np.ones(len(jobs), bool), 0
+    while poor.any():  # sets that may leave out their parts of at most c shingles
+        few = members <= c
+        poor = np.bincount(job, weights=few, minlength=len(jobs)) <= most
+        keep &= ~(few & poor[job])
+        c += 1
+        if c > members.max(initial=0):
+            break
     return keys[keep], which[job[keep]]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """One bit flipped for each shingle, in a power of two of bits, 4 for a shingle and SKETCH_BITS at least."""
-    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length())
+    """One bit flipped for each shingle, in a power of two of bits, two for a shingle and LEAST_BITS at least."""
+    bits = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool))
 
@@ -141,41 +163,46 @@ def folded(drawn: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in drawn])
 
 
-def _sizes(docs: DataFrame, shingle: int) -> DataFrame:
+def _rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, key, n, node and sketch of each row; node and sketch are null without shingles."""
+
     def run(batches):
         for rows, data, offs in chunks(batches, "text"):
             sets = shingle_sets(Words(data, offs, NOT_BLANK, lower=True), shingle)
             node = [int(node_of(s).view(np.int64)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())], names=["id", "n", "node"])
+            drawn = [sketch(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(drawn, pa.binary())], names=["id", "key", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("key", "n", "node")), T.StructField("sketch", T.BinaryType())]))
 
 
 def _sent(docs: DataFrame, shingle: int, percent: int, shards: int) -> DataFrame:
+    """Messages from chunks of documents to shards: per set its name, its number of keys there, and 40 bits of each."""
+
     def run(batches):
         for _, data, offs in chunks(batches, "text"):
             sets = {node_of(s): s for s in shingle_sets(Words(data, offs, NOT_BLANK, lower=True), shingle) if len(s)}
             nodes = np.array(list(sets), np.uint64)
             keys, which = part_keys(list(sets.values()), percent)
-            order = np.argsort(keys)
-            keys, which = keys[order], which[order]
-            cuts = shard_bounds(keys, shards)
+            shard = shard_of(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            keys, which, shard = keys[order], which[order], shard[order]
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
             out = []
-            for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if b > a:
-                    used, place = np.unique(which[a:b], return_inverse=True)
-                    short = (keys[a:b] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # what two keys share by chance is verified, too
-                    out.append((0, s, pack(np.ascontiguousarray(short), place.astype(np.uint16 if len(used) < 65_536 else np.uint32), nodes[used])))
+            for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True):
+                used, count = np.unique(which[a:b], return_counts=True)
+                short = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # what two keys share by chance is verified, too
+                out.append((0, int(shard[a]), pack(np.ascontiguousarray(short), small(count), nodes[used])))
             yield from messages(out).to_batches()
 
     return docs.select("text").mapInArrow(run, MESSAGE)
 
 
 def _buckets(key: tuple, table: pa.Table) -> pa.Table:
-    """The distinct sets of each bucket that has several."""
+    """The distinct sets of each bucket that has several; of buckets with the same sets, one."""
     got = [x[2] for x in received(table)]
-    keys = np.concatenate([np.pad(k, ((0, 0), (0, 2))).view("<u8").reshape(-1) for k, _, _ in got])
-    nodes = np.concatenate([n[p] for _, p, n in got])
+    keys = np.concatenate([np.pad(k, ((0, 0), (0, 3))).view("<u8").reshape(-1) for k, _, _ in got])
+    nodes = np.concatenate([np.repeat(n, c.astype(np.int64)) for _, c, n in got])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), bool)
@@ -194,17 +221,55 @@ def _buckets(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["nodes"])
 
 
-def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """node, n and either the set (items, binary) or its sketch, of each row."""
-    last = "items" if whole else "sketch"
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each key in a filter."""
+    keys = mix(keys.view(np.uint64))
+    return [(keys >> np.uint64(s) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 12, 24, 36)]
+
+
+def _filter(keys: DataFrame, number: int):
+    """A Bloom filter of the column `key`, broadcast; of FILTER_BITS at most, whatever the number of keys.
+
+    Fuller, it lets more through, and decides nothing but how much is shuffled.
+    """
+    bits = min(FILTER_BITS, 1 << max(16, (16 * number).bit_length()))
+    step = min(bits, 1 << 20)
+
+    def partial(batches):
+        held = np.zeros(bits, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), bits):
+                held[at] = True
+        for i in range(0, bits, step):
+            if held[i : i + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(held[i : i + step]).tobytes()], pa.binary())], names=["at", "bits"])
+
+    def united(key, table):
+        made = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+        return pa.table([pa.array([table.column("at")[0].as_py()], pa.int64()), pa.array([made.tobytes()], pa.binary())], names=["at", "bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in keys.select("key").mapInArrow(partial, "at long, bits binary").groupBy("at").applyInArrow(united, "at long, bits binary").collect():
+        whole[r["at"] // 8 : (r["at"] + step) // 8] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((bits, whole))
+
+
+def _sets(docs: DataFrame, shingle: int, needed) -> DataFrame:
+    """node and the set (items, binary) of the rows whose key the filter lets through."""
 
     def run(batches):
-        for _, data, offs in chunks(batches, "text"):
-            sets = [s for s in shingle_sets(Words(data, offs, NOT_BLANK, lower=True), shingle) if len(s)]
-            shown = sets if whole else map(sketch, sets)
-            yield pa.RecordBatch.from_arrays([pa.array([int(node_of(s).view(np.int64)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in shown], pa.binary())], names=["node", "n", last])
+        bits, held = needed.value
+        for batch in batches:
+            yes = np.ones(batch.num_rows, bool)
+            for at in _places(batch.column(0).to_numpy(), bits):
+                yes &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            if not yes.any():
+                continue
+            for _, data, offs in chunks([batch.filter(pa.array(yes))], "text"):
+                sets = [s for s in shingle_sets(Words(data, offs, NOT_BLANK, lower=True), shingle) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(node_of(s).view(np.int64)) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "items"])
 
-    return docs.select("text").mapInArrow(run, f"node long, n long, {last} binary")
+    return docs.select("key", "text").mapInArrow(run, "node long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,11 +282,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yes = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 yes.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _limit(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles in which linked sets of a and b shingles can differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sketches do not rule out."""
+    one = nodes.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            yes = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = folded([x["sketch"], y["sketch"]])
+                yes.append(int(np.bitwise_count(p ^ q).sum()) <= _limit(percent, x["n"], y["n"]))
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -233,35 +319,24 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _proposed(percent: int, nearest: int | None):
-    """Pairs of a bucket's sets that may link, in a round of ROUNDS; a row of nulls if there were more."""
-
-    def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (100 - percent) * (a + b) // (100 + percent)
+    """Pairs of two slices' sets, in different components, that may link; a row of nulls if there were more."""
 
     def run(batches):
         for batch in batches:
             left, right, more = [], [], False
-            for members in batch.column(0).to_pylist():
+            for p, q, members in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 members.sort(key=lambda m: m["n"])
-                node, label, n = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n"))
+                node, label, n, slice_ = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n", "slice"))
                 drawn = folded([m["sketch"] for m in members])
-                if nearest == 0:
-                    probes = np.linspace(0, len(n) - 1, min(len(n), PROBES)).astype(int)
-                    step = max(1, PAIRS_AT_ONCE // len(probes))
-                    total = np.concatenate([distances(drawn[i : i + step], drawn[probes]).sum(1) for i in range(0, len(n), step)])
-                    c = int(total.argmin())
-                    ok = distances(drawn, drawn[c : c + 1])[:, 0] <= limit(n, n[c])
-                    ok[c] = False
-                    left.append(np.full(int(ok.sum()), node[c]))
-                    right.append(node[ok])
-                    continue
                 step = max(1, PAIRS_AT_ONCE // len(n))
                 for i in range(0, len(n), step):
                     rows = slice(i, min(i + step, len(n)))
                     low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
                     high = int(np.searchsorted(n, 100 * n[rows.stop - 1] // percent, "right"))
                     d = distances(drawn[rows], drawn[low:high])
-                    ok = (d <= limit(n[rows, None], n[None, low:high])) & (label[rows, None] != label[None, low:high])
+                    ok = (d <= _limit(percent, n[rows, None], n[None, low:high])) & (label[rows, None] != label[None, low:high])
+                    if p != q:
+                        ok &= slice_[rows, None] != slice_[None, low:high]
                     if nearest is not None:
                         full = np.flatnonzero(ok.sum(1) > nearest)
                         more |= len(full) > 0
@@ -278,47 +353,63 @@ def _proposed(percent: int, nearest: int | None):
     return run
 
 
+def _in_slices(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """p, q and members: for every two slices of every bucket (bucket, node, component, size of the bucket) their sets."""
+    number = F.ceil(F.col("size") / SLICE)
+    dealt = held.withColumn("slice", F.pmod(F.xxhash64("bucket", "node"), number)).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1)))
+    each = dealt.select("bucket", "node", "component", "slice", F.least("slice", "other").alias("p"), F.greatest("slice", "other").alias("q"))
+    return each.join(nodes.select("node", "n", "sketch"), "node").groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "slice")).alias("members")).select("p", "q", "members")
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (least id that links reach); links are sets with Jaccard >= percent / 100."""
     spark = docs.sparkSession
     space = Workspace(spark, "jaccard")
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     _, shards = layout(given, "text")
-    rows = space.write(_sizes(given, shingle), "rows")
-    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
+    rows = space.write(_rows(given, shingle), "rows")
     buckets = space.write(_sent(given, shingle, percent, shards).groupBy("shard").applyInArrow(_buckets, "nodes array<long>").distinct(), "buckets")
-
-    def fetched(nodes: DataFrame, name: str, whole: bool) -> DataFrame:
-        """Sets or sketches of the nodes, each from one document."""
-        of = space.write(nodes.join(least, "node").select(F.col("least").alias("id"), "node"), f"{name} from")
-        number = of.count()
-        few = F.broadcast if number <= MOST_BROADCAST else lambda frame: frame  # beyond, the texts are shuffled
-        made = _sets(given.join(few(of.select("id").distinct()), "id", "left_semi"), shingle, whole)
-        made = space.write(made.join(few(of.select("node")), "node", "left_semi"), name)
-        # more only if rows repeat an id and its text
-        return made if made.count() <= number else space.write(made.dropDuplicates(["node"]), f"{name} once")
-
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-    drawn = fetched(buckets.select(F.explode("nodes").alias("node")).distinct(), "sketches", whole=False)
-    held = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    met = buckets.select(F.explode("nodes").alias("node")).distinct()
+    # a copy of a set is as good as another; partial aggregates leave one of each before the shuffle
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "n", "sketch")).alias("one")).join(met, "node", "left_semi")
+    nodes = space.write(nodes.select("node", "one.key", "one.n", "one.sketch"), "nodes")
+    held = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"), F.col("node").alias("component"), F.size("nodes").alias("size"))
     label = spark.createDataFrame([], "node long, component long")
     tried = links = spark.createDataFrame([], "a long, b long")
-    for k, nearest in enumerate(ROUNDS):
-        now = held.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-        members = now.join(mixed, "bucket", "left_semi").join(drawn, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
-        proposed = space.write(members.select("members").mapInArrow(_proposed(percent, nearest), "a long, b long").distinct(), f"proposed {k}")
-        pairs = space.write(proposed.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), f"pairs {k}")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among the pairs; each set is fetched from one document."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        needed = space.write(nodes.select("node", "key").join(ends, "node", "left_semi"), f"needed {name}")
+        few = _filter(needed, needed.count())
+        sets = _sets(given, shingle, few).join(needed.select("node"), "node", "left_semi")
+        sets = space.write(sets.groupBy("node").agg(F.min("items").alias("items")), f"sets {name}", codec="none")
+        found = space.write(_verified(pairs, sets, percent), f"links {name}")
+        space.drop(f"sets {name}")
+        few.unpersist()
+        return found
+
+    least = buckets.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
+    pairs = space.write(_close(least, nodes, percent), "pairs 0")
+    for k, nearest in enumerate((0, *ROUNDS)):
+        if k:
+            proposed = space.write(_in_slices(held, nodes).mapInArrow(_proposed(percent, nearest), "a long, b long").distinct(), f"proposed {k}")
+            pairs = space.write(proposed.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), f"pairs {k}")
         if not pairs.isEmpty():
-            found = space.write(_verified(pairs, fetched(ends_of(pairs), f"sets {k}", whole=True), percent), f"links {k}")
-            tried, links = tried.unionByName(pairs), links.unionByName(found)
-            label = space.write(connected(links, space, f"round {k}"), f"label {k}")
+            tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs, str(k)))
+            joined = connected(links, space, f"round {k}")
+            label = space.write(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), f"label {k}")
         if k and proposed.where("a IS NULL").isEmpty():
             break  # every pair across components that sketches leave has been verified
-    ends = least.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    ends = space.write(ends, "ends")
-    final = ends.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = ends.join(final, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        now = held.drop("component").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "size")
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
+        held = space.write(now.join(mixed, "bucket", "left_semi"), f"held {k}")
+    # the least id of each set, then of each component; sets that link with none are their own
+    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
+    linked = known.join(label, "node")
+    final = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    ends = space.write(linked.join(final, "component").select("node", "component_id"), "ends")
+    alone = known.join(label, "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    result = rows.select("id", "n", "node").join(ends.unionByName(alone), "node", "left")
+    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -21,7 +21,7 @@ def sizes(request, monkeypatch):
         monkeypatch.setattr(blocks, "BLOCK_BYTES", 15_000)
         monkeypatch.setattr(blocks, "SHARD_BYTES", 40_000)
         monkeypatch.setattr(lm, "SHARD_BYTES", 40_000)
-        monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
+        monkeypatch.setattr(jaccard, "SLICE", 2)
     return request.param
 
 
