@@ -16,10 +16,11 @@ meet in a bucket, wherever the sketches' hash sends it.
 A second sketch, one bit flipped for each shingle, rules pairs out: its Hamming
 distance never exceeds the difference of the sets.  What it leaves is verified
 with whole sets, in rounds, each for the buckets that are not in one component
-yet.  First a bucket's least node against the others, by names alone, which joins
-groups of near copies at a cost in proportion to their size.  Then each set
-against its nearest ones in other components, more of them in each round, until
-no pair across components is left unverified.  So no link that joins components
+yet.  First a bucket's hub, the set that is in most buckets, against the others,
+by names alone, which joins groups of near copies at a cost in proportion to their
+size.  Then each set outside a bucket's largest component against its nearest ones
+in other components, more of them in each round, until no pair across components
+is left unverified.  So no link that joins components
 is lost, and pairs inside a component, which change nothing, are never listed.
 A bucket of more than SLICE sets is split into pairs of slices.
 
@@ -55,7 +56,7 @@ PAIRS_AT_ONCE = 1 << 21
 #: Sets of a bucket that are compared in one task, at most twice as many.
 SLICE = 1024
 #: Rounds of verification after the first: so many of the nearest sets, at last all.
-ROUNDS = (2, 32, None)
+ROUNDS = (1, 32, None)
 #: The most bits of the filter that keeps unneeded texts out of a shuffle; 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -328,11 +329,15 @@ def _proposed(percent: int, nearest: int | None):
                 members.sort(key=lambda m: m["n"])
                 node, label, n, slice_ = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n", "slice"))
                 drawn = folded([m["sketch"] for m in members])
+                # the largest component's sets do not ask: one end of every pair across components is in another
+                kinds, back, count = np.unique(label, return_inverse=True, return_counts=True)
+                asks = back != count.argmax()
                 step = max(1, PAIRS_AT_ONCE // len(n))
-                for i in range(0, len(n), step):
-                    rows = slice(i, min(i + step, len(n)))
-                    low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-                    high = int(np.searchsorted(n, 100 * n[rows.stop - 1] // percent, "right"))
+                asking = np.flatnonzero(asks)
+                for i in range(0, len(asking), step):
+                    rows = asking[i : i + step]
+                    low = int(np.searchsorted(n, -(-percent * n[rows[0]] // 100)))
+                    high = int(np.searchsorted(n, 100 * n[rows[-1]] // percent, "right"))
                     d = distances(drawn[rows], drawn[low:high])
                     ok = (d <= _limit(percent, n[rows, None], n[None, low:high])) & (label[rows, None] != label[None, low:high])
                     if p != q:
@@ -344,7 +349,7 @@ def _proposed(percent: int, nearest: int | None):
                             there = np.flatnonzero(ok[r])
                             ok[r, there[np.argsort(d[r, there], kind="stable")[nearest:]]] = False
                     x, y = np.nonzero(ok)
-                    left.append(node[i + x])
+                    left.append(node[rows[x]])
                     right.append(node[low + y])
             a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
             flag = [None] if more else []
@@ -383,15 +388,15 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         needed = space.write(nodes.select("node", "key").join(ends, "node", "left_semi"), f"needed {name}")
         few = _filter(needed, needed.count())
-        sets = _sets(given, shingle, few).join(needed.select("node"), "node", "left_semi")
-        sets = space.write(sets.groupBy("node").agg(F.min("items").alias("items")), f"sets {name}", codec="none")
+        sets = _sets(given, shingle, few).groupBy("node").agg(F.min("items").alias("items"))  # both sides of the pairs reuse its exchange
         found = space.write(_verified(pairs, sets, percent), f"links {name}")
-        space.drop(f"sets {name}")
         few.unpersist()
         return found
 
-    least = buckets.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
-    pairs = space.write(_close(least, nodes, percent), "pairs 0")
+    degree = held.groupBy("node").count().select("node", F.struct("count", "node").alias("rank"))
+    hubs = held.join(degree, "node").groupBy("bucket").agg(F.max("rank").alias("rank")).select("bucket", F.col("rank.node").alias("hub"))
+    spokes = held.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = space.write(_close(spokes, nodes, percent), "pairs 0")
     for k, nearest in enumerate((0, *ROUNDS)):
         if k:
             proposed = space.write(_in_slices(held, nodes).mapInArrow(_proposed(percent, nearest), "a long, b long").distinct(), f"proposed {k}")
