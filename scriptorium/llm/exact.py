@@ -3,27 +3,33 @@
 Rows are dealt by sampled splitters over the first bytes of the normalised
 text, then its hash, then the id, so that a large group of copies spreads over
 many tasks.  Each task sorts its range on disk if need be, compares neighbours
-in full and closes runs of equal texts.  Only runs that touch an end of a range
-can go on elsewhere: these, a few for each partition, are matched by full text.
+in full and closes runs of equal texts; it holds no more than the rows of one
+hash, and those of its range at most, some RANGE_BYTES.  Only runs that touch an
+end of a range can go on elsewhere: these, two or so for each range, are matched
+by the SHA-256 of their text.
 
 Null texts count as empty, and all empty texts are copies of each other.  Of
-rows with equal text and equal id one stays.  A null id sorts first.  Texts of
-any length are compared whole; the splitters hold no more than PREFIX characters.
+rows with equal text and equal id one stays.  A null id sorts first, so it is the
+one that stays.  Texts of any length are compared whole; the splitters hold no
+more than PREFIX characters.  An empty table gives an empty result.  Other columns
+are read with carry only, and come in a struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.shared import Workspace, partitions
+from scriptorium.llm.shared import Workspace, ranges
 
 PREFIX = 48
+#: Bytes of text that one task sorts.
+RANGE_BYTES = 128 << 20
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -37,11 +43,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     space = Workspace(spark, "exact")
     id_type = docs.schema[id_col].dataType
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
     row_type = docs.schema if carry else T.BooleanType()
-    given = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), row.alias("row"))
-    keyed = given.select(F.substring("norm", 1, PREFIX).alias("p"), F.xxhash64("norm").alias("h"), "id", "norm", "row")
-    dealt = keyed.repartitionByRange(partitions(spark), "p", "h", "id").sortWithinPartitions("p", "h", "norm", "id")
+    norm = normalised(F.col(text_col))
+    # a text crosses the shuffle once: normalised, or within its row and normalised again
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
+    keyed = docs.select(F.substring(norm, 1, PREFIX).alias("p"), F.xxhash64(norm).alias("h"), F.col(id_col).alias("id"), row.alias("row"), (F.lit(None).cast("string") if carry else norm).alias("norm"))
+    dealt = keyed.repartitionByRange(ranges(docs, text_col, RANGE_BYTES), "p", "h", "id")
+    if carry:
+        dealt = dealt.withColumn("norm", normalised(F.col("row")[text_col]))
+    dealt = dealt.sortWithinPartitions("p", "h", "norm", "id").select("id", "row", F.sha2("norm", 256).alias("sha"), "p", "h", "norm")
     out = T.StructType(
         [
             T.StructField("id", id_type),
@@ -51,54 +61,66 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             T.StructField("size", T.LongType()),
             T.StructField("first", T.BooleanType()),
             T.StructField("part", T.IntegerType()),
-            T.StructField("run", T.LongType()),  # set for runs that may go on in another partition
-            T.StructField("norm", T.StringType()),  # once for each such run
+            T.StructField("run", T.LongType()),  # set for runs that may go on in another range
         ]
     )
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        front, zone, text, number = None, None, None, 0
-        ids: list = []  # of the open run, with its rows
-        rows: list = []
-        pending: list = []  # closed runs of the open zone: whether it is the last shows at the end only
-        lines: list = []
+        held: list[pa.RecordBatch] = []  # rows of the open hash, with whether a run begins
+        front = last = text = None
+        number = 0
 
-        def settle(last: bool) -> None:
-            for n, (run_ids, run_rows, run_text) in enumerate(pending, number):
-                edge = last or zone == front
-                sha = hashlib.sha256(run_text.encode("utf-8", "surrogatepass")).hexdigest()
-                lines.extend((i, row, sha, run_ids[0], len(run_ids), not k, part, n if edge else None, run_text if edge and not k else None) for k, (i, row) in enumerate(zip(run_ids, run_rows, strict=True)))
+        def settled(rows: list[pa.RecordBatch], ends: bool):
+            """Complete runs of the range; all of its first hash, and of its last, may go on elsewhere."""
+            nonlocal number
+            table = pa.Table.from_batches(rows).combine_chunks()
+            begins = np.flatnonzero(table.column("begins").to_numpy())
+            size = np.diff(begins, append=table.num_rows)
+            of = np.repeat(np.arange(len(begins)), size)
+            edge = table.column("front").to_numpy(zero_copy_only=False) | ends
+            number += len(begins)
+            yield from pa.table(
+                [
+                    *(table.column(c) for c in ("id", "row", "sha")),
+                    table.column("id").take(pa.array(begins[of])),
+                    pa.array(size[of]),
+                    table.column("begins"),
+                    pa.array(np.full(table.num_rows, part, np.int32)),
+                    pa.array(number - len(begins) + of, pa.int64(), mask=~edge),
+                ],
+                names=out.names,
+            ).to_batches()
 
         for batch in batches:
-            types = [batch.schema.field(c).type for c in ("id", "row")]
-            kinds = [types[0], types[1], pa.string(), types[0], pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.string()]
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("p", "h", "id", "norm", "row")]
-            for p, h, i, norm, whole in zip(*columns, strict=True):
-                if (p, h) != zone or norm != text:
-                    if ids:
-                        pending.append((ids, rows, text))
-                    if (p, h) != zone:
-                        settle(last=False)
-                        number += len(pending)
-                        pending, zone = [], (p, h)
-                        front = front or zone
-                    ids, rows, text = [], [], norm
-                ids.append(i)
-                rows.append(whole)
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)], names=out.names)
-                lines = []
-        if ids:
-            pending.append((ids, rows, text))
-            settle(last=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)], names=out.names)
+            if not batch.num_rows:
+                continue
+            p, h, norm = (batch.column(k) for k in (3, 4, 5))
+            zone = np.ones(batch.num_rows, bool)
+            zone[1:] = pc.or_(pc.not_equal(p[1:], p[:-1]), pc.not_equal(h[1:], h[:-1])).to_numpy(zero_copy_only=False)
+            zone[0] = (p[0].as_py(), h[0].as_py()) != last
+            begins = zone.copy()
+            begins[1:] |= pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
+            begins[0] |= norm[0].as_py() != text
+            front = front or (p[0].as_py(), h[0].as_py())
+            at_front = pc.and_(pc.equal(p, front[0]), pc.equal(h, front[1]))
+            last, text = (p[-1].as_py(), h[-1].as_py()), norm[-1].as_py()
+            known = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(begins), at_front], names=["id", "row", "sha", "begins", "front"])
+            opens = np.flatnonzero(zone)
+            if len(opens):
+                cut = int(opens[-1])
+                if held or cut:
+                    yield from settled([*held, known.slice(0, cut)], ends=False)
+                held, known = [], known.slice(cut)
+            held.append(known)
+        if held:
+            yield from settled(held, ends=True)
 
     table = space.write(dealt.mapInArrow(run, out), "runs")
-    # two runs or so for each partition: bounded by their number, not by the rows
-    ends = table.where("norm IS NOT NULL").groupBy("norm").agg(F.min(F.struct("part", "run", F.col("keep").alias("id"))).alias("head"), F.sum("size").alias("total"), F.collect_list(F.struct("part", "run")).alias("all"))
+    # two runs or so for each range: bounded by their number, not by the rows
+    ends = table.where("run IS NOT NULL AND first").groupBy("sha").agg(F.min(F.struct("part", "run", F.col("keep").alias("id"))).alias("head"), F.sum("size").alias("total"), F.collect_list(F.struct("part", "run")).alias("all"))
     ends = ends.select(F.explode("all").alias("one"), "head", "total").select(F.col("one.part").alias("part"), F.col("one.run").alias("run"), "head", "total")
-    joined = table.drop("norm").join(F.broadcast(ends), ["part", "run"], "left")
+    joined = table.join(F.broadcast(ends), ["part", "run"], "left")
     heads = F.col("head").isNull() | ((F.col("head.part") == F.col("part")) & (F.col("head.run") == F.col("run")))
     return joined.select(
         F.col("id").alias(id_col),
