@@ -40,12 +40,10 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows are told apart by id and text, so rows that share an id, or have none, stand or go for themselves.
     """
     keyed = docs.withColumn("row key", F.xxhash64("doc_id", "text"))
-    groups = jaccard.components(keyed, shingle=5, percent=80, id_col="row key")
-    several = groups.where(F.col("row key") != F.col("component_id")).select("component_id").distinct()
-    members = groups.join(several, "component_id", "left_semi").select("row key", "component_id").distinct()
-    known = keyed.select("row key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row key").alias("place")).join(members, "row key")
-    first = known.groupBy("component_id").agg(F.min("place").alias("first"))
-    gone = known.join(first, "component_id").where(F.col("row key") != F.col("first.row key")).select("row key").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row key").alias("key"))  # in this order the first of a group stays
+    groups = jaccard.components(keyed.select(place.alias("place"), "text"), shingle=5, percent=80, id_col="place")
+    groups = groups.select(F.col("place.key").alias("row key"), F.col("component_id.key").alias("first"), "n_shingles")
+    gone = groups.where(F.col("row key") != F.col("first")).select("row key").distinct()
     kept = keyed.join(gone, "row key", "left_anti")
     equal = groups.where("n_shingles > 0").groupBy("row key").count().where("count > 1").select("row key")  # equal rows; none after exact dedup
     once = kept.join(equal, "row key", "left_semi").dropDuplicates(["row key"])
