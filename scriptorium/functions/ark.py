@@ -52,3 +52,20 @@ def build_url(base: Column, params: dict[str, Column]) -> Column:
 def service_url(ark: Column, service: str, params: dict[str, Column]) -> Column:
     """Address of a service that belongs to a key."""
     return build_url(F.concat(ark_text(ark), F.lit(f".{service}")), params)
+
+
+def make_ark(naan: Column, name: Column, qualifier: Column | None = None, scheme: Column | None = None, authority: Column | None = None) -> Column:
+    """The struct of parse_ark from its parts, with an error for a part that is missing or has signs no part may have."""
+    none = F.lit(None).cast("string")
+    scheme, qualifier, authority = scheme if scheme is not None else F.lit("ark"), qualifier if qualifier is not None else none, authority if authority is not None else none
+    bad = lambda part: ~F.coalesce(part.rlike(f"^{_PART}$"), F.lit(False))
+    error = (
+        F.when(bad(naan), "bad naan").when(bad(name), "bad name").when(qualifier.isNotNull() & bad(qualifier), "bad qualifier")
+        .when(bad(scheme), "bad scheme").when((scheme != "ark") & authority.isNull(), "a scheme needs an authority").when((scheme == "ark") & authority.isNotNull(), "an ark has no authority")
+    )
+    return F.struct(scheme.alias("scheme"), authority.alias("authority"), naan.alias("naan"), name.alias("name"), qualifier.alias("qualifier"), error.alias("error"))
+
+
+def ark_with(ark: Column, **parts: Column) -> Column:
+    """A copy with other parts, checked again."""
+    return make_ark(**{k: parts.get(k, ark[k]) for k in ("naan", "name", "qualifier", "scheme", "authority")})

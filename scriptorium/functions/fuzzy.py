@@ -74,9 +74,10 @@ def near_matches(needle: Column, text: Column, k: int) -> Column:
     @F.pandas_udf(MATCHES)
     def found(needles: pd.Series, texts: pd.Series) -> pd.Series:
         rows = zip(needles.where(needles.notna(), None), texts.where(texts.notna(), None), strict=True)
-        return pd.Series([[{"start": a, "end": b, "dist": d, "matched": t[a:b]} for a, b, d in search(s, t, k)] if s and t else [] for s, t in rows])
+        return pd.Series([[{"start": a, "end": b, "dist": d, "matched": t[a:b]} for a, b, d in search_near(s, t, k)] if s and t else [] for s, t in rows])
 
-    return F.when(may_hold(needle, text, k), found(F.when(may_hold(needle, text, k), needle), F.when(may_hold(needle, text, k), text))).otherwise(F.array().cast(MATCHES))
+    # a row without any piece sends no text
+    return found(needle, F.when(may_hold(needle, text, k), text))
 
 
 def cuts(n: int, k: int) -> list[tuple[int, int]]:

@@ -94,7 +94,7 @@ _PAIRS = {"æ": "ae", "œ": "oe", "ß": "ss"}
 
 
 def slug(text: Column) -> Column:
-    """Lower-case ASCII words joined by '-'; apostrophes vanish."""
+    """Lower-case ASCII words joined by '-', which stands for apostrophes, too."""
     out = F.lower(text)
     for letter, two in _PAIRS.items():
         out = F.replace(out, F.lit(letter), F.lit(two))

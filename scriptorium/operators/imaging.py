@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Filter of an embedded image -> its format; fixed values.
 IMAGE_FORMATS = {"FlateDecode": "png", "DCTDecode": "jpg", "JPXDecode": "jp2", "CCITTFaxDecode": "tiff"}
 SPINE_DARK, GROW, MARGIN, BLACK = 40, 10, 40, 60
+#: Page units to a pixel of a page made from an image at 100 dots an inch.
+POINTS = 0.72
 
 
 def image_format(image_filter: Column) -> Column:
@@ -111,11 +115,20 @@ def paired_peaks(signal: DataFrame, keys: list[str], offset: str, rising_first:
     Upwards a rise comes first and a fall strictly after it; downwards a fall
     comes first and a rise at the same place counts.
     """
-    first = F.col("gradient") >= F.col("high") if rising_first else F.col("gradient") <= F.col("low")
-    second = F.col("gradient") <= F.col("low") if rising_first else F.col("gradient") >= F.col("high")
-    starts = signal.withColumn("start", F.min(F.when(first, F.col(offset))).over(Window.partitionBy(*keys)))
-    later = F.col(offset) > F.col("start") if rising_first else F.col(offset) >= F.col("start")
-    return starts.groupBy(*keys).agg(F.coalesce(F.min(F.when(second & later, F.col(offset))), F.lit(0)).alias("peak"))
+    return signal.groupBy(*keys).agg(second_peak(offset, rising_first).alias("peak"))
+
+
+def second_peak(offset: str, rising_first: bool, within: Column | None = None) -> Column:
+    """paired_peaks as an aggregate, of the rows `within`: the first peak's offset, then the least beyond it, in one pass.
+
+    Offsets of either kind of peak are few: a peak is beyond 1.5 deviations.
+    """
+    rise, fall = F.col("gradient") >= F.col("high"), F.col("gradient") <= F.col("low")
+    here = F.lit(True) if within is None else within
+    start = F.min(F.when(here & (rise if rising_first else fall), F.col(offset)))
+    ends = F.array_sort(F.collect_list(F.when(here & (fall if rising_first else rise), F.col(offset))))
+    later = F.filter(ends, lambda i: (i > start) if rising_first else (i >= start))
+    return F.coalesce(F.get(later, F.lit(0)), F.lit(0))
 
 
 def ocr_crop(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,13 +146,70 @@ def ocr_crop(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
         F.bround(F.col("height") * 0.05).cast("int").alias("band"),
     )
     signal = peak_limits(gradients(row_means(pixels, keys), keys), keys).join(scaled, keys)
-    above = signal.where((F.col("y") <= F.col("uy")) & (F.col("y") > F.col("uy") - F.col("band"))).withColumn("i", F.col("uy") - F.col("y"))
-    below = signal.where((F.col("y") >= F.col("ly")) & (F.col("y") < F.col("ly") + F.col("band"))).withColumn("i", F.col("y") - F.col("ly"))
-    up, down = paired_peaks(above, keys, "i", True).withColumnRenamed("peak", "up"), paired_peaks(below, keys, "i", False).withColumnRenamed("peak", "down")
-    out = scaled.join(up, keys, "left").join(down, keys, "left").fillna(0, ["up", "down"])
+    above = (F.col("y") <= F.col("uy")) & (F.col("y") > F.col("uy") - F.col("band"))
+    below = (F.col("y") >= F.col("ly")) & (F.col("y") < F.col("ly") + F.col("band"))
+    both = signal.withColumns({"i": F.col("uy") - F.col("y"), "j": F.col("y") - F.col("ly")}).groupBy(*keys).agg(second_peak("i", True, above).alias("up"), second_peak("j", False, below).alias("down"))
+    out = scaled.join(both, keys, "left").fillna(0, ["up", "down"])
     return out.select(*keys, (F.col("ux") - GROW).alias("ux"), (F.col("uy") - F.col("up") - GROW).alias("uy"), (F.col("lx") + GROW).alias("lx"), (F.col("ly") + F.col("down") + GROW).alias("ly"))
 
 
+def page_scale(media_width: Column, image_width: Column) -> Column:
+    """Page units to a pixel."""
+    return media_width / image_width
+
+
+def processed_images(pixels: DataFrame, boxes: DataFrame, keys: list[str], one_bit: Column) -> DataFrame:
+    """Pixels inside each image's box, counted from its corner, with the tone filter unless the image has one bit.
+
+    boxes: keys, ux, uy, lx, ly (right and lower ends exclusive).  What a box takes
+    in beyond the image is no pixel.
+    """
+    inside = pixels.withColumn("one bit", F.coalesce(one_bit, F.lit(False))).join(boxes, keys).where((F.col("x") >= F.col("ux")) & (F.col("x") < F.col("lx")) & (F.col("y") >= F.col("uy")) & (F.col("y") < F.col("ly")))
+    cut = inside.select(*keys, "one bit", (F.col("x") - F.col("ux")).cast("int").alias("x"), (F.col("y") - F.col("uy")).cast("int").alias("y"), F.col("v").alias("plain"), "v")
+    return filter_image(cut, keys).withColumn("v", F.when(F.col("one bit"), F.col("plain")).otherwise(F.col("v"))).drop("one bit", "plain")
+
+
+@dataclass(frozen=True)
+class ProcessSettings:
+    """How a document's pages are processed."""
+
+    preserve_text: bool = False
+    equal_size: bool = False
+    skip_existing: bool = False
+    has_cover_page: bool = False
+    suppress_pages: tuple[int, ...] = ()
+
+
+def process_plan(pages: DataFrame, settings: ProcessSettings, done: DataFrame | None = None, doc: str = "doc") -> DataFrame:
+    """The pages a processed document will have, in order, and their size and place.
+
+    pages: doc, page (from 0, covers included), media_width, media_height,
+    image_width, image_height, and the crop box ux, uy, lx, ly in pixels.  Gives doc,
+    out_page, page, cover, the crop box in page units with y upwards (null for covers),
+    width, height, the offset that centres the page, and the scale of a cover.
+    done: documents that exist already and are left alone if settings say so.
+    """
+    todo = pages.join(done.select(doc).distinct(), doc, "left_anti") if settings.skip_existing and done is not None else pages
+    shift = 2 if settings.has_cover_page else 0
+    cover = F.col("page") < shift
+    held = todo.withColumn("cover", cover).where(cover | ~(F.col("page") - shift).isin([p - shift for p in settings.suppress_pages]))
+    scale = page_scale(F.col("media_width"), F.col("image_width")) if settings.preserve_text else F.lit(1.0)
+    tall = F.col("media_height") if settings.preserve_text else (F.col("ly") - F.col("uy")) * POINTS
+    left, right = (F.col("ux") * scale, F.col("lx") * scale) if settings.preserve_text else (F.lit(0.0), (F.col("lx") - F.col("ux")) * POINTS)
+    low, high = (flipped(F.col("ly") * scale, tall), flipped(F.col("uy") * scale, tall)) if settings.preserve_text else (F.lit(0.0), tall.cast("double"))
+    boxed = held.withColumns({n: F.when(~F.col("cover"), c.cast("double")) for n, c in (("left", left), ("low", low), ("right", right), ("high", high))})
+    sized = boxed.withColumns({"width": F.col("right") - F.col("left"), "height": F.col("high") - F.col("low")})
+    w = Window.partitionBy(doc)
+    most = sized.withColumns({"max_width": F.max("width").over(w), "max_height": F.max("height").over(w)})
+    centre = lambda size, most_: F.when(~F.col("cover"), equal_size_offset(F.col(size), F.col(most_)) if settings.equal_size else F.lit(0.0))
+    shown = most.withColumns({
+        "offset_x": centre("width", "max_width"), "offset_y": centre("height", "max_height"),
+        "cover_scale": F.when(F.col("cover"), cover_scale(F.first("media_width").over(w.orderBy("page")), F.first("media_height").over(w.orderBy("page")), F.col("max_width"), F.col("max_height"))),
+        "out_page": F.row_number().over(w.orderBy("page")) - 1,
+    })
+    return shown.select(doc, "out_page", "page", "cover", "left", "low", "right", "high", F.coalesce("width", "max_width").alias("width"), F.coalesce("height", "max_height").alias("height"), "offset_x", "offset_y", "cover_scale")
+
+
 def largest_page(pages: DataFrame, doc: list[str]) -> DataFrame:
     """Adds the greatest width and height of the document."""
     w = Window.partitionBy(*doc)

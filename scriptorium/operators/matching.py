@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import ranges, text
 
-#: Fields that a catalogue search may name, beside those a record has; fixed values.
-SEARCHABLE = ("title", "author", "subject", "doctype", "recordtype", "isbn", "issn", "date", "language", "publicationdate", "publisher", "serialtitle")
+#: Fields that a catalogue search may name; fixed values.
+SEARCHABLE = (
+    "anywhere", "author", "title", "subject", "doctype", "recordtype", "status", "recordid", "persistentid", "ean", "isbn", "issn", "ismn", "isrc", "comref", "otherid", "abstract", "authorRole", "cote", "date", "dewey", "digitized",
+    "FrenchNationalBibliography", "fuzzyIsbn", "isni", "language", "LegalDepositType", "LegalDepositDate", "local", "publicationdate", "publicationplace", "publisher", "serialtitle", "set", "technicaldata", "unimarc:doctype",
+    "col2bib", "ens2bib", "rec2bib", "author2bib", "subject2bib", "work2bib", "creationdate", "lastmodificationdate",
+)
 #: Record kind -> record type of the catalogue; fixed values.
 RECORD_TYPES = {"article": "per", "journal": "per", "book": "mon", "collection": "col"}
 
@@ -25,6 +29,8 @@ class MatchSettings:
     skip_from: int = 4  # first candidate, from 0, after which a good score ends the search
     minimum_confidence: float = 0.5
     keep: int = 5
+    consider_toc: bool = True
+    consider_text: bool = True
 
 
 DEFAULTS = MatchSettings()
@@ -49,27 +55,60 @@ def search_string(fields: dict[str, Column]) -> Column:
     return F.concat_ws(" and ", *terms)
 
 
+def query_item(value: Column, is_list: bool = False) -> Column:
+    """A field's value as it is searched for: a list's members parted by spaces."""
+    return F.array_join(value.cast("array<string>"), " ") if is_list else value.cast("string")
+
+
+def field_search(queries: DataFrame, query_id: str, rows: DataFrame, row_id: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(query_id, row_id) where each field of the row holds every word that the query names for it.
+
+    fields: searchable name -> (column of queries, column of rows).  Words carry
+    their field's name, so one inverted index serves all of them; a null or empty
+    field asks for nothing, and other names are not searched.
+    """
+    used = {k: v for k, v in fields.items() if k in SEARCHABLE}
+
+    def words(name: str, column: str) -> Column:
+        return F.transform(F.coalesce(tokens(F.col(column).cast("string")), F.array().cast("array<string>")), lambda w: F.concat(F.lit(f"{name}="), w))
+
+    def marked(side: int) -> Column:
+        return F.array_distinct(F.flatten(F.array(*[words(name, columns[side]) for name, columns in used.items()])))
+
+    return _word_search(queries.select(query_id, marked(0).alias("wanted")), query_id, rows.select(row_id, marked(1).alias("held")), row_id)
+
+
 def tokens(column: Column) -> Column:
     """Distinct lower-case words."""
     return F.array_distinct(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != ""))
 
 
 def token_search(queries: DataFrame, query_id: str, query_text: str, rows: DataFrame, row_id: str, row_text: str) -> DataFrame:
-    """(query_id, row_id) where the row holds every word of the query, by an inverted index.
+    """(query_id, row_id) where the row holds every word of the query, by an inverted index."""
+    return _word_search(queries.select(query_id, tokens(F.col(query_text)).alias("wanted")), query_id, rows.select(row_id, tokens(F.col(row_text)).alias("held")), row_id)
+
+
+def _word_search(queries: DataFrame, query_id: str, rows: DataFrame, row_id: str) -> DataFrame:
+    """token_search over arrays of distinct words, `wanted` and `held`.
 
     Each query joins on its rarest word only, so a word that is everywhere
-    multiplies nothing unless a query has no other; all words are then tested.
+    multiplies nothing unless a query has no other; the row comes along with its
+    words that any query names, and all of the query's are then tested.  Rows that
+    repeat an id count each on its own.
     """
-    held = rows.select(F.col(row_id), tokens(F.col(row_text)).alias("held"))
-    wanted = queries.select(F.col(query_id), tokens(F.col(query_text)).alias("wanted")).where(F.size("wanted") > 0)
+    wanted = queries.where(F.size("wanted") > 0)
     each = wanted.select(query_id, "wanted", F.explode("wanted").alias("word"))
-    index = held.select(row_id, F.explode("held").alias("word")).join(each.select("word").distinct(), "word", "left_semi")
+    named = each.select("word").distinct()
+    keyed = rows.select(F.struct(F.col(row_id).alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), "held")
+    index = keyed.select("row", F.explode("held").alias("word")).join(named, "word", "left_semi")
     rated = each.join(index.groupBy("word").count(), "word", "left").fillna(0, ["count"])
     rarest = rated.groupBy(query_id, "wanted").agg(F.min(F.struct("count", "word")).alias("least")).select(query_id, "wanted", F.col("least.word").alias("word"))
-    hits = rarest.join(index, "word").select(query_id, "wanted", row_id)
     single = F.size("wanted") == 1  # nothing left to test
-    rest = hits.where(~single).join(held, row_id).where(F.size(F.array_except("wanted", "held")) == 0)
-    return hits.where(single).select(query_id, row_id).unionByName(rest.select(query_id, row_id))
+    alone = rarest.where(single).join(index, "word").select(query_id, F.col("row.id").alias(row_id))
+    held = index.groupBy("row").agg(F.collect_list("word").alias("held"))
+    some = held.withColumn("word", F.explode("held")).join(rarest.where(~single), "word")
+    rest = some.where(F.size(F.array_except("wanted", "held")) == 0).select(query_id, F.col("row.id").alias(row_id))
+    return alone.unionByName(rest)
 
 
 def text_score(target: Column, candidate: Column) -> Column:
@@ -107,6 +146,11 @@ def score_map(scores: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
+def map_mean(vals: Column) -> Column:
+    """Mean of a map of scores; null if it is empty."""
+    return F.when(F.size(vals) > 0, F.aggregate(F.map_values(vals), F.lit(0.0), lambda a, v: a + v) / F.size(vals))
+
+
 def early_exit(scored: DataFrame, target: str, pos: str, score: str = "score", settings: MatchSettings = DEFAULTS) -> DataFrame:
     """Of each target's candidates those that a search in order would have seen.
 

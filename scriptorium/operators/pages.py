@@ -9,11 +9,14 @@ from scriptorium.functions import ranges, text
 
 
 def physical_pages(wanted: DataFrame, page_map: DataFrame, doc: str = "ark", page: str = "pno") -> DataFrame:
-    """wanted with `ordre`: of the first row of the document's map with that page number, else of its last row."""
-    first = page_map.groupBy(doc, "numero").agg(F.min_by("ordre", "pos").alias("hit"))
-    last = page_map.groupBy(doc).agg(F.max_by("ordre", "pos").alias("last"))
-    found = wanted.join(first.withColumnRenamed("numero", page), [doc, page], "left").join(last, doc, "left")
-    return found.withColumn("ordre", F.coalesce("hit", "last")).drop("hit", "last")
+    """wanted with `ordre`: of the first row of the document's map with that page number, else of its last row.
+
+    One aggregate of the map by document serves both; a document's distinct numbers are a map of its own.
+    """
+    first = page_map.groupBy(doc, "numero").agg(F.min_by("ordre", "pos").alias("hit"), F.max(F.struct("pos", "ordre")).alias("end"))
+    numbers = first.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.when(F.col("numero").isNotNull(), F.struct("numero", "hit")))).alias("numbers"), F.max("end").alias("end"))
+    found = wanted.join(numbers, doc, "left")
+    return found.withColumn("ordre", F.coalesce(F.try_element_at("numbers", F.col(page)), F.col("end.ordre"))).drop("numbers", "end")
 
 
 def last_page(page_map: DataFrame, doc: str = "ark") -> DataFrame:
@@ -22,16 +25,22 @@ def last_page(page_map: DataFrame, doc: str = "ark") -> DataFrame:
     return page_map.groupBy(doc).agg(F.coalesce(lettered, F.min_by("ordre", "pos")).alias("last_pno"))
 
 
-def toc_articles(entries: DataFrame, last: DataFrame, start_page: Column, doc: str = "ark") -> DataFrame:
-    """Articles that start on a page: split lines, and pages up to the next entry's start or the document's last page.
+def toc_articles(entries: DataFrame, last: DataFrame, start_page: Column | None, doc: str = "ark", by: tuple[str, ...] = ()) -> DataFrame:
+    """Articles that start on a page: split lines, first_page, and last_page before the next entry's start or the document's last page.
 
-    The entries are those of one start page, so all but the last have no pages.
+    The entries are those of one start page (of each `by`, if there are such columns),
+    so all but the last have no pages: their last page is below their first.
     """
-    here = entries.where(F.col("pno") == start_page).withColumn("start", F.col("pno").try_cast("int"))
-    order = Window.partitionBy(doc).orderBy("start", "pos")
+    here = (entries if start_page is None else entries.where(F.col("pno") == start_page)).withColumn("first_page", F.col("pno").try_cast("bigint"))
+    order = Window.partitionBy(doc, *by).orderBy("first_page", "pos")
     author, title = text.toc_entry(F.col("title"))
-    ended = here.withColumn("next", F.lead("start").over(order) - 1).join(last, doc, "left")
-    return ended.select(doc, "pos", author.alias("author"), title.alias("title"), ranges.span(F.col("start"), F.coalesce("next", "last_pno")).cast("array<string>").alias("pages"))
+    ended = here.withColumn("next", F.lead("first_page").over(order) - 1).join(last, doc, "left")
+    return ended.select(doc, *by, "pos", author.alias("author"), title.alias("title"), "first_page", F.coalesce("next", F.col("last_pno").cast("bigint")).alias("last_page"))
+
+
+def page_list(first: Column, last: Column) -> Column:
+    """The pages of a run as an array of strings; empty if the last is below the first."""
+    return ranges.span(first, last).cast("array<string>")
 
 
 def content_slice(page_text: DataFrame, start: Column | int, views: Column | int | None = None) -> DataFrame:

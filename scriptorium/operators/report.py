@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,19 +87,63 @@ def bibtex_entry(kind: Column, key: Column, fields: dict[str, Column]) -> Column
     return F.concat(F.lit("@"), F.initcap(kind), F.lit("{"), key, F.lit(",\n"), F.array_join(rows, ""), F.lit("}\n"))
 
 
+def _one_or_range(values: Column) -> Column:
+    """A list of integers as a range, one integer as itself."""
+    return F.when(F.size(values) > 1, ranges.prettify(values[0], F.element_at(values, -1), F.lit(False))).otherwise(F.get(values, F.lit(0)).cast("string"))
+
+
+def bibtex_record(kind: str, c: dict[str, Column], omit: tuple[str, ...] = ()) -> Column:
+    """A record's entry: key from title and author, pages as pretty ranges, lists of years as a range, without the fields to omit.
+
+    Books and collections have a page count as a note; a newspaper's article is an
+    article with a date and without pages.
+    """
+    many = {"publicationdate": "year", "number": "number", "volume": "volume"}
+    order = {
+        "article": ("publicationdate", "title", "journaltitle", "pages", "author", "number", "volume"),
+        "book": ("publicationdate", "publisher", "title", "subtitle", "location", "note", "author", "editor"),
+        "collection": ("publicationdate", "publisher", "title", "subtitle", "location", "note", "author", "editor"),
+        "newspaperarticle": ("journaltitle", "date", "author", "title"),
+    }[kind]
+    shown = {k: _one_or_range(c[k]) if k in many else ranges.pretty_pages(c[k]) if k == "pages" else c[k] for k in order if k in c}
+    if "page_count" in c and "note" in order:
+        shown["note"] = page_count_note(c["page_count"])
+    fields = {many.get(k, k): shown[k] for k in order if k in shown and k not in omit and many.get(k, k) not in omit}
+    return bibtex_entry(F.lit("article" if kind == "newspaperarticle" else kind), text.slug(text.name(c["title"], c["author"], 8)), fields)
+
+
 def bibtex_article(c: dict[str, Column]) -> Column:
-    """An article's entry: key from title and author, pages as pretty ranges, a list of years as a range."""
-    many = lambda v: F.when(F.size(v) > 1, ranges.prettify(v[0], F.element_at(v, -1), F.lit(False))).otherwise(F.get(v, F.lit(0)).cast("string"))
-    fields = {"year": many(c["publicationdate"]), "title": c["title"], "journaltitle": c["journaltitle"], "pages": ranges.pretty_pages(c["pages"]), "author": c["author"], "number": many(c["number"]), "volume": many(c["volume"])}
-    return bibtex_entry(F.lit("article"), text.slug(text.name(c["title"], c["author"], 8)), fields)
+    return bibtex_record("article", c)
 
 
 def page_count_note(count: Column) -> Column:
     return F.when(F.coalesce(count, F.lit(0)) > 0, F.concat(count.cast("string"), F.lit(" pp.")))
 
 
-def numbered_names(rows: DataFrame, slug: str, pos: str, suffix: str, first_number: int = 1) -> DataFrame:
-    """File names without collisions: the slug, then the slug with numbers from first_number."""
-    number = F.row_number().over(Window.partitionBy(slug).orderBy(pos)) - 2 + first_number
-    tail = F.when(number < first_number, "").otherwise(F.concat(F.lit("-"), number.cast("string")))
-    return rows.withColumn("filename", F.concat(F.col(slug), tail, F.lit(suffix)))
+def numbered_names(rows: DataFrame, slug: str, pos: str, suffix: str, first_number: int = 1, taken: DataFrame | None = None) -> DataFrame:
+    """File names without collisions: the slug, then the slug with numbers from first_number.
+
+    Numbers that would give another row's slug are passed over: of `a`, `a`, `a-1`
+    the second becomes `a-2`.  taken: names (without suffix, in a column of the same
+    name as the slug) that are in use and that no row may get.
+    """
+    ending = r"^(.*)-(0|[1-9][0-9]{0,8})$"
+    used = rows.select(F.col(slug).alias("name")) if taken is None else rows.select(F.col(slug).alias("name")).union(taken.select(slug))
+    skipped = used.distinct().where(F.col("name").rlike(ending)).groupBy(F.regexp_extract("name", ending, 1).alias("base")).agg(F.array_sort(F.collect_list(F.regexp_extract("name", ending, 2).cast("int"))).alias("skipped"))
+    named = rows if taken is None else rows.join(taken.select(slug).distinct().withColumn("in use", F.lit(1)), slug, "left")
+    extra = F.lit(0) if taken is None else F.coalesce("in use", F.lit(0))
+    counted = named.withColumn("number", F.row_number().over(Window.partitionBy(slug).orderBy(pos)) - 1 + extra)
+    held = counted.join(skipped, F.col(slug) == F.col("base"), "left")
+    number = F.aggregate(F.coalesce("skipped", F.array().cast("array<int>")), F.col("number") - 1 + first_number, lambda k, n: F.when((n >= first_number) & (n <= k), k + 1).otherwise(k))
+    tail = F.when(F.col("number") == 0, "").otherwise(F.concat(F.lit("-"), number.cast("string")))
+    return held.withColumn("filename", F.concat(F.col(slug), tail, F.lit(suffix))).drop("number", "base", "skipped", "in use")
+
+
+def user_report(results: DataFrame, template: str, fields: dict[str, Column], out: str = "entry") -> DataFrame:
+    """results with a column rendered from a user's template, in which `{{ name }}` stands for a field, null as ''."""
+    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
+    unknown = {p for p in parts[1::2] if p not in fields}
+    if unknown:
+        raise ValueError(f"the template names fields that are not there: {sorted(unknown)}")
+    shown = [F.coalesce(fields[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)]
+    return results.withColumn(out, F.concat(*shown))

@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import ark, fuzzy, ranges, text
-from scriptorium.operators import imaging, matching, pages, report, store
-from scriptorium.sources import bibtex, markup, ris
+from scriptorium.functions import ark, either, fuzzy, ranges, text
+from scriptorium.operators import articles, imaging, matching, pages, report, store
+from scriptorium.sources import archive, bibtex, markup, ris
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,15 +38,9 @@ def _arr(c, sep: str = ",") -> F.Column:
 # --- text -----------------------------------------------------------------
 
 
-@_query(r"""SELECT doc_id, CASE WHEN length(text) > 0 THEN regexp_replace(lower(text), '^[\s\x0B\x1c-\x1f]+|[\s\x0B\x1c-\x1f]+$', '', 'g') END AS plain
-FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')""")
-def normalize_text(t):
-    return t("documents").where(F.col("text").rlike(text.ASCII)).select("doc_id", text.plain(F.col("text")).alias("plain"))
-
-
 @_query()
-def normalize_unicode(t):
-    """Every document's normal form, null texts and those beyond ASCII included; beyond SQL, so tested against unicodedata."""
+def normalize_text(t):
+    """Every document's normal form, null texts and those beyond ASCII included; SQL has no NFKD, so it is tested against unicodedata."""
     return t("documents").select("doc_id", text.plain(F.col("text")).alias("plain"))
 
 
@@ -197,6 +191,15 @@ def build_url(t):
     return t("part").select("p_partkey", ark.service_url(a, "search", {"query": F.col("p_name"), "publisher": F.col("p_brand"), "page": F.lit(None).cast("string")}).alias("url"))
 
 
+@_query("""WITH p AS (SELECT page_id, 'p' || page_id || CASE WHEN page_id % 5 = 0 THEN '/' ELSE '' END AS name, page_id % 3 AS k FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'bad name' WHEN k = 1 THEN 'a scheme needs an authority' END AS error, CASE WHEN page_id % 5 = 0 THEN 'bad name' END AS copy_error, CASE WHEN k = 2 THEN 'https://x.org/' WHEN k = 1 THEN 'https://y.org/' ELSE '' END || 'ark:/12148/' || name || CASE WHEN k = 0 THEN '' ELSE '/f1' END AS copied FROM p""")
+def ark_parts(t):
+    p = t("pages").select("page_id", (F.col("page_id") % 3).alias("k"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, "/").otherwise("")).alias("name"))
+    made = p.withColumn("a", ark.make_ark(F.lit("12148"), F.col("name"), scheme=F.when(F.col("k") == 0, "ark").otherwise("https"), authority=F.when(F.col("k") == 2, "x.org")))
+    copied = ark.ark_with(F.col("a"), qualifier=F.when(F.col("k") > 0, "f1"), authority=F.when(F.col("k") == 1, "y.org").otherwise(F.col("a.authority")))
+    return made.select("page_id", "a.error", copied["error"].alias("copy_error"), ark.ark_text(copied).alias("copied"))
+
+
 # --- search and matching -----------------------------------------------------
 
 
@@ -215,59 +218,29 @@ def token_search(t):
     return matching.token_search(p.select(F.col("p_name").alias("query")).distinct().withColumn("words", F.col("query")), "query", "words", p, "p_partkey", "held")
 
 
-@_query("""WITH b AS (SELECT item_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS q FROM benchmark), w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS words FROM b),
+@_query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS words FROM benchmark),
 d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS held FROM documents)
-SELECT item_id, doc_id FROM w JOIN d ON list_has_all(held, words)""")
+SELECT item_id, doc_id FROM w JOIN d ON list_has_all(held, words) WHERE len(words) > 0""")
 def fulltext_words(t):
-    q = t("benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
-    return matching.token_search(q, "item_id", "q", t("documents"), "doc_id", "text")
+    return matching.token_search(t("benchmark").select("item_id", "text"), "item_id", "text", t("documents"), "doc_id", "text")
+
+
+@_query("""WITH q AS (SELECT DISTINCT p_name, p_brand FROM part)
+SELECT q.p_name || '/' || q.p_brand AS query, p.p_partkey FROM q JOIN part p ON list_has_all(string_split(lower(p.p_name || ' ' || p.p_type), ' '), string_split(lower(q.p_name), ' ')) AND lower(p.p_brand) = lower(q.p_brand)""")
+def field_search(t):
+    p = t("part").withColumn("held", F.concat("p_name", F.lit(" "), "p_type"))
+    q = p.select(F.concat("p_name", F.lit("/"), "p_brand").alias("query"), "p_name", "p_brand").distinct()
+    return matching.field_search(q, "query", p, "p_partkey", {"title": ("p_name", "held"), "publisher": ("p_brand", "p_brand"), "p_type": ("p_name", "p_type")})
 
 
 _SCORED = _PAIRS + """, r AS (SELECT a, b, round_even(200.0 * last[-1] / (length(a) + length(b)), 0) / 100 AS s FROM steps),
-f AS (SELECT DISTINCT p_name, min(p_partkey) OVER (PARTITION BY p_name) AS k FROM part), tg AS (SELECT t.* FROM part t JOIN f ON t.p_partkey = f.k),
 m AS (SELECT t.p_partkey AS target, c.p_partkey AS pos, CAST(CASE WHEN list_contains(range(c.p_size, c.p_size + 3), t.p_size) THEN 1 ELSE 0 END AS DOUBLE) AS s_number, CASE WHEN t.p_brand = c.p_brand THEN 1.0 ELSE NULL END AS same_brand, r.s AS s_title, t.p_type AS t_type, c.p_type AS c_type, t.p_name, c.p_brand, t.p_brand AS t_brand
- FROM tg t JOIN part c ON c.p_type = t.p_type JOIN r ON r.a = t.p_name AND r.b = c.p_name)
+ FROM part t JOIN part c ON c.p_type = t.p_type JOIN r ON r.a = t.p_name AND r.b = c.p_name)
 , g AS (SELECT target, pos, s_title, s_number, (s_title + s_number) / 2 AS score FROM m)
 """
 
 
-def _scored(t):
-    """The first part of every name as target, against the parts of its type."""
-    p = t("part")
-    first = p.groupBy(F.col("p_name").alias("t_name")).agg(F.min(F.struct("p_partkey", "p_size", "p_type")).alias("f"))
-    targets = first.select("t_name", F.col("f.p_partkey").alias("target"), F.array("f.p_size").alias("t_number"), F.col("f.p_type").alias("p_type"))
-    pairs = p.join(targets, "p_type")
-    c = F.col("p_size")
-    scores = {"title": matching.text_score(F.col("t_name"), F.col("p_name")), "number": matching.number_score(F.col("t_number"), F.array(c, c + 1, c + 2), F.lit(False), F.lit(True)), "subtitle": matching.text_score(F.lit(None).cast("string"), F.col("p_brand"))}
-    return pairs.select("target", F.col("p_partkey").alias("pos"), scores["title"].alias("s_title"), scores["number"].alias("s_number"), matching.score_map(scores).alias("vals"), matching.mean_score(scores).alias("score"))
-
-
-@_query(_SCORED + "SELECT target, pos, s_title, s_number, round(score, 6) AS score, CAST(2 AS INTEGER) AS n_scored FROM g")
-def match_scores(t):
-    return _scored(t).select("target", "pos", "s_title", "s_number", F.round("score", 6).alias("score"), F.size("vals").alias("n_scored"))
-
-
-_SEEN = """, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS seen FROM g), h AS (SELECT *, max(score) OVER (PARTITION BY target ORDER BY pos) AS top FROM k WHERE seen < 50),
-e AS (SELECT h.* FROM h LEFT JOIN (SELECT target, min(seen) AS stop FROM h WHERE seen >= 4 AND top > 0.7 GROUP BY target) x USING (target) WHERE stop IS NULL OR seen <= stop)
-"""
-
-
-@_query(_SCORED + _SEEN + "SELECT target, pos, round(score, 6) AS score, score >= 0.5 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos) AS n FROM e) WHERE n = 1")
-def match_best(t):
-    best = matching.best_match(_scored(t), "target", "pos")
-    return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
-
-
-@_query(_SCORED + _SEEN + "SELECT target, pos, seen FROM e")
-def early_exit(t):
-    return matching.early_exit(_scored(t), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
-
-
-#: Every part is a target.
-_SCORED_ALL = _SCORED.replace(" JOIN f ON t.p_partkey = f.k", "")
-
-
-def _scored_all(t, first: int | None = None):
+def _scored(t, first: int | None = None):
     """Every part as target, against all parts of its type, or the first of them in the order of keys.
 
     The parts of a type are candidates of all its parts, in one order, so a search
@@ -288,20 +261,25 @@ def _scored_all(t, first: int | None = None):
     return pairs.select("target", F.col("p_partkey").alias("pos"), "s_title", scores["number"].alias("s_number"), matching.mean_score(scores).alias("score"), n_scored.alias("n_scored"))
 
 
-@_query(_SCORED_ALL + "SELECT target, pos, s_title, s_number, round(score, 6) AS score, CAST(2 AS INTEGER) AS n_scored FROM g")
-def match_scores_all(t):
-    return _scored_all(t).withColumn("score", F.round("score", 6))
+@_query(_SCORED + "SELECT target, pos, s_title, s_number, round(score, 6) AS score, CAST(2 AS INTEGER) AS n_scored FROM g")
+def match_scores(t):
+    return _scored(t).withColumn("score", F.round("score", 6))
+
 
+_SEEN = """, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS seen FROM g), h AS (SELECT *, max(score) OVER (PARTITION BY target ORDER BY pos) AS top FROM k WHERE seen < 50),
+e AS (SELECT h.* FROM h LEFT JOIN (SELECT target, min(seen) AS stop FROM h WHERE seen >= 4 AND top > 0.7 GROUP BY target) x USING (target) WHERE stop IS NULL OR seen <= stop)
+"""
 
-@_query(_SCORED_ALL + _SEEN + "SELECT target, pos, round(score, 6) AS score, score >= 0.5 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos) AS n FROM e) WHERE n = 1")
-def match_best_all(t):
-    best = matching.best_match(_scored_all(t, matching.DEFAULTS.give_up), "target", "pos")
+
+@_query(_SCORED + _SEEN + "SELECT target, pos, round(score, 6) AS score, score >= 0.5 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos) AS n FROM e) WHERE n = 1")
+def match_best(t):
+    best = matching.best_match(_scored(t, matching.DEFAULTS.give_up), "target", "pos")
     return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
 
 
-@_query(_SCORED_ALL + _SEEN + "SELECT target, pos, seen FROM e")
-def early_exit_all(t):
-    return matching.early_exit(_scored_all(t, matching.DEFAULTS.give_up), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
+@_query(_SCORED + _SEEN + "SELECT target, pos, seen FROM e")
+def early_exit(t):
+    return matching.early_exit(_scored(t, matching.DEFAULTS.give_up), "target", "pos").select("target", "pos", F.col("seen").cast("long").alias("seen"))
 
 
 @_query("""WITH s AS (SELECT o_custkey AS target, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS issue, o_orderkey AS pos, round(o_totalprice / 500000, 4) AS score FROM orders),
@@ -366,22 +344,114 @@ def _page_map(t):
     return t("lineitem").select(F.col("l_orderkey").alias("ark"), pos.alias("pos"), F.col("l_linenumber").cast("string").alias("numero"), F.col("l_partkey").alias("ordre"), F.col("l_returnflag").alias("pagination_type"))
 
 
-@_query(f"""WITH m AS {_MAP}, h AS (SELECT ark, arg_min(ordre, pos) FILTER (numero = '3') AS hit, arg_max(ordre, pos) AS last, arg_max(ordre, pos) FILTER (kind = 'A') AS a, arg_min(ordre, pos) AS first FROM m GROUP BY ark)
+@_query(f"""WITH m AS {_MAP}, h AS (SELECT ark, arg_min(ordre, pos) FILTER (numero = CAST(ark % 7 + 1 AS VARCHAR)) AS hit, arg_max(ordre, pos) AS last, arg_max(ordre, pos) FILTER (kind = 'A') AS a, arg_min(ordre, pos) AS first FROM m GROUP BY ark)
 SELECT ark, coalesce(hit, last) AS ordre, coalesce(a, first) AS last_pno FROM h""")
 def page_lookup(t):
     m = _page_map(t)
-    wanted = m.select("ark").distinct().withColumn("pno", F.lit("3"))
-    return pages.physical_pages(wanted, m).join(pages.last_page(m), "ark").select("ark", "ordre", "last_pno")
+    wanted = pages.last_page(m).withColumn("pno", (F.col("ark") % 7 + 1).cast("string"))
+    return pages.physical_pages(wanted, m).select("ark", "ordre", "last_pno")
 
 
 @_query(f"""WITH m AS {_MAP}, l AS (SELECT ark, coalesce(arg_max(ordre, pos) FILTER (kind = 'A'), arg_min(ordre, pos)) AS last_pno FROM m GROUP BY ark),
-n AS (SELECT ark, pos, CAST(numero AS BIGINT) AS start, lead(CAST(numero AS BIGINT)) OVER (PARTITION BY ark ORDER BY CAST(numero AS BIGINT), pos) - 1 AS nxt FROM m WHERE numero = '2')
-SELECT ark, pos, CAST(greatest(0, least(coalesce(nxt, last_pno), 10000000) - start + 1) AS BIGINT) AS n_pages, CASE WHEN coalesce(nxt, last_pno) >= start THEN coalesce(nxt, last_pno) END AS last_page FROM n JOIN l USING (ark)""")
+n AS (SELECT ark, pos, CAST(numero AS BIGINT) AS start, lead(CAST(numero AS BIGINT)) OVER (PARTITION BY ark ORDER BY CAST(numero AS BIGINT), pos) - 1 AS nxt FROM m WHERE numero = CAST(ark % 7 + 1 AS VARCHAR))
+SELECT ark, pos, CAST(greatest(0, coalesce(nxt, last_pno) - start + 1) AS BIGINT) AS n_pages, CASE WHEN coalesce(nxt, last_pno) >= start THEN coalesce(nxt, last_pno) END AS last_page FROM n JOIN l USING (ark)""")
 def toc_end_pages(t):
     m = _page_map(t)
     entries = m.select("ark", "pos", F.col("numero").alias("pno"), F.lit("A. B. - C").alias("title"))
-    found = pages.toc_articles(entries, pages.last_page(m).withColumn("last_pno", F.col("last_pno").cast("int")), F.lit("2"), "ark")
-    return found.select("ark", "pos", F.size("pages").cast("long").alias("n_pages"), F.try_element_at("pages", F.lit(-1)).cast("long").alias("last_page"))
+    found = pages.toc_articles(entries, pages.last_page(m), (F.col("ark") % 7 + 1).cast("string"), "ark")
+    n = F.greatest(F.lit(0), F.col("last_page") - F.col("first_page") + 1).cast("long")
+    return found.select("ark", "pos", n.alias("n_pages"), F.when(n > 0, F.col("last_page")).alias("last_page"))
+
+
+_WANTED = "WITH m AS " + _MAP + """, w AS (SELECT DISTINCT ark, [CAST(ark % 7 + 1 AS VARCHAR), '99', '1'] AS want FROM m),
+h AS (SELECT ark, i, coalesce(arg_min(ordre, pos) FILTER (numero = want[i]), arg_max(ordre, pos)) AS view FROM m JOIN w USING (ark), range(1, 4) r(i) GROUP BY ark, i)"""
+
+
+def _wanted(t):
+    return t("lineitem").select(F.col("l_orderkey").alias("ark")).distinct().withColumn("pages", F.array((F.col("ark") % 7 + 1).cast("string"), F.lit("99"), F.lit("1")))
+
+
+@_query(_WANTED + " SELECT ark, array_to_string(list(view ORDER BY i), ',') AS views FROM h GROUP BY ark")
+def desired_views(t):
+    return articles.desired_views(_wanted(t).withColumn("target", F.col("ark")), _page_map(t)).select("ark", _arr(F.col("views")).alias("views"))
+
+
+@_query(_WANTED + ", n AS (SELECT ark, CAST(count(*) AS INTEGER) AS last_view FROM m GROUP BY ark) SELECT h.ark AS ark, min(view) FILTER (i = 1) AS start_p, min(view) FILTER (i = 3) AS end_p, 1 AS first_view, min(last_view) AS last_view FROM h JOIN n USING (ark) GROUP BY h.ark")
+def view_spans(t):
+    m = _page_map(t)
+    whole = articles.all_views(m).withColumnsRenamed({"start_p": "first_view", "end_p": "last_view"})
+    return articles.view_span(_wanted(t), m).join(whole, "ark").select("ark", "start_p", "end_p", "first_view", "last_view")
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS ordre, l_returnflag AS text FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 2 + 1 + l_orderkey % 3")
+def content_slice(t):
+    text_ = t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("ordre"), F.col("l_returnflag").alias("text"))
+    return pages.content_slice(text_, 2, F.col("l_orderkey") % 3 + 1)
+
+
+#: Words that titles, authors and journals are made of.
+_NAMES = ("augustin", "m. chenu", "la vie", "ekke bo", "vie de paul")
+
+
+def _named(c):
+    return F.element_at(F.array(*map(F.lit, _NAMES)), (c % len(_NAMES) + 1).cast("int"))
+
+
+def _article_tables(t):
+    """Customers look for an article; their orders are a journal's issues, whose lines are contents and page map.
+
+    An issue whose key three divides has no contents; its lines are page texts.
+    """
+    nulls = {"publisher": "string", "number": "array<int>"}
+    y = lambda k: (F.col(k) % 5 + 1995).cast("int")
+    targets = t("customer").select(
+        F.col("c_custkey").alias("target"), _named(F.col("c_custkey")).alias("title"), _named(F.col("c_nationkey")).alias("author"), _named(F.col("c_nationkey") + 1).alias("journaltitle"), F.array(F.lit("2"), F.lit("3")).alias("pages"), F.array(y("c_nationkey")).alias("publicationdate"),
+        F.lit(False).alias("publicationdate_is_list"), F.array((F.col("c_custkey") % 4).cast("int")).alias("volume"), F.lit(False).alias("volume_is_list"), F.lit(False).alias("number_is_list"), *[F.lit(None).cast(k).alias(c) for c, k in nulls.items()],
+    )
+    o = t("orders")
+    wanted = o.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("ark"), F.col("o_orderkey").alias("issue")).join(targets.select("target"), "target", "left_semi")
+    said = F.concat(F.year("o_orderdate").cast("string"), F.lit("/10 (A4,T"), (F.col("o_orderkey") % 4).cast("string"), F.lit(")."))
+    meta = o.select(F.col("o_orderkey").alias("ark"), _named(F.col("o_orderkey")).alias("journaltitle"), F.array(F.lit("x"), said).alias("description"))
+    lines = t("lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    listed = F.col("l_orderkey") % 3 > 0
+    entries = lines.where(listed).select(F.col("l_orderkey").alias("ark"), "pos", F.col("l_linenumber").cast("string").alias("pno"), F.concat(_named(F.col("l_suppkey")), F.lit(" - "), _named(F.col("l_partkey"))).alias("title"))
+    said = F.concat(F.lit("<p>…</p> "), F.translate(_named(F.col("l_partkey")), "v", "w"), F.lit("\n par "), F.replace(F.upper(_named(F.col("l_suppkey"))), F.lit("HEN"), F.lit("EN")))
+    texts = lines.where(~listed).select(F.col("l_orderkey").alias("ark"), F.col("l_partkey").alias("ordre"), said.alias("text"))
+    return targets, wanted, meta, entries, _page_map(t), texts
+
+
+@_query("WITH nm AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS w, unnest(range(0, 5)) AS i), c AS (SELECT x.w AS a, y.w AS b FROM nm x, nm y), " + _STEPS + f""", r AS (SELECT x.i AS i, y.i AS j, round_even(200.0 * last[-1] / (length(a) + length(b)), 0) / 100 AS s FROM steps JOIN nm x ON x.w = a JOIN nm y ON y.w = b), m AS {_MAP},
+l AS (SELECT ark, coalesce(arg_max(ordre, pos) FILTER (kind = 'A'), arg_min(ordre, pos)) AS last_pno FROM m GROUP BY ark),
+e AS (SELECT l_orderkey AS ark, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_linenumber AS pno, l_suppkey % 5 AS au, l_partkey % 5 AS ti FROM lineitem WHERE l_orderkey % 3 > 0),
+f AS (SELECT e.*, lead(pno) OVER (PARTITION BY ark ORDER BY pos) AS nxt FROM e WHERE pno = 2), g AS (SELECT f.*, CASE WHEN nxt IS NULL THEN last_pno ELSE 1 END AS last_page FROM f JOIN l USING (ark)),
+k AS (SELECT c_custkey AS target, o_orderkey AS issue, pos, last_page, (CASE WHEN year(o_orderdate) = 1995 + c_nationkey % 5 THEN 1.0 ELSE 0.0 END + CASE WHEN o_orderkey % 4 = c_custkey % 4 THEN 1.0 ELSE 0.0 END * 1.0 * (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END)
+ + CASE WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 0 END + (CASE WHEN last_page >= 2 THEN 0.5 ELSE 0 END + CASE WHEN last_page >= 3 THEN 0.5 ELSE 0 END) + rt.s + ra.s + rj.s) / 6 AS score
+ FROM g JOIN orders ON o_orderkey = ark JOIN customer ON c_custkey = o_custkey JOIN r rt ON rt.i = c_custkey % 5 AND rt.j = ti JOIN r ra ON ra.i = c_nationkey % 5 AND ra.j = au JOIN r rj ON rj.i = (c_nationkey + 1) % 5 AND rj.j = o_orderkey % 5),
+b AS (SELECT target, issue, max(best) OVER (PARTITION BY target ORDER BY issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT target, issue, max(score) AS best FROM k GROUP BY ALL)),
+z AS (SELECT k.*, row_number() OVER (PARTITION BY k.target ORDER BY round(score, 9) DESC, k.issue, pos) AS rank FROM k JOIN b ON k.target = b.target AND k.issue = b.issue WHERE before IS NULL OR before <= 0.7)
+SELECT target, issue, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score, rank, last_page FROM z WHERE rank <= 5 AND round(score, 9) >= 0.5""")
+def article_contents_match(t):
+    """The article each customer looks for, found in the contents of the issues."""
+    targets, wanted, meta, entries, page_map, _ = _article_tables(t)
+    found = articles.article_candidates(targets, wanted, meta, entries, page_map, pages.last_page(page_map))
+    return found.select("target", "issue", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "last_page")
+
+
+@_query()
+def article_text_match(t):
+    """The issues without contents whose recognised text has title and author; approximate search is beyond SQL, so it is tested against a search in Python."""
+    targets, wanted, _, _, page_map, texts = _article_tables(t)
+    return articles.found_in_text(wanted.where(F.col("ark") % 3 == 0).join(targets, "target"), page_map, texts)
+
+
+@_query()
+def article_match(t):
+    """The article by contents, else by recognised text, of an issue that can be had; tested against a search in Python."""
+    targets, wanted, meta, entries, page_map, texts = _article_tables(t)
+    found = articles.article_candidates(targets, wanted, meta, entries, page_map, pages.last_page(page_map), texts)
+    there = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("ark"))
+    best = matching.first_available(found, there, "ark", "target")
+    return best.select("target", "issue", "pos", "via", F.round("score", 6).alias("score"), "first_view", "last_view")
 
 
 @_query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS INTEGER) AS a, CAST(o_orderkey % 50 + o_custkey % 470 AS INTEGER) AS b FROM orders), e AS (SELECT *, unnest(range(a, b + 1, 100)) AS block_start FROM s)
@@ -433,9 +503,7 @@ def _signal(t):
 SELECT vec_id, coalesce(min(y) FILTER (gradient <= low AND y > r), 0) AS up, coalesce(min(y) FILTER (gradient >= high AND y >= f), 0) AS down, round(max(high), 6) AS high FROM l JOIN u USING (vec_id) GROUP BY vec_id""")
 def signal_peaks(t):
     s = _signal(t).withColumn("i", F.col("y").cast("long"))
-    up = imaging.paired_peaks(s, ["vec_id"], "i", True).withColumnRenamed("peak", "up")
-    down = imaging.paired_peaks(s, ["vec_id"], "i", False).withColumnRenamed("peak", "down")
-    return up.join(down, "vec_id").join(s.groupBy("vec_id").agg(F.round(F.max("high"), 6).alias("high")), "vec_id")
+    return s.groupBy("vec_id").agg(imaging.second_peak("i", True).alias("up"), imaging.second_peak("i", False).alias("down"), F.round(F.max("high"), 6).alias("high"))
 
 
 _PIXELS = "WITH p AS (SELECT CAST(vec_id // 100 AS BIGINT) AS doc, CAST(vec_id % 100 AS INTEGER) AS y, CAST(unnest(range(0, len(embedding))) * 2 AS INTEGER) AS x, CAST(abs(CAST(round(unnest(embedding)::DOUBLE, 3) * 1000 AS BIGINT)) % 256 AS INTEGER) AS v FROM embeddings)"
@@ -447,11 +515,14 @@ def _pixels(t):
     return e.select(F.floor(F.col("vec_id") / 100).alias("doc"), (F.col("vec_id") % 100).cast("int").alias("y"), (F.col("x") * 2).alias("x"), v.cast("int").alias("v"))
 
 
-@_query(_PIXELS + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), i AS (SELECT p.*, w, h FROM p JOIN s USING (doc) WHERE x >= 40 AND y >= 40 AND x < w - 40 AND y < h - 40),
+_STRETCHED = "CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER)"
+
+
+@_query(_PIXELS + f", q AS (SELECT doc, x, y, CASE WHEN {_STRETCHED} > 60 THEN 255 ELSE 0 END AS v FROM p WINDOW w AS (PARTITION BY doc))" + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), i AS (SELECT q.*, w, h FROM q JOIN s USING (doc) WHERE x >= 40 AND y >= 40 AND x < w - 40 AND y < h - 40),
 b AS (SELECT doc, w, h, min(x) FILTER (v < 255) AS a, min(y) FILTER (v < 255) AS b, max(x) FILTER (v < 255) + 1 AS c, max(y) FILTER (v < 255) + 1 AS d FROM i GROUP BY ALL)
 SELECT doc, coalesce(a, 40) - 10 AS ux, CASE WHEN a IS NULL THEN 40 ELSE b END - 10 AS uy, CASE WHEN a IS NULL THEN w - 40 ELSE c END + 10 AS lx, CASE WHEN a IS NULL THEN h - 40 ELSE d END + 10 AS ly FROM b""")
 def bbox(t):
-    return imaging.crop_bounds(_pixels(t).withColumn("v", F.when(F.col("v") > 60, 255).otherwise(0)), ["doc"])
+    return imaging.crop_bounds(imaging.binarised(_pixels(t), ["doc"]), ["doc"])
 
 
 @_query(_PIXELS + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), e AS (SELECT doc, w, y, min(x) FILTER (v < 40) AS l, min(w - x) FILTER (v < 40 AND x > 0) AS r FROM p JOIN s USING (doc) WHERE y IN (h // 2 - 20, h // 2, h // 2 + 20) GROUP BY ALL),
@@ -574,15 +645,13 @@ def ris_parse(t):
 @_query(r"""WITH li AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS x FROM pages)
 SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS pno, x[i] AS title FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM li)""")
 def toc_extract(t):
-    links = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">([^<]*)</a></li>'), 0)
-    items = F.transform(links, lambda a: F.regexp_replace(a, r'<li><a href="([^"]*)">([^<]*)</a></li>', "<ITEM><seg n=1> $2 </seg><xref>\n$1</xref></item>"))
-    p = t("pages").select("page_id", F.concat(F.lit("<list>"), F.array_join(items, "\n"), F.lit("</list")).alias("xml"))
-    return markup.toc_table(p, "xml", ["page_id"])
+    return markup.toc_table(t("pages"), "html", ["page_id"], markup.PageLinks)
 
 
 @_query()
 def html_text(t):
-    return t("pages").select("page_id", F.length(markup.page_text(F.concat(F.lit("<body><p>x</p><hr>"), "html", F.lit("</body>")))).cast("long").alias("n_text"))
+    """The text of every page after its first rule; beyond SQL, so it is tested against pages read by hand."""
+    return t("pages").select("page_id", markup.page_text(F.concat(F.lit("<body><p>x</p><hr>"), "html", F.lit("</body>"))).alias("text"))
 
 
 @_query("""SELECT page_id, CAST(page_id % 90 AS INTEGER) AS ux, CAST(page_id % 70 AS INTEGER) AS uy, CAST(page_id % 90 + 1400 AS INTEGER) AS lx, CAST(page_id % 70 + 2100 AS INTEGER) AS ly, 1852 AS total_width, 3088 AS total_height FROM pages""")
@@ -596,25 +665,6 @@ def ocr_boxes(t):
 # --- approximate search -------------------------------------------------------
 
 
-def _needles(t):
-    """The first 40 characters of items, and documents that hold one of their words 2 to 4: not all pairs, `_whole` has those."""
-    q = t("benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("needle"))
-    words = q.select("item_id", "needle", F.explode(F.slice(F.split("needle", " "), 2, 3)).alias("w")).where(F.length("w") > 5)
-    d = t("documents").select("doc_id", F.lower("text").alias("hay"))
-    held = d.select("doc_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("w")).where(F.length("w") > 5)
-    return held.join(words, "w").select("item_id", "needle", "doc_id").distinct().join(d, "doc_id")
-
-
-_NEEDLES = """WITH q AS (SELECT item_id, lower(substr(text, 1, 40)) AS needle FROM benchmark), w AS (SELECT item_id, needle, unnest(string_split(needle, ' ')[2:4]) AS w FROM q), d AS (SELECT doc_id, lower(text) AS hay FROM documents),
-h AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(hay, ' ')) AS w FROM d) WHERE length(w) > 5), c AS (SELECT DISTINCT item_id, needle, doc_id FROM h JOIN w USING (w))
-"""
-
-
-@_query(_NEEDLES + "SELECT item_id, doc_id, contains(hay, needle) AS found FROM c JOIN d USING (doc_id)")
-def fuzzy_contains_k0(t):
-    return _needles(t).select("item_id", "doc_id", (F.size(fuzzy.near_matches(F.col("needle"), F.col("hay"), 0)) > 0).alias("found"))
-
-
 def _whole(t, k: int):
     """Whole item texts in all documents: every pair with a hit of at most k errors."""
     lower = F.lower("text").alias("text")
@@ -627,5 +677,137 @@ def fuzzy_contains_k2(t):
 
 
 @_query("SELECT item_id, doc_id FROM (SELECT item_id, lower(text) AS needle FROM benchmark) JOIN (SELECT doc_id, lower(text) AS hay FROM documents) ON contains(hay, needle) WHERE needle <> ''")
-def fuzzy_contains_whole(t):
+def fuzzy_contains_k0(t):
     return _whole(t, 0).select("item_id", "doc_id")
+
+
+# --- the rest of the surface ---------------------------------------------------
+
+
+_BOXES = """, d AS (SELECT DISTINCT doc FROM p), bx AS (SELECT doc, CAST(2 + doc % 3 AS INTEGER) AS ux, CAST(30 + doc % 7 AS INTEGER) AS uy, 9 AS lx, CAST(60 + doc % 9 AS INTEGER) AS ly FROM d),
+rw AS (SELECT doc, y, avg(v) AS mean FROM p GROUP BY ALL), gr AS (SELECT *, CASE WHEN b IS NULL THEN a - mean WHEN a IS NULL THEN mean - b ELSE (a - b) / 2 END AS gradient FROM (SELECT *, lag(mean) OVER w AS b, lead(mean) OVER w AS a FROM rw WINDOW w AS (PARTITION BY doc ORDER BY y))),
+li AS (SELECT *, avg(gradient) OVER w + 1.5 * stddev_pop(gradient) OVER w AS high, avg(gradient) OVER w - 1.5 * stddev_pop(gradient) OVER w AS low FROM gr WINDOW w AS (PARTITION BY doc)),
+nx AS (SELECT li.doc AS doc, uy - y AS i, y - ly AS j, gradient >= high AS rise, gradient <= low AS fall, y <= uy AND y > uy - 5 AS above, y >= ly AND y < ly + 5 AS below FROM li JOIN bx USING (doc)),
+st AS (SELECT doc, min(i) FILTER (above AND rise) AS u, min(j) FILTER (below AND fall) AS f FROM nx GROUP BY doc),
+pk AS (SELECT nx.doc AS doc, coalesce(min(i) FILTER (above AND fall AND i > u), 0) AS up, coalesce(min(j) FILTER (below AND rise AND j >= f), 0) AS down FROM nx JOIN st USING (doc) GROUP BY nx.doc)
+"""
+
+
+def _boxes(t):
+    """Text boxes of images of 100 rows, in the image's own scale."""
+    point = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    d = F.col("doc")
+    return t("embeddings").select(F.floor(F.col("vec_id") / 100).alias("doc")).distinct().select(
+        "doc", point(d % 3 + 2, d % 7 + 30).alias("upper"), point(F.lit(9), d % 9 + 60).alias("lower"), *[F.lit(100).alias(c) for c in ("total_width", "total_height", "width", "height")]
+    )
+
+
+@_query(_PIXELS + _BOXES + "SELECT doc, ux - 10 AS ux, CAST(uy - up - 10 AS INTEGER) AS uy, lx + 10 AS lx, CAST(ly + down + 10 AS INTEGER) AS ly FROM bx JOIN pk USING (doc)")
+def ocr_crops(t):
+    return imaging.ocr_crop(_pixels(t), _boxes(t), ["doc"])
+
+
+@_query(_PIXELS + """, i AS (SELECT doc, x - 4 AS x, y - 10 AS y, v FROM p WHERE x >= 4 AND x < 30 AND y >= 10 AND y < 40), a AS (SELECT doc, x, y, v AS plain, """ + _STRETCHED + """ & 248 AS v FROM i WINDOW w AS (PARTITION BY doc)),
+c AS (SELECT doc, x, y, plain, CAST(least(255, CASE WHEN v < 160 THEN round_even(v / 1.2, 0) ELSE v * 2 END) AS INTEGER) AS v FROM a)
+SELECT doc, x, y, CASE WHEN doc % 2 = 0 THEN plain ELSE """ + _STRETCHED + """ END AS v FROM c WINDOW w AS (PARTITION BY doc)""")
+def processed_images(t):
+    p = _pixels(t)
+    box = p.select("doc").distinct().select("doc", *[F.lit(v).alias(k) for k, v in (("ux", 4), ("uy", 10), ("lx", 30), ("ly", 40))])
+    return imaging.processed_images(p, box, ["doc"], F.col("doc") % 2 == 0).select("doc", "x", "y", "v")
+
+
+_PLAN = """WITH p AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS page, CAST(400 + o_orderkey % 50 AS INTEGER) AS mw, CAST(600 + o_orderkey % 70 AS INTEGER) AS mh, CAST(800 + o_orderkey % 90 AS INTEGER) AS iw,
+ CAST(o_orderkey % 20 AS INTEGER) AS ux, CAST(o_orderkey % 30 AS INTEGER) AS uy, CAST(700 + o_orderkey % 11 AS INTEGER) AS lx, CAST(900 + o_orderkey % 13 AS INTEGER) AS ly FROM orders),
+k AS (SELECT * FROM p WHERE page < 2 OR page <> 4), x AS (SELECT *, page < 2 AS cover, (lx - ux) * (CAST(mw AS DOUBLE) / iw) AS w, (ly - uy) * (CAST(mw AS DOUBLE) / iw) AS h, CAST(mw AS DOUBLE) / iw AS scale FROM k),
+m AS (SELECT *, max(CASE WHEN NOT cover THEN w END) OVER d AS bw, max(CASE WHEN NOT cover THEN h END) OVER d AS bh, first_value(mw) OVER (PARTITION BY doc ORDER BY page) AS cw, first_value(mh) OVER (PARTITION BY doc ORDER BY page) AS ch, row_number() OVER (PARTITION BY doc ORDER BY page) - 1 AS n FROM x WINDOW d AS (PARTITION BY doc))
+"""
+
+
+@_query(_PLAN + """SELECT doc, n AS out_page, cover, round(CASE WHEN NOT cover THEN ux * scale END, 4) AS "left", round(CASE WHEN NOT cover THEN mh - ly * scale END, 4) AS low, round(CASE WHEN cover THEN bw ELSE w END, 4) AS width, round(CASE WHEN NOT cover THEN greatest(0, (bw - w) / 2) END, 4) AS offset_x,
+ round(CASE WHEN cover THEN least(bw / cw, bh / ch) END, 6) AS cover_scale FROM m""")
+def process_plan(t):
+    """Customers' orders as pages of one document each; of those with two covers only, no size is known."""
+    k = F.col("o_orderkey")
+    page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    names = {"media_width": k % 50 + 400, "media_height": k % 70 + 600, "image_width": k % 90 + 800, "image_height": k % 90 + 1000, "ux": k % 20, "uy": k % 30, "lx": k % 11 + 700, "ly": k % 13 + 900}
+    p = t("orders").select(F.col("o_custkey").alias("doc"), page.alias("page"), *[v.cast("int").alias(n) for n, v in names.items()])
+    plan = imaging.process_plan(p, imaging.ProcessSettings(preserve_text=True, equal_size=True, has_cover_page=True, suppress_pages=(4,)))
+    r = lambda c, n=4: F.round(c, n).alias(c)
+    return plan.select("doc", F.col("out_page").cast("long").alias("out_page"), "cover", r("left"), r("low"), r("width"), r("offset_x"), r("cover_scale", 6))
+
+
+@_query("""WITH k AS (SELECT user_id, max(event_id) AS top, arg_max(value, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, coalesce(v, user_id * 2.0) AS value, v IS NULL AS made FROM u LEFT JOIN k USING (user_id)""")
+def memoised(t):
+    e = t("events")
+    log = store.named_store(e.where("event_type = 'click'").select(F.lit("ark").alias("name"), F.col("user_id").alias("key"), "value", F.col("event_id").alias("version")), "ark")
+    found, rows = store.memoised(e.select(F.col("user_id").alias("key")).distinct(), log, "key", "value", "version", lambda w: w.select("key", (F.col("key") * 2.0).alias("value")))
+    return found.join(rows.select("key", F.lit(True).alias("made")), "key", "left").select(F.col("key").alias("user_id"), "value", F.coalesce("made", F.lit(False)).alias("made"))
+
+
+@_query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'bibtex' WHEN 1 THEN 'ris' END AS input, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS title, CASE WHEN p_partkey % 3 = 2 THEN 'Unsupported type' END AS error FROM part""")
+def records_by_suffix(t):
+    s, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    bib = F.concat(F.lit("@book{k"), s, F.lit(", title = {"), "p_name", F.lit("}, year = 1930}"))
+    other = F.concat(F.lit("TY  - BOOK\nTI  - "), "p_name", F.lit("\nPY  - 1930\nER  - \n"))
+    named = F.concat(F.lit("in/"), s, F.when(k == 0, ".bib").when(k == 1, ".RIS").otherwise(".txt"))
+    r = archive.records(t("part").select(named.alias("file"), F.when(k == 0, bib).otherwise(other).alias("value")))
+    return r.select(F.regexp_extract("file", r"in/(\d+)", 1).cast("long").alias("p_partkey"), "input", "title", "error")
+
+
+@_query("""SELECT page_id, 'iiif/ark:/12148/p' || page_id || '/f' || (page_id % 9 + 1) || '/0,0,' || CASE WHEN page_id % 4 = 0 THEN '1,1' ELSE (page_id % 50 + 10) || ',' || (page_id % 60 + 20) END || '/full/0/native.png' AS address FROM pages""")
+def image_addresses(t):
+    p, s = F.col("page_id"), lambda c: c.cast("string")
+    a = F.struct(F.lit("ark").alias("scheme"), F.lit(None).cast("string").alias("authority"), F.lit("12148").alias("naan"), F.concat(F.lit("p"), s(p)).alias("name"), F.lit("date").alias("qualifier"))
+    payload = F.when(p % 4 == 0, "<html>busy</html>").otherwise(F.concat(F.lit('{"@id": "x", "width": '), s(p % 50 + 10), F.lit(', "height": '), s(p % 60 + 20), F.lit("}")))
+    return t("pages").select("page_id", archive.image_address(a, p % 9 + 1, archive.whole_image(archive.image_info(payload))).alias("address"))
+
+
+@_query("""SELECT CASE WHEN o_orderkey % 5 > 0 THEN 'o' || o_orderkey END AS ark, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS publisher, CASE WHEN o_orderkey % 5 > 0 THEN CAST(year(o_orderdate) AS VARCHAR) END AS years, CASE WHEN o_orderkey % 5 = 0 THEN 'not readable' END AS error, count(*) AS n FROM orders GROUP BY ALL""")
+def issue_metadata(t):
+    made = F.to_json(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("ark"), F.col("o_orderstatus").alias("publisher"), F.array(F.lit("x"), F.concat(F.year("o_orderdate").cast("string"), F.lit(" (T3)"))).alias("description")))
+    read = archive.issue_meta(t("orders").select(F.when(F.col("o_orderkey") % 5 == 0, "{busy").otherwise(made).alias("payload")))
+    facts = articles.issue_facts(read)
+    return facts.groupBy("ark", "publisher", _arr(F.col("publicationdate")).alias("years"), "error").agg(F.count("*").alias("n"))
+
+
+@_query(r"""WITH q AS (SELECT *, trim(regexp_replace(lower(substr(p_name, 1, 8) || ' (' || substr(p_brand, 1, 8) || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS k FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN '@Article{' || k || E',\n    journaltitle = {' || p_type || E'},\n    date = {1930-01-02},\n    author = {' || p_brand || E'},\n    title = {' || p_name || E'},\n}\n'
+ELSE CASE p_partkey % 3 WHEN 0 THEN '@Book{' ELSE '@Collection{' END || k || E',\n    year = {' || (1900 + p_size) || E'},\n    publisher = {' || p_type || E'},\n    title = {' || p_name || E'},\n    note = {' || p_size || E' pp.},\n    author = {' || p_brand || E'},\n}\n' END AS entry FROM q""")
+def bibtex_kinds(t):
+    c = F.col
+    fields = {"publicationdate": F.array(c("p_size") + 1900), "publisher": c("p_type"), "title": c("p_name"), "author": c("p_brand"), "editor": c("p_type"), "page_count": c("p_size"), "journaltitle": c("p_type"), "date": F.lit("1930-01-02")}
+    kind = c("p_partkey") % 3
+    entry = F.when(kind == 0, report.bibtex_record("book", fields, omit=("editor",))).when(kind == 1, report.bibtex_record("collection", fields, omit=("editor",))).otherwise(report.bibtex_record("newspaperarticle", fields))
+    return t("part").select("p_partkey", entry.alias("entry"))
+
+
+@_query(_RESULTS + " SELECT doc_id, name || ': ' || coalesce(CAST(status AS VARCHAR), '') || ' {' || processed || '}' AS entry FROM r")
+def user_report(t):
+    r = _results(t)
+    return report.user_report(r, "{{ name }}: {{status}} {{{processed}}}", {k: F.col(k) for k in ("name", "status", "processed")}).select("doc_id", "entry")
+
+
+@_query("""WITH v AS (SELECT p_partkey, p_size / 60.0 AS s FROM part) SELECT p_partkey, CAST(CASE WHEN s * 100 >= 100 THEN round(s * 100, 1) WHEN s * 100 >= 10 THEN round(s * 100, 2) ELSE round(s * 100, 3) END AS VARCHAR) || ' %' AS confidence FROM v""")
+def confidences(t):
+    return t("part").select("p_partkey", text.confidence(F.col("p_size") / F.lit(60.0)).alias("confidence"))
+
+
+@_query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size AS a, p_size % 3 AS b FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 0.5 WHEN 1 THEN CASE WHEN a = a + b THEN 1.0 ELSE 0.0 END WHEN 2 THEN CASE WHEN b < 2 THEN 1.0 ELSE 0.0 END WHEN 3 THEN CASE b WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END WHEN 4 THEN CASE WHEN b < 2 THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS score FROM p""")
+def number_scores(t):
+    """One against nothing, one, a list; a list against a list, one, nothing."""
+    k, a, b = F.col("p_partkey") % 6, F.col("p_size"), F.col("p_size") % 3
+    one, two, none = F.array(a), F.array(a, a + 1), F.lit(None).cast("array<int>")
+    target = F.when(k < 3, one).otherwise(two)
+    candidate = F.when(k.isin(0, 5), none).when(k == 1, F.array(a + b)).when(k == 2, F.array(a - b, a - b + 1)).when(k == 3, F.array(a + b, a + b + 1)).otherwise(F.array(a + b))
+    return t("part").select("p_partkey", matching.number_score(target, candidate, k >= 3, k.isin(2, 3)).alias("score"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 THEN 100 // (p_size % 5) + 1 END AS value, CASE WHEN p_size % 7 = 0 THEN 'no size' WHEN p_size % 5 = 0 THEN 'division' END AS error, CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 THEN 100 // (p_size % 5) + 1 ELSE -1 END AS value_or FROM part""")
+def error_values(t):
+    n = F.col("p_size")
+    e = either.of(n, F.when(n % 7 == 0, "no size"))
+    divided = either.flat_mapped(e, lambda v: either.of(F.floor(F.lit(100) / F.nullif(v % 5, F.lit(0))).cast("int"), F.when(v % 5 == 0, "division")))
+    out = either.mapped(divided, lambda v: v + 1)
+    return t("part").select("p_partkey", out["value"].alias("value"), out["error"].alias("error"), either.value_or(out, F.lit(-1)).alias("value_or"))

@@ -77,10 +77,8 @@ def entry_fields(raw: pd.Series) -> pd.DataFrame:
 def raw_entries(text: Column) -> Column:
     """The entries of a file: each from a line that begins with '@' to the next, without blank lines."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda line: F.trim(line) != "")
-    grow = lambda out, line: F.when(
-        F.ltrim(line).startswith("@") | (F.size(out) == 0), F.concat(out, F.array(line))
-    ).otherwise(F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit("\n"), line))))
-    return F.aggregate(lines, F.array().cast("array<string>"), grow)
+    marked = F.transform(lines, lambda line: F.when(F.ltrim(line).startswith("@"), F.concat(F.lit("\u001e"), line)).otherwise(line))
+    return F.filter(F.split(F.array_join(marked, "\n"), "\n?\u001e"), lambda entry: entry != "")
 
 
 def records(files: DataFrame, text: str = "value", file_pos: str = "file") -> DataFrame:

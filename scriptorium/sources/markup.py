@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -69,14 +70,30 @@ def tree(markup: str) -> Node:
     return builder.root
 
 
-def toc_entries(markup: str, cell: tuple[str, ...] = ("seg",), page: tuple[str, ...] = ("xref",)) -> list[dict]:
+@dataclass(frozen=True)
+class TocLayout:
+    """What holds an entry, its title and its page: element names, or `name@attribute` for the page."""
+
+    row: str = "row"
+    item: str = "item"
+    cell: str = "seg"
+    page: str = "xref"
+
+
+#: Lists of links in web pages.
+PageLinks = TocLayout(row="", item="li", cell="a", page="a@href")
+
+
+def toc_entries(markup: str, layout: TocLayout = TocLayout()) -> list[dict]:
     """(page number, title): of rows with both, if there are rows; else of items with a title."""
     root = tree(markup)
     out = []
-    rows = list(root.all("row"))
-    for node in rows or root.all("item"):
-        seg, ref = node.first(*cell), node.first(*page)
-        title, pno = (x.text().strip() if x else "" for x in (seg, ref))
+    rows = list(root.all(layout.row)) if layout.row else []
+    name, _, attribute = layout.page.partition("@")
+    for node in rows or root.all(layout.item):
+        seg, ref = node.first(layout.cell), node.first(name)
+        title = seg.text().strip() if seg else ""
+        pno = ((ref.attrs.get(attribute) or "") if attribute else ref.text()).strip() if ref else ""
         if (rows and title and pno) or (not rows and seg is not None and ref is not None):
             out.append({"pno": pno, "title": title})
     return out
@@ -104,9 +121,14 @@ def text_box(markup: str) -> dict | None:
     return {"upper": {"x": x, "y": y}, "lower": {"x": x + w, "y": y + h}, "total_width": total[0], "total_height": total[1]}
 
 
-@F.pandas_udf(TOC)
-def parse_toc(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: toc_entries(m) if m else [])
+def parse_toc(markup: Column, layout: TocLayout = TocLayout()) -> Column:
+    """Entries of a table of contents as an array; empty for null."""
+
+    @F.pandas_udf(TOC)
+    def read(text: pd.Series) -> pd.Series:
+        return text.map(lambda m: toc_entries(m, layout) if m else [])
+
+    return read(markup)
 
 
 @F.pandas_udf(T.StringType())
@@ -114,13 +136,13 @@ def page_text(markup: pd.Series) -> pd.Series:
     return markup.map(text_after_rule, na_action="ignore")
 
 
-def toc_table(pages: DataFrame, markup: str, keys: list[str]) -> DataFrame:
+def toc_table(pages: DataFrame, markup: str, keys: list[str], layout: TocLayout = TocLayout()) -> DataFrame:
     """One row an entry: keys, pos, pno, title."""
-    return pages.select(*keys, F.posexplode(parse_toc(markup)).alias("pos", "e")).select(*keys, "pos", "e.pno", "e.title")
+    return pages.select(*keys, F.posexplode(parse_toc(F.col(markup), layout)).alias("pos", "e")).select(*keys, "pos", "e.pno", "e.title")
 
 
 def ocr_box(markup: Column) -> Column:
-    """The text box of well-formed markup in the JVM; others by the lenient reader."""
+    """The text box of a page of character recognition, by the lenient reader; null for what has none."""
 
     @F.pandas_udf(BOX)
     def lenient(text: pd.Series) -> pd.DataFrame:

@@ -40,7 +40,7 @@ def test_whole_items_in_all_documents(spark, tmp_path):
     want = [(i, d, len(m), m[0][2]) for i, a, d, b in pairs if (m := fuzzy.search(a, b, 2))]
     found = catalogue.QUERIES["fuzzy_contains_k2"](spark, str(tmp_path))
     assert sorted([tuple(r)[:4] for r in found.collect()], key=repr) == sorted(want, key=repr)
-    exact = catalogue.QUERIES["fuzzy_contains_whole"](spark, str(tmp_path))
+    exact = catalogue.QUERIES["fuzzy_contains_k0"](spark, str(tmp_path))
     assert sorted(map(tuple, exact.collect()), key=repr) == sorted([(i, d) for i, a, d, b in pairs if a in b], key=repr)
     many = fuzzy.search_all(spark.createDataFrame(items, "i long, n string"), "i", "n", spark.createDataFrame(docs, "d long, t string"), "d", "t", 2, block_chars=200)
     assert sorted([(r["i"], r["d"], len(r["matches"])) for r in many.collect()], key=repr) == sorted([w[:3] for w in want], key=repr)

@@ -44,7 +44,7 @@ def rows(spark, folder, name, *columns):
 
 def test_every_part_is_a_target(spark, folder):
     keys = lambda rows: {r[0] for r in rows}
-    found = catalogue.QUERIES["match_scores_all"](spark, folder).collect()
+    found = catalogue.QUERIES["match_scores"](spark, folder).collect()
     assert keys(found) == keys(PARTS)
     want = {(p[0], c[0]): c[1:] for p in PARTS for c in candidates(p)}
     assert len(found) == len(want)
@@ -54,8 +54,8 @@ def test_every_part_is_a_target(spark, folder):
 
 
 def test_best_and_seen_of_every_part(spark, folder):
-    assert rows(spark, folder, "early_exit_all", "target", "pos", "seen") == sorted((p[0], c[0], n) for p in PARTS for n, c in enumerate(seen(p)))
-    assert rows(spark, folder, "match_best_all", "target", "pos") == sorted((p[0], max(seen(p), key=lambda c: (c[3], -c[0]))[0]) for p in PARTS)
+    assert rows(spark, folder, "early_exit", "target", "pos", "seen") == sorted((p[0], c[0], n) for p in PARTS for n, c in enumerate(seen(p)))
+    assert rows(spark, folder, "match_best", "target", "pos") == sorted((p[0], max(seen(p), key=lambda c: (c[3], -c[0]))[0]) for p in PARTS)
 
 
 def test_entry_has_every_part(spark):

@@ -16,11 +16,11 @@ def plain(s):
 
 def test_normal_form_of_every_document(spark, tmp_path):
     spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalogue.QUERIES["normalize_unicode"](spark, str(tmp_path))
+    found = catalogue.QUERIES["normalize_text"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(d, plain(s)) for d, s in DOCS], key=repr)
 
 
 def test_normal_form_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    found = catalogue.QUERIES["normalize_unicode"](spark, "/root/testdata/sf0.001").collect()
+    found = catalogue.QUERIES["normalize_text"](spark, "/root/testdata/sf0.001").collect()
     assert len(found) == len(docs) and {r["doc_id"]: r["plain"] for r in found} == {r["doc_id"]: plain(r["text"]) for r in docs}

@@ -6,27 +6,25 @@ from scriptorium.sources import bibtex, markup, ris
 from scriptorium.streaming import watch
 
 BIB = r"""
-    @Article{danielou30:_pour_augus,
-      author =       {Jean Dani{\'e}lou},
-      title =        {Pour lire saint Augustin},
-
-      journaltitle = "La Vie spirituelle",
-      year =      1930,
-      language =  {french},
-      volume =    24,
-      pages =     {135--57}}
+  @ARTICLE{k-7,
+  title = "On the {G}lazing of T{\"u}bingen Tiles", year = 1911, keywords = {tiles},
+  author = {M{\'a}ria K{\H o}v{\'a}ri},
+
+  volume = {3}, pages = "88--94",
+  journaltitle = {Annals of Kiln Work}
+  }
 """
 RIS = """TY  - JOUR
-TI  - Les fondements de la place des laïcs
-AU  - Bonino, S.
-AU  - Autre, A.
-JO  - Revue
-T2  - Autre revue
-VL  - 74
-IS  - 4
-SP  - 627
-EP  - 649
-PY  - 1982
+PY  - 1967/05
+AU  - Kővári, M.
+SP  - 12
+EP  - 19
+AU  - Okoye, B.
+T2  - A Second Name
+JO  - Kilns Quarterly
+TI  - Ash glazes
+IS  - 2
+VL  - 9
 ER  -
 
 TY  - ABST
@@ -45,9 +43,9 @@ def test_bibtex(spark):
     rows = bibtex.numbered(bibtex.records(files(spark, "\n\n".join([BIB] * 3)))).orderBy("pos").collect()
     assert [r["pos"] for r in rows] == [0, 1, 2]
     r = rows[1]
-    assert (r["kind"], r["author"], r["title"], r["journaltitle"], r["error"]) == ("article", "Jean Daniélou", "Pour lire saint Augustin", "La Vie spirituelle", None)
-    assert (r["publicationdate"], r["publicationdate_is_list"], r["volume"], r["number"]) == ([1930], False, [24], None)
-    assert r["pages"] == [str(p) for p in range(135, 158)]
+    assert (r["kind"], r["author"], r["title"], r["journaltitle"], r["error"]) == ("article", "Mária Kővári", "On the Glazing of Tübingen Tiles", "Annals of Kiln Work", None)
+    assert (r["publicationdate"], r["publicationdate_is_list"], r["volume"], r["number"]) == ([1911], False, [3], None)
+    assert r["pages"] == [str(p) for p in range(88, 95)]
     assert r["raw"] == "\n".join(x for x in BIB.split("\n") if x.strip())
 
 
@@ -65,8 +63,8 @@ def test_latex(latex, plain):
 def test_ris(spark):
     rows = ris.numbered(ris.records(files(spark, RIS))).orderBy("pos").collect()
     r = rows[0]
-    assert (r["kind"], r["author"], r["journaltitle"], r["volume"], r["number"], r["publicationdate"]) == ("article", "Bonino, S.andAutre, A.", "Revue", [74], [4], [1982])
-    assert r["pages"] == [str(p) for p in range(627, 650)]
+    assert (r["kind"], r["author"], r["journaltitle"], r["volume"], r["number"], r["publicationdate"]) == ("article", "Kővári, M.andOkoye, B.", "Kilns Quarterly", [9], [2], [1967])
+    assert r["pages"] == [str(p) for p in range(12, 20)]
     assert r["raw"].startswith("TY  - JOUR") and r["raw"].rstrip().endswith("ER  -")
     assert rows[1]["error"] == "Unsupported type"
 
@@ -87,6 +85,8 @@ ITEMS = "<list xmlns:a='b'c='><ITEM><seg> Two\n lines </seg><xref>5</xref><xref>
 
 
 def test_markup():
+    links = markup.toc_entries('<nav><ul><li><a href="/x">X &amp; y</a><li><a>none</a></li></ul>', markup.PageLinks)
+    assert {"pno": "/x", "title": "X & y"} in links and {"pno": "", "title": "none"} in links
     assert markup.toc_entries(ROWS) == [{"pno": "1", "title": "A. One"}]
     assert markup.toc_entries(ITEMS)[-1] == {"pno": "9", "title": "In"}
     assert {"pno": "5", "title": "Two\n lines"} in markup.toc_entries(ITEMS.replace(" xmlns:a='b'c='", ""))
@@ -124,7 +124,9 @@ def test_toc_articles(spark):
     e = spark.createDataFrame([("x", 0, "5", "A. - T"), ("x", 1, "5", "B. - U"), ("x", 2, "6", "C")], "ark string, pos int, pno string, title string")
     last = spark.createDataFrame([("x", 8)], "ark string, last_pno int")
     got = pages.toc_articles(e, last, F.lit("5")).orderBy("pos").collect()
-    assert [(r["author"], r["title"], r["pages"]) for r in got] == [("A", "T", []), ("B", "U", ["5", "6", "7", "8"])]
+    assert [(r["author"], r["title"], r["first_page"], r["last_page"]) for r in got] == [("A", "T", 5, 4), ("B", "U", 5, 8)]
+    listed = pages.toc_articles(e, last, F.lit("5")).orderBy("pos").select(pages.page_list(F.col("first_page"), F.col("last_page")).alias("p")).collect()
+    assert [r["p"] for r in listed] == [[], ["5", "6", "7", "8"]]
 
 
 def test_plans(spark):
@@ -167,6 +169,11 @@ def test_names_and_report(spark, tmp_path):
     names = lambda first: [r["filename"] for r in report.numbered_names(frame, "slug", "pos", ".pdf", first).orderBy("pos").collect()]
     assert names(1) == ["a.pdf", "a-1.pdf", "a-2.pdf", "b.pdf"]
     assert names(0) == ["a.pdf", "a-0.pdf", "a-1.pdf", "b.pdf"]
+    held = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a-1"), (3, "a"), (4, "a-1"), (5, "c")], "pos int, slug string")
+    numbered = report.numbered_names(held, "slug", "pos", ".pdf")
+    assert [r["filename"] for r in numbered.orderBy("pos").collect()] == ["a.pdf", "a-2.pdf", "a-1.pdf", "a-3.pdf", "a-1-1.pdf", "c.pdf"]
+    on_disk = spark.createDataFrame([("c",), ("c-0",), ("z",)], "slug string")
+    assert [r["filename"] for r in report.numbered_names(held, "slug", "pos", ".pdf", 0, taken=on_disk).orderBy("pos").collect()][-1] == "c-1.pdf"
     report.write_report(frame.withColumn("entry", F.col("slug")), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.split() == ["Status", "Report", "-------------", "a", "a", "a", "b"]
