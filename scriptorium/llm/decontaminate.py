@@ -8,18 +8,21 @@ fingerprint is then extended to the windows around it, word by word, bytes
 included.  Items shorter than a window are looked up by the hash of all their
 words at every place.
 
-The benchmark is worked off in blocks of at most BLOCK_WORDS words, each sent to
-all executors and run against all documents; one block is usual, and then nothing
-is shuffled.  With more, hit words are united by document.
+The benchmark lies in the shared folder in blocks of some BLOCK_WORDS words.  A
+worker holds one at a time, runs it against a chunk of documents, then the next,
+and unites what they hit: documents are read once, and nothing is shuffled.
 
 Null texts have no words.  Null item ids are not reported; rows that repeat an
 item_id are one item in the result, with the windows of all its rows.  Every row
-of docs gets its own result, repeated ids included.  Any length is read whole.
+of docs gets its own result, repeated and null ids included.  Any length is read
+whole.  Without items nothing is hit; an empty table gives an empty result.  Other
+columns are read with carry only, in a struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import pickle
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.arrays import ALNUM, Words, chunks, column_bytes, run_hashes, winnow
+from scriptorium.llm.arrays import ALNUM, CHUNK_BYTES, Words, chunks, column_bytes, run_hashes, winnow
+from scriptorium.llm.shared import Workspace, file_system
 
 WINDOW = 10
 GRAM = 5
 BLOCK_WORDS = 2_000_000
+#: Bytes of documents to a chunk where several blocks take turns.
+MANY_BLOCKS_CHUNK = 64 << 20
 _BITS = 20
 
 
@@ -124,75 +130,69 @@ class Benchmark:
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
-def _scan(docs: DataFrame, block: Benchmark) -> DataFrame:
-    """docs (id, text, row) with n_words, spans of hit words and items of one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+@lru_cache(1)
+def _block(address: str) -> Benchmark:
+    """A block of the benchmark; a worker holds one at a time."""
+    fs, path = file_system(address)
+    with fs.open_input_stream(path, compression=None) as source:
+        return pickle.loads(source.read())
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, gram: int, block_words: int) -> list[str]:
+    """Writes the benchmark as blocks of some block_words words to the shared folder; their addresses.
+
+    The driver holds one block at a time.  Items are dealt by a hash, and a block has
+    at most twice its share beside its longest item.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    count = max(1, int(-(-total // block_words)))
+    folder = f"{Workspace(spark, 'benchmark').path}/blocks"
+    fs, root = file_system(folder)
+    fs.create_dir(root, recursive=True)
+    for k in range(count):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).orderBy("id", "text").collect()
+        with fs.open_output_stream(f"{root}/{k}", compression=None) as sink:
+            sink.write(pickle.dumps(Benchmark([r["id"] for r in part], [r["text"] for r in part], window, gram), 5))
+    return [f"{folder}/{k}" for k in range(count)]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, carry: bool = False) -> DataFrame:
+    """Per row of docs: id, n_words, n_hit, spans (first and last hit word of each run), items (sorted ids as strings); with carry, docs' columns in a struct `row`."""
+    blocks = _blocks(benchmark, item_col, item_text_col, window, gram, block_words)
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [id_col])])
+    given = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([given.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches):
-        bench = shared.value
-        for rows, data, offs in chunks(batches, "text"):
+        for rows, data, offs in chunks(batches, "text", CHUNK_BYTES if len(blocks) == 1 else MANY_BLOCKS_CHUNK):
             words = Words(data, offs, ALNUM, lower=True)
-            first, length, item = bench.hits(words)
             owner = words.row_of()
-            spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+            found = []
             items: list[set[str]] = [set() for _ in range(rows.num_rows)]
+            for address in blocks:
+                bench = _block(address)
+                first, length, item = bench.hits(words)
+                found.append((first, length))
+                for d, i in {*zip(owner[first].tolist(), item.tolist(), strict=True)}:
+                    if bench.ids[i] is not None:
+                        items[d].add(bench.ids[i])
+            first, length = (np.concatenate(x) for x in zip(*found, strict=True))
+            spans: list[list[dict]] = [[] for _ in range(rows.num_rows)]
             order = np.lexsort((length, first))
-            for a, n, i in zip(first[order].tolist(), length[order].tolist(), item[order].tolist(), strict=True):
+            for a, n in zip(first[order].tolist(), length[order].tolist(), strict=True):
                 d = int(owner[a])
                 a -= int(words.rows[d])
                 if spans[d] and a <= spans[d][-1]["last"] + 1:
                     spans[d][-1]["last"] = max(spans[d][-1]["last"], a + n - 1)
                 else:
                     spans[d].append({"first": a, "last": a + n - 1})
-                if bench.ids[i] is not None:
-                    items[d].add(bench.ids[i])
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(np.diff(words.rows), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                 names=schema.names,
             )
 
-    return docs.select("row", "text").mapInArrow(run, schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, carry: bool = False) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, spans (first and last hit word of each run), items (sorted ids as strings); with carry, docs' columns in a struct `row`."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    # blocks by running size over buckets of items; a bucket is far smaller than a block
-    n = F.length("text") / 2 + 1
-    total = items.agg(F.sum(n)).first()[0] or 0
-    count = max(1, int(-(-total // block_words)))
-    whole = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col)]
-    if count > 1:  # rows of one id may differ in their text
-        whole.append(F.sha2(F.col(text_col).cast("string"), 256).alias("sha of text"))
-    given = docs.select(F.struct(*whole).alias("row"), F.col(text_col).cast("string").alias("text"))
-    parts = []
-    for k in range(count):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).orderBy("id", "text").collect() if count > 1 else items.orderBy("id", "text").collect()
-        parts.append(_scan(given, Benchmark([r["id"] for r in part], [r["text"] for r in part], window, gram)))
-    if count == 1:
-        found = parts[0]
-    else:
-        found = _unite(given, parts)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
-    return found.select(F.col(f"row.`{id_col}`").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items", *(["row"] if carry else []))
-
-
-def _unite(given: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Results of several blocks by row: spans merged, items united.  Equal rows have equal results and stay as many."""
-    number = len(parts)
-    tagged = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)])
-    grouped = tagged.groupBy(F.xxhash64("row").alias("key"), "row").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / number).cast("int").alias("copies")
-    )
-    kind = "array<struct<first:bigint,last:bigint>>"
-
-    def merge(a, s):
-        last = F.element_at(a, -1)
-        wider = F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))).cast(kind)
-        joins = (F.size(a) > 0) & (s["first"] <= last["last"] + 1)
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), wider)).otherwise(F.concat(a, F.array(s).cast(kind))).cast(kind)
-
-    merged = F.aggregate(F.array_sort("s"), F.array().cast(kind), merge)
-    return grouped.select("row", "n_words", merged.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return given.mapInArrow(run, schema).select(F.col(f"row.`{id_col}`").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items", *(["row"] if carry else []))

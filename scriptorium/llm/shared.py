@@ -7,21 +7,32 @@ takes nothing with it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder, as an address; a temporary one only where none is set and all runs on one machine, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
         named = context.getCheckpointDir()
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)  # without a scheme it lies in the cluster's own file system
+    named = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return named.replace("file:/", "file:///", 1) if re.match("file:/[^/]", named) else named
+
+
+def file_system(address: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of an address, in driver and tasks alike."""
+    return pyarrow.fs.FileSystem.from_uri(address)
 
 
 class Workspace:
