@@ -4,7 +4,7 @@ Documents are dealt to blocks of some BLOCK_BYTES by a hash.  A block sends each
 distinct key once to the key's shard, with what it counted, so a key that is
 everywhere costs a shard one entry a block and never its occurrences.  The shard
 answers every block in the order of its keys; the block, computed again from the
-same rows, knows that order.  Everything is one lazy plan, in which Spark reuses
+same rows, knows that order.  A shard for which a block has nothing gets no message.  Everything is one lazy plan, in which Spark reuses
 the exchange of the documents.
 """
 
@@ -45,17 +45,17 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, blocks: int, **more) ->
     return docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), text.alias("text"), *[c.alias(n) for n, c in more.items()])
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where the shards begin among ascending 64-bit keys; shards + 1 places."""
-    steps = np.array([-(-(i << 64) // shards) for i in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, steps), [len(keys)]]).astype(np.int64)
-
-
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of 64-bit keys, ascending with them."""
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def runs_of(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of the shards that ascending numbers name; none for a shard without any."""
+    starts = np.flatnonzero(np.diff(shard, prepend=-1))
+    return list(zip(shard[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=False))
+
+
 def small(x: np.ndarray) -> np.ndarray:
     """The same non-negative integers in as few bytes as they need."""
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
@@ -81,8 +81,7 @@ def received(table: pa.Table) -> list[tuple[int, int, tuple]]:
 def ask_recurring(block: int, keys: np.ndarray, shards: int) -> list[tuple[int, int, bytes]]:
     """Messages that ask which keys of a block (one for each occurrence) occur twice anywhere."""
     known, counts = np.unique(keys, return_counts=True)
-    cuts = shard_bounds(known, shards)
-    return [(block, s, pack(known[a:b], np.packbits(counts[a:b] > 1))) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return [(block, s, pack(known[a:b], np.packbits(counts[a:b] > 1))) for s, a, b in runs_of(shard_of(known, shards))]
 
 
 def answer_recurring(key: tuple, table: pa.Table) -> pa.Table:
@@ -102,10 +101,8 @@ def answer_recurring(key: tuple, table: pa.Table) -> pa.Table:
 def told_recurring(table: pa.Table, keys: np.ndarray, shards: int) -> np.ndarray:
     """The ascending distinct keys of a block of which the answers say that they recur."""
     known = np.unique(keys)
-    cuts = shard_bounds(known, shards)
     yes = np.zeros(len(known), bool)
-    for _, shard, (bits,) in received(table):
-        a, b = cuts[shard], cuts[shard + 1]
+    for (_, a, b), (_, _, (bits,)) in zip(runs_of(shard_of(known, shards)), received(table), strict=True):
         yes[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
     return known[yes]
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.arrays import NOT_BLANK, Words, chunks, mix, run_hashes
-from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, shard_of, small
+from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, runs_of, shard_of, small
 from scriptorium.llm.components import components as connected
 from scriptorium.llm.shared import Workspace
 
@@ -187,13 +187,12 @@ def _sent(docs: DataFrame, shingle: int, percent: int, shards: int) -> DataFrame
             keys, which = part_keys(list(sets.values()), percent)
             shard = shard_of(keys, shards)
             order = np.argsort(shard, kind="stable")
-            keys, which, shard = keys[order], which[order], shard[order]
-            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            keys, which = keys[order], which[order]
             out = []
-            for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True):
+            for s, a, b in runs_of(shard[order]):
                 used, count = np.unique(which[a:b], return_counts=True)
                 short = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # what two keys share by chance is verified, too
-                out.append((0, int(shard[a]), pack(np.ascontiguousarray(short), small(count), nodes[used])))
+                out.append((0, s, pack(np.ascontiguousarray(short), small(count), nodes[used])))
             yield from messages(out).to_batches()
 
     return docs.select("text").mapInArrow(run, MESSAGE)

@@ -11,18 +11,20 @@ blocks.py).  Shards of the first round count words and number them.  Shards of
 the second hold the trie: contexts and, after monotone pointers into the next
 level, their successors, each sequence in Elias-Fano form, with successors stored
 as running sums by context, and a code of QUANT_BITS bits for every smoothed
-probability q.  Levels are written to files and memory-mapped; a question looks
-up its context, then searches the word's place among that context's successors.
+probability q.  Levels are written to files of the shared folder, one set for each
+attempt of a task, and memory-mapped; a question looks up its context, then searches the word's place among that context's successors.
 A context of more than HEAVY tokens is spread over shards by successor.
 
-Null texts are empty and score as their end alone.  Texts are scored whole.  Rows
-of one id are scored each on its own.
+Null texts are empty and score as their end alone.  Texts are scored whole, however
+long.  Rows of one id, or without one, are scored each on its own; a null train
+column means the row is not learnt from.  An empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
+import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.arrays import NOT_BLANK, Words, column_bytes, mix
-from scriptorium.llm.blocks import MESSAGE, blocked, layout, messages, number, pack, received, shard_bounds
+from scriptorium.llm.blocks import MESSAGE, blocked, layout, messages, number, pack, received, runs_of, shard_of, small
+from scriptorium.llm.shared import Workspace, file_system
 
 PRIOR = 100.0
 QUANT_BITS = 8
@@ -135,13 +138,28 @@ class EliasFano:
         same[same] = self._low(lo[same]) == want[same]
         return lo, same
 
-    def save(self, folder: Path, name: str) -> None:
+    def save(self, folder: str, name: str) -> None:
         for field in self.FIELDS:
-            np.save(folder / f"{name}.{field}.npy", getattr(self, field))
+            _save(f"{folder}/{name}.{field}", getattr(self, field))
 
     @classmethod
-    def open(cls, folder: Path, name: str) -> EliasFano:
-        return cls(*(np.load(folder / f"{name}.{field}.npy", mmap_mode="r") for field in cls.FIELDS))
+    def open(cls, folder: str, name: str) -> EliasFano:
+        return cls(*(_open(f"{folder}/{name}.{field}") for field in cls.FIELDS))
+
+
+def _save(address: str, values: np.ndarray) -> None:
+    fs, path = file_system(address)
+    with fs.open_output_stream(path, compression=None) as sink:
+        np.lib.format.write_array(sink, np.ascontiguousarray(values))
+
+
+def _open(address: str) -> np.ndarray:
+    """The array, mapped where the shared folder is a file system of the machine, else read."""
+    fs, path = file_system(address)
+    if fs.type_name == "local":
+        return np.load(path, mmap_mode="r")
+    with fs.open_input_stream(path, compression=None) as source:
+        return np.load(io.BytesIO(source.read()))
 
 
 class BigramTrie:
@@ -185,21 +203,19 @@ class BigramTrie:
         out[row[same]] = self.codes[at[same]]
         return out
 
-    def save(self, folder: Path) -> None:
+    def save(self, folder: str) -> None:
+        """Writes the levels under an address of the shared folder."""
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
         for name in self.LEVELS:
             getattr(self, name).save(folder, name)
-        np.save(folder / "codes.npy", self.codes)
-        np.save(folder / "book.npy", self.book)
+        _save(f"{folder}/codes", self.codes)
+        _save(f"{folder}/book", self.book)
 
     @classmethod
-    def open(cls, folder: Path) -> BigramTrie:
+    def open(cls, folder: str) -> BigramTrie:
         """The levels, memory-mapped."""
-        return cls(*(EliasFano.open(folder, n) for n in cls.LEVELS), np.load(folder / "codes.npy", mmap_mode="r"), np.load(folder / "book.npy"))
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same non-negative integers in as few bytes as they need."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        return cls(*(EliasFano.open(folder, n) for n in cls.LEVELS), _open(f"{folder}/codes"), _open(f"{folder}/book"))
 
 
 class _Block:
@@ -216,9 +232,9 @@ class _Block:
 
     def ask_words(self, block: int, shards: int) -> list[tuple[int, int, bytes]]:
         counts = np.bincount(self.place, self.train, len(self.keys)).astype(np.int64)
-        cuts = shard_bounds(self.keys, shards)
         # every shard is asked, if for nothing but its totals
-        return [(block, s, pack(self.keys[a:b], _small(counts[a:b]))) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        cuts = np.searchsorted(shard_of(self.keys, shards), np.arange(shards + 1))
+        return [(block, s, pack(self.keys[a:b], small(counts[a:b]))) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
     def told_words(self, table: pa.Table, shards: int) -> None:
         """Number and count of every distinct word, and the corpus's totals."""
@@ -236,38 +252,37 @@ class _Block:
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
         self.context, self.word = np.divmod(self.pairs, len(self.keys))
 
-    def routed(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the bigrams by shard, context number and word number; where shards begin."""
+    def routed(self, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the bigrams by shard, context number and word number; (shard, begin, end) of those named."""
         c, w = self.number[self.context], self.number[self.word]
         at = mix(c.astype(np.uint64) + np.uint64(1))
         heavy = self.count[self.context] > HEAVY
         at[heavy] = mix(at[heavy] ^ w[heavy].astype(np.uint64))
         shard = ((at >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((w, c, shard))
-        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+        return order, runs_of(shard[order])
 
     def ask_bigrams(self, block: int, shards: int) -> list[tuple[int, int, bytes]]:
         self.bigrams()
         counts = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int64)
-        order, cuts = self.routed(shards)
+        order, named = self.routed(shards)
         out = []
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                row = order[a:b]
-                fresh = np.ones(b - a, bool)
-                fresh[1:] = self.context[row[1:]] != self.context[row[:-1]]
-                first = np.flatnonzero(fresh)
-                contexts = self.number[self.context[row[first]]]
-                out.append((block, s, pack(_small(np.diff(contexts, prepend=0)), _small(np.diff(first, append=b - a)), _small(self.count[self.context[row[first]]]), _small(self.number[self.word[row]]), _small(counts[row]))))
+        for s, a, b in named:
+            row = order[a:b]
+            fresh = np.ones(b - a, bool)
+            fresh[1:] = self.context[row[1:]] != self.context[row[:-1]]
+            first = np.flatnonzero(fresh)
+            contexts = self.number[self.context[row[first]]]
+            out.append((block, s, pack(small(np.diff(contexts, prepend=0)), small(np.diff(first, append=b - a)), small(self.count[self.context[row[first]]]), small(self.number[self.word[row]]), small(counts[row]))))
         return out
 
     def scores(self, table: pa.Table, shards: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
         """Base and model scores of every text."""
         self.bigrams()
-        order, cuts = self.routed(shards)
+        order, named = self.routed(shards)
         q = np.zeros(len(self.pairs))
-        for _, s, (codes, book) in received(table):
-            q[order[cuts[s] : cuts[s + 1]]] = book[codes]
+        for (_, a, b), (_, _, (codes, book)) in zip(named, received(table), strict=True):
+            q[order[a:b]] = book[codes]
         base = (self.count + 1) / (self.tokens + self.vocabulary + 1)
         p = q + prior / (self.count[self.context] + prior) * base[self.word]
         return tuple(np.add.reduceat(np.log10(x)[i], self.rows[:-1]) for x, i in ((base, self.place), (p, self.pair)))
@@ -283,15 +298,16 @@ def _number_words(shards: int):
         for block, _, (keys, _) in rows:
             i = back[at : at + len(keys)]
             at += len(keys)
-            out.append((block, shard, pack(_small(i * shards + shard), _small(count[i]), int(count.sum()), int((count > 0).sum()))))
+            out.append((block, shard, pack(small(i * shards + shard), small(count[i]), int(count.sum()), int((count > 0).sum()))))
         return messages(out)
 
     return run
 
 
-def _answer_bigrams(prior: float, bits: int):
+def _answer_bigrams(prior: float, bits: int, folder: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = received(table)
+        place = f"{folder}/{number(key)}-{uuid.uuid4().hex}"  # of this attempt alone
         asked, counts, totals = [], [], []
         for _, _, (steps, runs, total, words, count) in rows:
             contexts = np.cumsum(steps.astype(np.int64))
@@ -307,21 +323,17 @@ def _answer_bigrams(prior: float, bits: int):
         fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
         first = np.flatnonzero(fresh)
         q = (np.add.reduceat(n, first) if len(first) else n) / (t[first] + prior)
-        out = []
-        with tempfile.TemporaryDirectory() as folder:
-            BigramTrie.build(c[first], w[first], q, bits).save(Path(folder))
-            del context, word, count, total, c, w, n, t, counts, totals
-            trie = BigramTrie.open(Path(folder))
-            for (block, shard, _), (contexts, words) in zip(rows, asked, strict=True):
-                out.append((block, shard, pack(trie.find(contexts, words), trie.book)))
-            del trie
-        return messages(out)
+        BigramTrie.build(c[first], w[first], q, bits).save(place)
+        del context, word, count, total, c, w, n, t, counts, totals
+        trie = BigramTrie.open(place)
+        return messages([(block, shard, pack(trie.find(contexts, words), np.array(trie.book))) for (block, shard, _), (contexts, words) in zip(rows, asked, strict=True)])
 
     return run
 
 
 def score_corpus(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, bits: int = QUANT_BITS) -> DataFrame:
     """Learns from rows whose train_col is true, scores all: id, n_tokens, n_known, train_tokens, base_score, score."""
+    folder = Workspace(docs.sparkSession, "tries").path
     blocks, shards = layout(docs, text_col, shard_bytes=SHARD_BYTES)
     given = blocked(docs, id_col, text_col, blocks, train=F.coalesce(F.col(train_col), F.lit(False)))
     out = T.StructType([docs.schema[id_col], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]])
@@ -347,6 +359,6 @@ def score_corpus(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_c
         return pa.table([table.column("id"), pa.array(np.diff(block.rows), pa.int64()), pa.array(known, pa.int64()), pa.array([block.tokens] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64())], names=out.names)
 
     words = given.groupBy("block").applyInArrow(ask_words, MESSAGE).groupBy("shard").applyInArrow(_number_words(shards), MESSAGE)
-    bigrams = given.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask_bigrams, MESSAGE).groupBy("shard").applyInArrow(_answer_bigrams(prior, bits), MESSAGE)
+    bigrams = given.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask_bigrams, MESSAGE).groupBy("shard").applyInArrow(_answer_bigrams(prior, bits, folder), MESSAGE)
     told = words.unionByName(bigrams.withColumn("shard", F.col("shard") + F.lit(shards)))
     return given.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, out)
