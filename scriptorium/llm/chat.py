@@ -11,6 +11,8 @@ Control strings inside texts are escaped reversibly: a backslash doubles, and
 a null role is ''.  Equal turn numbers go by role, then text; a null turn number
 comes first.  A conversation with a null id is one of its own.  Turn orders the
 machine does not know leave the conversation formatted, with `valid` false.
+Rows that repeat are turns of their own.  A text of any length is one segment.  An
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

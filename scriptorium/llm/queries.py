@@ -52,7 +52,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     made = chat.format_conversations(turns.unionByName(tricky))
-    back = chat.parse_conversations(made.select("conv_id", "formatted", "segments"), keep=("segments",))
+    back = chat.parse_conversations(made.select("conv_id", "formatted", "segments", "valid"), keep=("segments", "valid"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.loss_text(F.col("segments"))
     return back.select(
@@ -62,15 +62,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
-def op6_turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the role machine accepts a conversation's turns in their order."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return chat.format_conversations(turns).select("conv_id", "n_turns", "valid")
-
-
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -98,7 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_unigram_token_count,
         op5_compression_quality,
         op6_chat_format,
-        op6_turn_order,
         op7_exact_dedup,
         op8_token_files,
         op9_ngram_jaccard,
