@@ -11,8 +11,11 @@ checks each.
 
 Files are written to the shared folder under the name of their attempt, and only
 those named in the manifest count, so a task that runs twice leaves no doubt.
-Null texts are empty and hold the end id alone.  Null ids come first; repeated
-ids keep all their rows, in the order of their texts.
+Null texts are empty and hold the end id alone.  Null ids come first; repeated ids
+keep all their rows, in the order of a hash of their texts, which is the same in
+every run.  Ids are integers; others are refused.  Texts of any length are encoded
+whole.  An empty table gives no documents; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,9 +40,11 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.arrays import NOT_BLANK, Words, chunks
 from scriptorium.llm.cache import WordMemory
-from scriptorium.llm.shared import Workspace, partitions
+from scriptorium.llm.shared import Workspace, file_system, partitions, ranges
 
 FRAME_IDS = 65_536
+#: Bytes of text that go into a file.
+FILE_BYTES = 128 << 20
 LEVEL = 1
 # fixed values of the seekable format
 _SKIPPABLE, _SEEK_SKIPPABLE, _SEEKABLE_MAGIC, _CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -140,20 +145,29 @@ class TokenFileReader:
             yield (None if doc["null"] else int(doc["id"])), int(self.first[k]), ids[a : a + int(doc["n"])]
 
 
+#: Words that show whether a tokenizer minds what is beside a word; the last are special to some.
+_PROBES = ("a", "The", "don't", "x,", "...", "42", "é", "日本", "👍🏽", "'s", "-", "", "<|endoftext|>", "</w>", "\u00a0", "e\u0301", "\u0301")
+
+
 @lru_cache(2)
 def _encoder(path: str):
-    """The library's tokenizer, with a memory of words: it drops white space, so words are coded one by one."""
+    """The library's tokenizer, a memory of words, and whether it codes words one by one, as one that drops white space does."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, WordMemory()
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    by_word = all(ids(left + blank + right) == ids(left) + ids(right) for left, right, blank in product(_PROBES, _PROBES, (" ", "\n", "\t  ", "\x0b", "\x0c\r")))
+    return tokenizer, WordMemory(), by_word
 
 
 def encode_chunk(path: str, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a chunk's texts, end to end, and the n + 1 places where texts begin."""
-    tokenizer, memory = _encoder(path)
+    tokenizer, memory, by_word = _encoder(path)
+    if not by_word:
+        whole = [e.ids for e in tokenizer.encode_batch_fast([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs, offs[1:], strict=False)], add_special_tokens=False)]
+        return np.fromiter((x for ids in whole for x in ids), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in whole], dtype=np.int64)])
     words = Words(data, offs, NOT_BLANK, lower=False)
 
     def fresh(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,24 +179,26 @@ def encode_chunk(path: str, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndar
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files, in id order; returns their manifest: part, file, n_docs, n_ids, start (ids in all files before)."""
+    """Writes the files, in id order; returns their manifest: part, file, n_docs, n_ids, start (ids in all files before), first_id and last_id."""
     spark = docs.sparkSession
     space = Workspace(spark, "tokens")
     folder = f"{space.path}/files"
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"ids must be integers: {id_col}")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the text's hash splits a hot id; the texts themselves order what is left
-    dealt = given.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h", "text")
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
+    dealt = given.withColumn("h", F.xxhash64("text")).repartitionByRange(ranges(docs, text_col, FILE_BYTES), "id", "h").sortWithinPartitions("id", "h", "text")
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())])
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         wide = max(_encoder(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1) > 65_536
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        name, docs_n, ids_n = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst", 0, 0
+        name, docs_n, ids_n, names = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst", 0, 0, []
         with fs.open_output_stream(f"{root}/{name}", compression=None) as sink:
             writer = TokenFileWriter(sink, wide)
             for rows, data, offs in chunks(batches, "text"):
@@ -190,16 +206,18 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
                 flat = np.insert(flat, at[1:], end_id)
                 counts = np.diff(at) + 1
                 writer.add(rows.column(0).to_pylist(), counts, flat)
+                known = pc.min_max(rows.column(0)).as_py()
+                names += [x for x in known.values() if x is not None]
                 docs_n += len(counts)
                 ids_n += len(flat)
             writer.close()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64()), pa.array([min(names, default=None)], pa.int64()), pa.array([max(names, default=None)], pa.int64())], names=schema.names)
 
     manifest = space.write(dealt.select("id", "text").mapInArrow(run, schema), "manifest")
     rows = manifest.orderBy("part").collect()  # one row a file
     starts = accumulate((r["n_ids"] for r in rows), initial=0)
-    table = [(r["part"], f"{folder}/{r['file']}", r["n_docs"], r["n_ids"], s) for r, s in zip(rows, starts, strict=False)]
-    return spark.createDataFrame(table, "part int, file string, n_docs long, n_ids long, start long")
+    table = [(r["part"], f"{folder}/{r['file']}", r["n_docs"], r["n_ids"], s, r["first_id"], r["last_id"]) for r, s in zip(rows, starts, strict=False)]
+    return spark.createDataFrame(table, "part int, file string, n_docs long, n_ids long, start long, first_id long, last_id long")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -208,7 +226,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, where = pyarrow.fs.FileSystem.from_uri(uri)
+                fs, where = file_system(uri)
                 with fs.open_input_file(where) as source:
                     rows = [(i, start + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, first, ids in TokenFileReader(source, source.size()).all()]
                 if rows:
@@ -219,6 +237,28 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return dealt.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
+def find_documents(manifest: DataFrame, wanted: list[int], id_col: str = "doc_id") -> DataFrame:
+    """id and ids (array) of the documents asked for; of files that can hold them, their tails and frames alone are read."""
+    asked = np.unique(np.array(wanted, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            for uri, first, last in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if not ((asked >= first) & (asked <= last)).any():
+                    continue
+                fs, where = file_system(uri)
+                with fs.open_input_file(where) as source:
+                    reader = TokenFileReader(source, source.size())
+                    places = np.flatnonzero(np.isin(reader.docs["id"], asked) & (reader.docs["null"] == 0))
+                    found = [(int(reader.docs["id"][k]), reader.document(k).tolist()) for k in places]
+                if found:
+                    ids, tokens = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=[id_col, "ids"])
+
+    files = manifest.where("first_id IS NOT NULL").select("file", "first_id", "last_id")
+    return files.repartition(partitions(manifest.sparkSession), "file").mapInArrow(run, f"`{id_col}` long, ids array<long>")
+
+
 def documents_of(data: bytes) -> list[tuple[int | None, int, np.ndarray]]:
     """All documents of a file held in memory."""
     return list(TokenFileReader(io.BytesIO(data), len(data)).all())

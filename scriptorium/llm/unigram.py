@@ -8,14 +8,18 @@ a character that is no piece itself may be an unknown, ten below the worst
 score, and neighbouring unknowns count as one piece.
 
 Words are `[^\\x20\\x09-\\x0D]+`, each with the mark U+2581 before it.  Null texts
-are empty and have no pieces.  Rows repeat as they come in; other columns are
-not read.
+are empty and have no pieces.  Texts of any length are counted whole; a word is one
+search, so time and memory grow with the longest word and not with its text.  Rows
+repeat as they come in, null ids included; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
@@ -32,7 +36,20 @@ UNKNOWN_PENALTY = 10.0
 
 
 def pieces(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file; its control and byte pieces are no text."""
+    """Pieces and scores of a vocabulary: a tokenizers file (.json) with a unigram model, or a sentencepiece file.
+
+    Control and byte pieces are no text.  Of a tokenizers file the model alone is
+    read, so its normaliser must be none; one with byte fallback is refused, as it
+    has no unknowns.
+    """
+    if path.endswith(".json"):
+        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        model = held["model"]
+        if model.get("type") != "Unigram" or model.get("byte_fallback") or held.get("normalizer"):
+            raise ValueError("only a unigram model without byte fallback and normaliser can be counted by")
+        special = {x["content"] for x in held.get("added_tokens") or []}
+        return [(p, float(s)) for k, (p, s) in enumerate(model["vocab"]) if k != model.get("unk_id") and p not in special]
+
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

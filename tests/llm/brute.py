@@ -45,9 +45,14 @@ def exact(docs):
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(i)
     out = []
     for text, ids in groups.items():
-        for k, i in enumerate(sorted(ids)):
-            out.append((i, min(ids), len(ids), k == 0, sha(text)))
-    return sorted(out)
+        ids.sort(key=null_first)
+        for k, i in enumerate(ids):
+            out.append((i, ids[0], len(ids), k == 0, sha(text)))
+    return sorted(out, key=repr)
+
+
+def null_first(i):
+    return i is not None, i or 0
 
 
 def shingles(text, k):
@@ -71,8 +76,9 @@ def components(docs, k, percent):
                 parent[find(a)] = find(b)
     least = {}
     for n, (i, _) in enumerate(docs):
-        least[find(n)] = min(i, least.get(find(n), i))
-    return sorted((i, len(sets[n]), least[find(n)]) for n, (i, _) in enumerate(docs))
+        known = [x for x in (i, least.get(find(n))) if x is not None]
+        least[find(n)] = min(known, default=None)
+    return sorted(((i, len(sets[n]), least[find(n)] if sets[n] else i) for n, (i, _) in enumerate(docs)), key=repr)
 
 
 def repeats(docs, window):

@@ -14,7 +14,7 @@ def prose(rng, n, vocabulary=400):
 
 
 def messy_rows():
-    """(doc_id, text): nulls, blanks, copies, near copies, shared passages, signs, a long text, repeated rows."""
+    """(doc_id, text): nulls, blanks, copies, near copies, shared passages, signs, a long text, repeated rows, rows without an id."""
     rng = random.Random(7)
     passage, base = prose(rng, 60), prose(rng, 150)
     rows = [(i, prose(rng, rng.randint(1, 200))) for i in range(40)]
@@ -25,4 +25,5 @@ def messy_rows():
     rows += [(80 + i, prose(rng, 30) + "\n" + passage + " \x0b" + prose(rng, 5)) for i in range(4)]
     rows += [(90, passage + " " + passage), (91, "ha " * 100), (92, "日本語 テスト\u3000x\u00a0y é 👍🏽 '' '' 's don't we'll 12345 \x00\x01"), (93, "y" * 3000 + " " + "ab" * 700)]
     rows += [(94, prose(rng, 30_000)), (95, prose(rng, 20)), (95, prose(rng, 20)), (96, base), (96, base)]
+    rows += [(None, prose(rng, 40)), (None, " ".join(["zz", *near[1:]])), (None, passage), (None, None), (None, None)]
     return rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import brute
 from conftest_rows import messy_rows
-from scriptorium.llm import arrays, blocks, bpe, chat, decontaminate, exact, jaccard, lm, quality, substrings, tokenfile, unigram
+from scriptorium.llm import arrays, blocks, bpe, chat, decontaminate, exact, jaccard, lm, quality, queries, substrings, tokenfile, unigram
 
 ROWS = messy_rows()
 
@@ -69,7 +69,7 @@ def test_every_window_keeps_its_minimum(values, width):
 
 
 def test_scores_are_brute_force(messy, sizes):
-    train = [i % 3 != 0 for i, _ in ROWS]
+    train = [i is not None and i % 3 != 0 for i, _ in ROWS]
     scored = lm.score_corpus(messy.withColumn("learn", F.col("doc_id") % 3 != 0), "learn", bits=16)
     got = rows(scored, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     want = sorted(((i, *x) for (i, _), x in zip(ROWS, brute.bigram_scores(ROWS, train, lm.PRIOR), strict=True)), key=repr)
@@ -79,6 +79,20 @@ def test_scores_are_brute_force(messy, sizes):
         assert g[5] == pytest.approx(w[5], rel=1e-3)
 
 
+def test_scores_of_the_query_are_within_its_code_book(spark, messy, tmp_path):
+    """The registered query with its 8 bits: a probability is off by one step of the code book at most."""
+    messy.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.QUERIES["op2_ngram_trie_score"](spark, str(tmp_path)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = [i is not None and brute.crc(i, 7) == 2 for i, _ in ROWS]
+    train = [i is not None and not h for (i, _), h in zip(ROWS, held, strict=True)]
+    want = sorted(((i, h, *x) for (i, _), h, x in zip(ROWS, held, brute.bigram_scores(ROWS, train, lm.PRIOR), strict=True)), key=repr)
+    step = np.log10(sum(len((t or "").split()) + 1 for _, t in ROWS) + lm.PRIOR) / 254
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5] == pytest.approx(w[5], rel=1e-9)
+        assert abs(g[6] - w[6]) <= g[2] * step
+
+
 def test_heavy_contexts_are_spread(messy, monkeypatch):
     frame = messy.withColumn("learn", F.lit(True))
     plain = rows(lm.score_corpus(frame, "learn", bits=16), "doc_id", "n_tokens", "score")
@@ -111,8 +125,8 @@ def test_trie_on_disk(tmp_path):
     rng = np.random.default_rng(3)
     pairs = np.unique(rng.integers(0, 300, (4000, 2)), axis=0)
     q = rng.random(len(pairs))
-    lm.BigramTrie.build(pairs[:, 0], pairs[:, 1], q, 12).save(tmp_path)
-    trie = lm.BigramTrie.open(tmp_path)
+    lm.BigramTrie.build(pairs[:, 0], pairs[:, 1], q, 12).save(f"file://{tmp_path}/t")
+    trie = lm.BigramTrie.open(f"file://{tmp_path}/t")
     assert isinstance(trie.successors.high, np.memmap)
     assert np.allclose(trie.book[trie.find(pairs[:, 0], pairs[:, 1])], q, rtol=5e-3)
     others = rng.integers(0, 400, (2000, 2))
@@ -177,6 +191,29 @@ def test_counts_are_the_library(messy, nothing):
     assert unigram.count_tokens(nothing, path).count() == 0
 
 
+def test_a_unigram_file_counts_as_the_library(tmp_path, spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = [("<unk>", 0.0), ("▁", -3.0), ("▁a", -2.5), ("ab", -2.0), ("b", -2.2), ("▁ab", -4.5), ("c", -4.0), ("bc", -6.2), ("é", -3.0)]
+    tokenizer = Tokenizer(models.Unigram(vocab, 0, False))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
+    tokenizer.save(f"{tmp_path}/t.json")
+    texts = ["ab abc", "a", "xxab é?", "bcbc abab cc", "b ?? a"]
+    got = unigram.count_tokens(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), f"{tmp_path}/t.json")
+    assert rows(got, "doc_id", "n_tokens") == [(k, len(tokenizer.encode(t).ids)) for k, t in enumerate(texts)]
+    with pytest.raises(ValueError):
+        unigram.pieces(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_a_tokenizer_that_minds_spaces_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b  c", "", "x\ny"]
+    data = "".join(texts).encode()
+    ids, at = tokenfile.encode_chunk(path, np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library("byte_bpe_50k.json").encode(t).ids for t in texts]
+    assert tokenfile._encoder(public_tokenizers.path("word_bpe_49k.json"))[2] and not tokenfile._encoder(path)[2]
+
+
 def test_equal_scores_take_the_longest_piece_first():
     counter = unigram.UnigramCounter([("ab", -2.0), ("a", -1.0), ("b", -1.0), ("▁", -1.0)])
     assert counter.count("▁ab") == 2
@@ -187,14 +224,19 @@ def test_equal_scores_take_the_longest_piece_first():
 def test_token_files(messy, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, want, at = library("word_bpe_49k.json"), [], 0
-    for i, text in sorted(ROWS, key=lambda r: (r[0], r[1] or "")):
+    for i, text in sorted(ROWS, key=lambda r: (brute.null_first(r[0]), r[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((i, len(ids), brute.zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     manifest = tokenfile.write_token_files(messy, path, 2)
     got = tokenfile.read_token_files(manifest).orderBy("start").collect()
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
-    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=brute.null_first)
+    some = tokenfile.find_documents(manifest, [95, 3, 7, 12_345]).collect()
+    ids_of = lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    assert sorted((r["doc_id"], r["ids"]) for r in some) == sorted((i, ids_of(t)) for i, t in ROWS if i in (95, 3, 7))
+    with pytest.raises(ValueError):
+        tokenfile.write_token_files(messy.withColumn("doc_id", F.col("doc_id").cast("string")), path, 2)
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
     assert tokenfile.read_token_files(tokenfile.write_token_files(nothing, path, 2)).count() == 0
 
