@@ -3,17 +3,22 @@
 A window of WINDOW words recurs if its word sequence starts anywhere else.  Of
 every window the least GRAM-gram is an anchor; a recurring window has a recurring
 anchor.  Blocks of documents ask shards which anchors recur, then, of the windows
-around those only, which windows recur.  These confirmed windows, joined where
-they touch, are a block's passages.  They are compiled into Aho-Corasick automata
-of at most AUTOMATON_CHARS characters each, and all documents of the block stream
-through them, which finds every occurrence of every passage.  Each document is
-judged on the input, so what is removed elsewhere does not matter.
-
-Every recurring window of a document lies in a passage of its own block, and a
-passage's windows all recur, so the automata mark exactly the words asked for.
-Windows are compared by 64-bit hashes of their words; passages byte by byte.
-Null texts have no words.  Rows of the same id are separate documents; equal rows
-repeat each other.  Documents of fewer words than a window keep all of them.
+around those only, which windows recur: that confirms a window for the corpus.  Of
+each confirmed window a block takes one place, the first; these windows, joined
+where they touch, are its passages.  The passages' anchors are compiled into
+Aho-Corasick automata of at most AUTOMATON_CHARS characters each, and all documents
+of the block stream through them.  Every hit lays a passage along a document, word
+by word, and what is equal over a window's length or more is removed.
+
+Every occurrence of a window has its anchors at the same places, so the automata
+find all of them; what they find at a second place does recur.  Each document is
+judged on the input, so what is removed elsewhere does not matter.  That a window
+recurs is decided by 64-bit hashes of its words, where it stands by the automata.
+
+Null texts have no words.  Rows of the same id, or without one, are separate
+documents; equal rows repeat each other.  Documents of fewer words than a window
+keep all of them; longer ones are read whole.  An empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from scriptorium.llm.blocks import MESSAGE, among, answer_recurring, ask_recurri
 WINDOW = 35
 GRAM = 8
 AUTOMATON_CHARS = 1_000_000
+#: Words of passages that are compared with documents at once.
+COMPARED_AT_ONCE = 1 << 21
 
 
 def _words(table: pa.Table) -> Words:
@@ -85,44 +92,85 @@ def _joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])[rows]
 
 
-def _automata(passages: list[str], most: int):
-    """Automata of about `most` characters each; a longer passage has its own."""
+def _automata(patterns: list[str], most: int):
+    """Automata of about `most` characters each; a longer pattern has its own."""
     made, size = ahocorasick.Automaton(), 0
-    for passage in passages:
-        if size and size + len(passage) > most:
+    for k, pattern in enumerate(patterns):
+        if size and size + len(pattern) > most:
             made.make_automaton()
             yield made
             made, size = ahocorasick.Automaton(), 0
-        made.add_word(f" {passage} ", len(passage) + 2)
-        size += len(passage) + 2
+        made.add_word(pattern, (k, len(pattern)))
+        size += len(pattern)
     if size:
         made.make_automaton()
         yield made
 
 
-def _located(words: Words, first: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-    """Words of the block inside any occurrence of the passages [first, end)."""
-    covered = np.zeros(len(words) + 1, np.int64)
+def _text(data: np.ndarray) -> str:
+    return data.tobytes().decode("utf-8", "replace")
+
+
+def _found(words: Words, patterns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and pattern of every place in the documents at which a pattern, a space at either end, stands."""
     joined, ends = _joined(words, np.ones(len(words), bool))
-    whole = joined.tobytes()
-    at = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])  # of each word, counting one space after every word
-    before = at[words.rows[:-1]] - ends[:-1]
-    owner = words.row_of()
-    shift = before[owner] if len(words) else before[:0]
-    spans = [(int(at[a] - shift[a]), int(at[b] - shift[a] - 1)) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-    passages = sorted({whole[a:b].decode("utf-8", "replace") for a, b in spans})
-    texts = [f" {whole[a:b].decode('utf-8', 'replace')} " for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-    for automaton in _automata(passages, most):
+    texts = [f" {_text(joined[a:b])} " for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    places, kinds = [], []
+    for automaton in _automata(patterns, most):
         for row, text in enumerate(texts):
-            if len(text) <= 2:
-                continue
-            found = [(last - size + 1, last) for last, size in automaton.iter(text)]
+            found = [(last - size + 1, k) for last, (k, size) in automaton.iter(text)] if len(text) > 2 else []
             if found:
                 blank = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-                a, b = np.searchsorted(blank, np.array(found).T)  # both ends are spaces
-                np.add.at(covered, words.rows[row] + a, 1)
-                np.add.at(covered, words.rows[row] + b, -1)
-    return np.cumsum(covered[:-1]) > 0
+                at, kind = np.array(found).T
+                places.append(words.rows[row] + np.searchsorted(blank, at))
+                kinds.append(kind)
+    if not places:
+        return (np.zeros(0, np.int64),) * 2
+    return np.concatenate(places), np.concatenate(kinds)
+
+
+def _located(words: Words, first: np.ndarray, end: np.ndarray, window: int, gram: int, most: int) -> np.ndarray:
+    """Words of the block inside any occurrence of a window of the passages [first, end), by way of the passages' anchors."""
+    gone = np.zeros(len(words) + 1, np.int64)
+    if not len(first):
+        return gone[:-1] > 0
+    inside = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+    starts = np.concatenate([[0], np.cumsum(end - first)])  # of the passages, among the words `inside`
+    hashes = words.hash[inside]
+    whose = np.repeat(np.arange(len(first)), end - first)
+    grams = run_hashes(hashes, gram)
+    n = len(grams)
+    at = np.flatnonzero(winnow(grams, window - gram + 1) & (whose[:n] == whose[gram - 1 :][:n]))
+    by: dict[bytes, list[int]] = {}
+    for k in at.tolist():
+        by.setdefault(b" ".join(words.text(i) for i in inside[k : k + gram].tolist()), []).append(k)
+    place, kind = _found(words, [f" {p.decode('utf-8', 'replace')} " for p in by], most)
+    held = [np.array(v) for v in by.values()]
+    many = np.array([len(v) for v in held])
+    flat, base = np.concatenate(held), np.cumsum(many) - many
+    times = many[kind]
+    own = flat[np.repeat(base[kind], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    place = np.repeat(place, times)
+    # each passage along each document once, however many of its anchors are there
+    doc = words.row_of()[place]
+    laid = np.unique(np.stack([doc, whose[own], place - own + starts[whose[own]]]), axis=1)
+    doc, passage, begin = laid
+    low, high = np.maximum(begin, words.rows[doc]), np.minimum(begin + (end - first)[passage], words.rows[doc + 1])
+    long = high - low >= window
+    passage, begin, low, high = passage[long], begin[long], low[long], high[long]
+    cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // COMPARED_AT_ONCE, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)], strict=False):
+        size = high[a:b] - low[a:b]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        there = np.repeat(low[a:b], size) + step
+        same = words.hash[there] == hashes[np.repeat(starts[passage[a:b]] + low[a:b] - begin[a:b], size) + step]
+        opens = same & ((step == 0) | ~np.concatenate([[False], same[:-1]]))
+        closes = same & np.concatenate([(step[1:] == 0) | ~same[1:], [True]])
+        x, y = np.flatnonzero(opens), np.flatnonzero(closes)
+        enough = y - x + 1 >= window
+        np.add.at(gone, there[x[enough]], 1)
+        np.add.at(gone, there[y[enough]] + 1, -1)
+    return np.cumsum(gone[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
@@ -160,8 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = told.filter(pa.array(about_windows))
         rest = rest.set_column(1, "shard", pa.array(rest.column("shard").to_numpy() - shards, pa.int32()))
         places, hashes = _near(words, owner, recurring_anchors(words, owner, anchors), window, gram)
-        places = places[among(hashes, told_recurring(rest, hashes, shards))]
-        gone = _located(words, *_runs(words, owner, places, window), automaton_chars)
+        recurring = among(hashes, told_recurring(rest, hashes, shards))
+        places, hashes = places[recurring], hashes[recurring]
+        once = np.sort(np.unique(hashes, return_index=True)[1])  # of each window its first place
+        gone = _located(words, *_runs(words, owner, places[once], window), window, gram, automaton_chars)
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.rows])
         return out_table(table.column("id"), np.diff(words.rows), removed, *_joined(words, ~gone))
 
