@@ -30,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.arrays import NOT_BLANK, Words, binary_rows, column_bytes, gather, run_hashes, winnow
+from scriptorium.llm.arrays import NOT_BLANK, PIECE_BYTES, Words, binary_rows, column_bytes, gather, run_hashes, spans, winnow
 from scriptorium.llm.blocks import MESSAGE, among, answer_recurring, ask_recurring, blocked, layout, messages, number, told_recurring
 
 WINDOW = 35
 GRAM = 8
 AUTOMATON_CHARS = 1_000_000
 #: Words of passages that are compared with documents at once.
-COMPARED_AT_ONCE = 1 << 21
+COMPARED_AT_ONCE = 1 << 20
+#: Pairs of an anchor's place and a passage that holds it that are looked at at once, beside one document's own.
+PAIRS_AT_ONCE = 1 << 19
 
 
 def _words(table: pa.Table) -> Words:
@@ -111,14 +113,28 @@ def _text(data: np.ndarray) -> str:
     return data.tobytes().decode("utf-8", "replace")
 
 
+class _Part:
+    """The words of rows [low, high) of a block."""
+
+    def __init__(self, words: Words, low: int, high: int):
+        a, b = words.rows[low], words.rows[high]
+        self.data, self.start, self.end, self.rows = words.data, words.start[a:b], words.end[a:b], words.rows[low : high + 1] - a
+
+    def texts(self) -> list[str]:
+        """Every row's words with one space before, between and after them."""
+        joined, ends = _joined(self, np.ones(len(self.start), bool))
+        return [f" {_text(joined[a:b])} " for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
 def _found(words: Words, patterns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and pattern of every place in the documents at which a pattern, a space at either end, stands."""
-    joined, ends = _joined(words, np.ones(len(words), bool))
-    texts = [f" {_text(joined[a:b])} " for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    automata = list(_automata(patterns, most))
     places, kinds = [], []
-    for automaton in _automata(patterns, most):
-        for row, text in enumerate(texts):
-            found = [(last - size + 1, k) for last, (k, size) in automaton.iter(text)] if len(text) > 2 else []
+    ends = np.concatenate([words.end, [0]])[words.rows - 1] if len(words) else words.rows  # bytes of all rows before
+    ends[words.rows == 0] = 0
+    for low, high in spans(ends, PIECE_BYTES):
+        for row, text in enumerate(_Part(words, low, high).texts(), low):
+            found = [(last - size + 1, k) for automaton in automata for last, (k, size) in automaton.iter(text)] if len(text) > 2 else []
             if found:
                 blank = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
                 at, kind = np.array(found).T
@@ -129,6 +145,24 @@ def _found(words: Words, patterns: list[str], most: int) -> tuple[np.ndarray, np
     return np.concatenate(places), np.concatenate(kinds)
 
 
+def _mark(gone: np.ndarray, there: np.ndarray, here: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray, window: int) -> None:
+    """Adds 1 to gone where a run of `window` or more equal words of [low, high) begins, and takes it off after its end.
+
+    A word at i is compared with the passages' word at i + shift.
+    """
+    cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // COMPARED_AT_ONCE, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)], strict=False):
+        size = high[a:b] - low[a:b]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(low[a:b], size) + step
+        same = there[at] == here[at + np.repeat(shift[a:b], size)]
+        opens = np.flatnonzero(same & ((step == 0) | ~np.concatenate([[False], same[:-1]])))
+        closes = np.flatnonzero(same & np.concatenate([(step[1:] == 0) | ~same[1:], [True]]))
+        enough = closes - opens + 1 >= window
+        np.add.at(gone, at[opens[enough]], 1)
+        np.add.at(gone, at[closes[enough]] + 1, -1)
+
+
 def _located(words: Words, first: np.ndarray, end: np.ndarray, window: int, gram: int, most: int) -> np.ndarray:
     """Words of the block inside any occurrence of a window of the passages [first, end), by way of the passages' anchors."""
     gone = np.zeros(len(words) + 1, np.int64)
@@ -145,31 +179,29 @@ def _located(words: Words, first: np.ndarray, end: np.ndarray, window: int, gram
     for k in at.tolist():
         by.setdefault(b" ".join(words.text(i) for i in inside[k : k + gram].tolist()), []).append(k)
     place, kind = _found(words, [f" {p.decode('utf-8', 'replace')} " for p in by], most)
-    held = [np.array(v) for v in by.values()]
-    many = np.array([len(v) for v in held])
-    flat, base = np.concatenate(held), np.cumsum(many) - many
-    times = many[kind]
-    own = flat[np.repeat(base[kind], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    place = np.repeat(place, times)
-    # each passage along each document once, however many of its anchors are there
-    doc = words.row_of()[place]
-    laid = np.unique(np.stack([doc, whose[own], place - own + starts[whose[own]]]), axis=1)
-    doc, passage, begin = laid
-    low, high = np.maximum(begin, words.rows[doc]), np.minimum(begin + (end - first)[passage], words.rows[doc + 1])
-    long = high - low >= window
-    passage, begin, low, high = passage[long], begin[long], low[long], high[long]
-    cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // COMPARED_AT_ONCE, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)], strict=False):
-        size = high[a:b] - low[a:b]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        there = np.repeat(low[a:b], size) + step
-        same = words.hash[there] == hashes[np.repeat(starts[passage[a:b]] + low[a:b] - begin[a:b], size) + step]
-        opens = same & ((step == 0) | ~np.concatenate([[False], same[:-1]]))
-        closes = same & np.concatenate([(step[1:] == 0) | ~same[1:], [True]])
-        x, y = np.flatnonzero(opens), np.flatnonzero(closes)
-        enough = y - x + 1 >= window
-        np.add.at(gone, there[x[enough]], 1)
-        np.add.at(gone, there[y[enough]] + 1, -1)
+    order = np.argsort(place, kind="stable")
+    place, kind = place[order], kind[order]
+    many = np.array([len(v) for v in by.values()])
+    flat, base = np.concatenate([np.array(v) for v in by.values()]), np.cumsum(many) - many
+    owner, span = words.row_of(), len(words) + int((end - first).max()) + 1
+    # documents in parts of some PAIRS_AT_ONCE pairs of an anchor's place and a passage that holds it
+    doc_of = owner[place]
+    pairs = np.bincount(doc_of, many[kind], len(words.rows) - 1)
+    part = (np.cumsum(pairs) - pairs).astype(np.int64) // PAIRS_AT_ONCE
+    cuts = np.flatnonzero(np.diff(part[doc_of], prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=False):
+        x, k = place[a:b], kind[a:b]
+        times = many[k]
+        own = flat[np.repeat(base[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        # each passage along each document once, however many of its anchors are there
+        begin = np.repeat(x, times) - own + starts[whose[own]]
+        key = np.unique((np.repeat(doc_of[a:b], times) * len(first) + whose[own]) * span + (begin + span - len(words) - 1))
+        both, begin = np.divmod(key, span)
+        begin -= span - len(words) - 1
+        doc, passage = np.divmod(both, len(first))
+        low, high = np.maximum(begin, words.rows[doc]), np.minimum(begin + (end - first)[passage], words.rows[doc + 1])
+        long = high - low >= window
+        _mark(gone, words.hash, hashes, low[long], high[long], (starts[passage] - begin)[long], window)
     return np.cumsum(gone[:-1]) > 0
 
 
