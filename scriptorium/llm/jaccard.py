@@ -49,14 +49,14 @@ from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, ru
 from scriptorium.llm.components import components as connected
 from scriptorium.llm.shared import Workspace
 
-#: Bits of the second sketch for a set: a power of two, two for a shingle at least.
+#: Bits of the second sketch for a set: a power of two, one for a shingle at least.
 LEAST_BITS = 512
 #: Pairs of which Hamming distances are held at once.
 PAIRS_AT_ONCE = 1 << 21
 #: Sets of a bucket that are compared in one task, at most twice as many.
 SLICE = 1024
 #: Rounds of verification after the first: so many of the nearest sets, at last all.
-ROUNDS = (1, 32, None)
+ROUNDS = (4, 32, None)
 #: The most bits of the filter that keeps unneeded texts out of a shuffle; 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -152,8 +152,8 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """One bit flipped for each shingle, in a power of two of bits, two for a shingle and LEAST_BITS at least."""
-    bits = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())
+    """One bit flipped for each shingle, in a power of two of bits, one for a shingle and LEAST_BITS at least."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool))
 
@@ -319,12 +319,13 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _proposed(percent: int, nearest: int | None):
-    """Pairs of two slices' sets, in different components, that may link; a row of nulls if there were more."""
+    """Pairs of two slices' sets, in different components, that may link; null and the bucket if there were more."""
 
     def run(batches):
         for batch in batches:
-            left, right, more = [], [], False
-            for p, q, members in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            left, right, unasked = [], [], []
+            for bucket, p, q, members in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                more = False
                 members.sort(key=lambda m: m["n"])
                 node, label, n, slice_ = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n", "slice"))
                 drawn = folded([m["sketch"] for m in members])
@@ -350,19 +351,20 @@ def _proposed(percent: int, nearest: int | None):
                     x, y = np.nonzero(ok)
                     left.append(node[rows[x]])
                     right.append(node[low + y])
+                unasked += [bucket] * more
             a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-            flag = [None] if more else []
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(z, pa.int64()), pa.array(flag, pa.int64())]) for z in (np.minimum(a, b), np.maximum(a, b))], names=["a", "b"])
+            rest = ([None] * len(unasked), unasked)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(z, pa.int64()), pa.array(r, pa.int64())]) for z, r in zip((np.minimum(a, b), np.maximum(a, b)), rest, strict=True)], names=["a", "b"])
 
     return run
 
 
 def _in_slices(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """p, q and members: for every two slices of every bucket (bucket, node, component, size of the bucket) their sets."""
+    """bucket, p, q and members: for every two slices of every bucket (bucket, node, component, size of the bucket) their sets."""
     number = F.ceil(F.col("size") / SLICE)
     dealt = held.withColumn("slice", F.pmod(F.xxhash64("bucket", "node"), number)).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1)))
     each = dealt.select("bucket", "node", "component", "slice", F.least("slice", "other").alias("p"), F.greatest("slice", "other").alias("q"))
-    return each.join(nodes.select("node", "n", "sketch"), "node").groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "slice")).alias("members")).select("p", "q", "members")
+    return each.join(nodes.select("node", "n", "sketch"), "node").groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "slice")).alias("members")).select("bucket", "p", "q", "members")
 
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,14 +403,18 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             proposed = space.write(_in_slices(held, nodes).mapInArrow(_proposed(percent, nearest), "a long, b long").distinct(), f"proposed {k}")
             pairs = space.write(proposed.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), f"pairs {k}")
         if not pairs.isEmpty():
-            tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs, str(k)))
-            joined = connected(links, space, f"round {k}")
-            label = space.write(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), f"label {k}")
-        if k and proposed.where("a IS NULL").isEmpty():
-            break  # every pair across components that sketches leave has been verified
+            found = verified(pairs, str(k))
+            tried, links = tried.unionByName(pairs), links.unionByName(found)
+            if not found.isEmpty():
+                joined = connected(links, space, f"round {k}")
+                label = space.write(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), f"label {k}")
+        if k:  # of other buckets every pair across components that sketches leave has been verified
+            held = held.join(proposed.where("a IS NULL").select(F.col("b").alias("bucket")).distinct(), "bucket", "left_semi")
         now = held.drop("component").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "size")
         mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
         held = space.write(now.join(mixed, "bucket", "left_semi"), f"held {k}")
+        if held.isEmpty():
+            break
     # the least id of each set, then of each component; sets that link with none are their own
     known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     linked = known.join(label, "node")
