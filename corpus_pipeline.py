@@ -23,14 +23,17 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the compression classifier rejects."""
+    """Drops what the compression classifier rejects; null texts are empty ones, and equal texts go or stay together."""
+    chance = "chance of label 1"
+    while chance in docs.columns:
+        chance += "'"
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_documents(docs, model, score_col="chance of label 1")
-    return scored.where(F.col("chance of label 1") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score_documents(docs, model, score_col=chance)
+    return scored.where(F.col(f"`{chance}`") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the smallest doc_id stays."""
+    """Of documents with equal text, the one with the smallest doc_id stays, a null id before all; null texts are empty."""
     return exact.exact_groups(docs, carry=True).where("kept").select("row.*")
 
 
@@ -51,7 +54,7 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; those without words stay."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.where("n_hit = 0").select("row.*")
 
