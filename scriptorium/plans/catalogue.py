@@ -794,7 +794,7 @@ def confidences(t):
 
 
 @_query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size AS a, p_size % 3 AS b FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN 0.5 WHEN 1 THEN CASE WHEN a = a + b THEN 1.0 ELSE 0.0 END WHEN 2 THEN CASE WHEN b < 2 THEN 1.0 ELSE 0.0 END WHEN 3 THEN CASE b WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END WHEN 4 THEN CASE WHEN b < 2 THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS score FROM p""")
+SELECT p_partkey, CAST(CASE k WHEN 0 THEN 0.5 WHEN 1 THEN CASE WHEN a = a + b THEN 1.0 ELSE 0.0 END WHEN 2 THEN CASE WHEN b < 2 THEN 1.0 ELSE 0.0 END WHEN 3 THEN CASE b WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END WHEN 4 THEN CASE WHEN b < 2 THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS DOUBLE) AS score FROM p""")
 def number_scores(t):
     """One against nothing, one, a list; a list against a list, one, nothing."""
     k, a, b = F.col("p_partkey") % 6, F.col("p_size"), F.col("p_size") % 3
