@@ -22,7 +22,9 @@ size.  Then each set outside a bucket's largest component against its nearest on
 in other components, more of them in each round, until no pair across components
 is left unverified.  So no link that joins components
 is lost, and pairs inside a component, which change nothing, are never listed.
-A bucket of more than SLICE sets is split into pairs of slices.
+A bucket of more than SLICE sets is split into pairs of slices.  Where sets meet
+what is known of their bucket, one of many sets is dealt to several tasks, DEAL sets
+or so to each.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing.  Texts of fewer words than a shingle have one, the whole sequence.
@@ -55,6 +57,8 @@ LEAST_BITS = 512
 PAIRS_AT_ONCE = 1 << 21
 #: Sets of a bucket that are compared in one task, at most twice as many.
 SLICE = 1024
+#: Sets of a bucket that a join by bucket sends to one place.
+DEAL = 128
 #: Rounds of verification after the first: so many of the nearest sets, at last all.
 ROUNDS = (4, 32, None)
 #: The most bits of the filter that keeps unneeded texts out of a shuffle; 16 MB.
@@ -359,6 +363,14 @@ def _proposed(percent: int, nearest: int | None):
     return run
 
 
+def _of_buckets(held: DataFrame, facts: DataFrame) -> DataFrame:
+    """held (bucket, node, size, ...) with the facts (bucket, size, ...) of its buckets, and without what has none."""
+    number = F.ceil(F.col("size") / DEAL)
+    dealt = held.withColumn("slice", F.pmod(F.xxhash64("node"), number))
+    copies = facts.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop("size")
+    return dealt.join(copies, ["bucket", "slice"]).drop("slice")
+
+
 def _in_slices(held: DataFrame, nodes: DataFrame) -> DataFrame:
     """bucket, p, q and members: for every two slices of every bucket (bucket, node, component, size of the bucket) their sets."""
     number = F.ceil(F.col("size") / SLICE)
@@ -395,8 +407,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         return found
 
     degree = held.groupBy("node").count().select("node", F.struct("count", "node").alias("rank"))
-    hubs = held.join(degree, "node").groupBy("bucket").agg(F.max("rank").alias("rank")).select("bucket", F.col("rank.node").alias("hub"))
-    spokes = held.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = held.join(degree, "node").groupBy("bucket").agg(F.max("rank").alias("rank"), F.max("size").alias("size")).select("bucket", "size", F.col("rank.node").alias("hub"))
+    spokes = _of_buckets(held, hubs).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = space.write(_close(spokes, nodes, percent), "pairs 0")
     for k, nearest in enumerate((0, *ROUNDS)):
         if k:
@@ -408,11 +420,11 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             if not found.isEmpty():
                 joined = connected(links, space, f"round {k}")
                 label = space.write(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), f"label {k}")
-        if k:  # of other buckets every pair across components that sketches leave has been verified
-            held = held.join(proposed.where("a IS NULL").select(F.col("b").alias("bucket")).distinct(), "bucket", "left_semi")
         now = held.drop("component").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "size")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-        held = space.write(now.join(mixed, "bucket", "left_semi"), f"held {k}")
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("size").alias("size")).where("p <> q").select("bucket", "size")
+        if k:  # of other buckets every pair across components that sketches leave has been verified
+            mixed = mixed.join(proposed.where("a IS NULL").select(F.col("b").alias("bucket")).distinct(), "bucket", "left_semi")
+        held = space.write(_of_buckets(now, mixed), f"held {k}")
         if held.isEmpty():
             break
     # the least id of each set, then of each component; sets that link with none are their own

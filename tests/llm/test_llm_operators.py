@@ -22,6 +22,7 @@ def sizes(request, monkeypatch):
         monkeypatch.setattr(blocks, "SHARD_BYTES", 40_000)
         monkeypatch.setattr(lm, "SHARD_BYTES", 40_000)
         monkeypatch.setattr(jaccard, "SLICE", 2)
+        monkeypatch.setattr(jaccard, "DEAL", 2)
     return request.param
 
 
