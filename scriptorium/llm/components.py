@@ -15,7 +15,7 @@ from scriptorium.llm.shared import Workspace
 
 
 def components(links: DataFrame, space: Workspace, name: str = "components", most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of links (a, b); component is the least node reachable."""
+    """(node, component) for every node of links (a, b) but components' own least ones; component is the least node reachable."""
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

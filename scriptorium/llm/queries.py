@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters."""
+"""The thirteen operators as queries over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, decontaminate, exact, jaccard, lm, oracles, quality, substrings, tokenfile, unigram
+from scriptorium.llm import bpe, chat, decontaminate, divergence, exact, jaccard, lattice, lm, oracles, quality, repair, substrings, tokenfile, unigram
 from scriptorium.llm.shared import documents
 
 
@@ -84,6 +84,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")), here_col="here")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_ngram_jaccard,
         op10_substring_dedup,
+        op11_lattice_near_vectors,
+        op12_source_divergence,
+        op13_conversation_repair,
     )
 }
 #: The rest is beyond SQL and tested against brute force.
@@ -106,4 +121,7 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": oracles.EXACT,
     "op9_ngram_jaccard": oracles.JACCARD,
     "op10_substring_dedup": oracles.REPEATS,
+    "op11_lattice_near_vectors": oracles.VECTORS,
+    "op12_source_divergence": oracles.DIVERGENCE,
+    "op13_conversation_repair": oracles.REPAIR,
 }
