@@ -42,7 +42,9 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # results are lazy: it must last until then
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)  # what does not exist yet is not remembered for deletion
+        fs.deleteOnExit(path)  # results are lazy: it must last until then
 
     def write(self, frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write a table and read it back: its lineage ends there."""
