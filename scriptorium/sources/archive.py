@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from scriptorium import schema
 from scriptorium.functions import ark as arks
-from scriptorium.sources import bibtex, ris
+from scriptorium.sources import bibtex, entries, ris
 
 #: Reader of a file's records by the end of its name; register_reader adds to it.
 READERS: dict[str, Callable[..., DataFrame]] = {".bib": bibtex.records, ".ris": ris.records}
+#: Formats that are read in byte ranges, by the end of a file's name, with what makes records of their entries; register_format adds to it.
+FORMATS: dict[str, tuple[type[entries.Entries], Callable[[DataFrame], DataFrame]]] = {".bib": (entries.Bibtex, bibtex.fields), ".ris": (entries.Ris, ris.fields)}
 #: What an image service can be asked for; fixed values.
 IMAGE_FORMATS = ("png", "tif", "jpg", "gif")
 _INFO = "width int, height int, `@id` string"
@@ -23,10 +25,24 @@ def register_reader(suffix: str, reader: Callable[..., DataFrame]) -> None:
     READERS[suffix.lower()] = reader
 
 
+def register_format(form: type[entries.Entries], fields: Callable[[DataFrame], DataFrame]) -> None:
+    """Files that end as the format says are read in byte ranges; fields(entries) makes records of file, entry and raw."""
+    FORMATS[form.ends.lower()] = (form, fields)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files at path, each read by the end of its name; of other files, one row with an error."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return records(files)
+    out = None
+    for form, fields in FORMATS.values():
+        part = bibtex.numbered_in_ranges(fields(entries.load(spark, form, path)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    whole = [suffix for suffix in READERS if suffix not in FORMATS]
+    for suffix in whole:
+        files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).withColumn("file", F.input_file_name())
+        out = out.unionByName(bibtex.numbered(READERS[suffix](files, "value", "file")), allowMissingColumns=True)
+    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    known = F.greatest(F.lit(False), *[F.lower("file").endswith(s) for s in (*FORMATS, *whole)])
+    return out.unionByName(names.where(~known).select("file", F.lit("Unsupported type").alias("error"), F.lit(0).alias("entry"), F.lit(0).alias("pos")), allowMissingColumns=True)
 
 
 def records(files: DataFrame, text: str = "value", file: str = "file") -> DataFrame:

@@ -1,9 +1,10 @@
 """BibTeX files as records.
 
-A file splits into entries on the JVM side; an entry's fields, with braces,
-quotes and accents, are read by an Arrow UDF.  `read_bibtex` is lazy and gives
-one row an entry, in order; entries of other types, or that cannot be read, have
-`error` set and no fields.
+`read_bibtex` reads files in byte ranges, a large one by many tasks; texts of a
+column split into entries on the JVM side.  An entry's fields, with braces,
+quotes and accents, are read by an Arrow UDF.  Each entry is a row, with its place in
+`entry`; entries of other types, or that cannot be read, have `error` set and no
+fields.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import ranges
+from scriptorium.sources import entries
 
 KINDS = ("article", "book", "collection")
 # fixed values: accent commands and their combining marks, and commands that are letters
@@ -83,8 +85,12 @@ def raw_entries(text: Column) -> Column:
 
 def records(files: DataFrame, text: str = "value", file_pos: str = "file") -> DataFrame:
     """Records of files held in a text column, in order of file and place."""
-    entries = files.select(F.col(file_pos).alias("file"), F.posexplode(raw_entries(F.col(text))).alias("entry", "raw"))
-    read = entries.withColumn("e", entry_fields("raw"))
+    return fields(files.select(F.col(file_pos).alias("file"), F.posexplode(raw_entries(F.col(text))).alias("entry", "raw")))
+
+
+def fields(raw: DataFrame) -> DataFrame:
+    """Records of entries (file, entry, raw)."""
+    read = raw.withColumn("e", entry_fields("raw"))
     f = lambda k: F.nullif(F.col("e.fields")[k], F.lit(""))
     many = lambda k: F.when(f(k).isNotNull(), F.filter(ranges.deprettify(f(k)), lambda x: x.isNotNull()))
     listed = lambda k: F.coalesce(F.size(many(k)) > 1, F.lit(False))
@@ -101,7 +107,15 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("entry")) - 1)
 
 
-def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files at path; `file` is the file's address."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return numbered(records(files))
+def numbered_in_ranges(found: DataFrame, span: int = entries.SPLIT_BYTES) -> DataFrame:
+    """The same where `entry` is a place in bytes: a file is numbered in ranges of `span` bytes, on what stands before each."""
+    dealt = found.withColumn("range", F.floor(F.col("entry") / span))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("file", "range").agg(F.count("*").alias("n")).select("file", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    here = F.row_number().over(Window.partitionBy("file", "range").orderBy("entry"))
+    return dealt.withColumn("here", here).join(base, ["file", "range"]).withColumn("pos", F.col("base") + F.col("here") - 1).drop("range", "here", "base")
+
+
+def read_bibtex(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records of the .bib files at path, unless the option `suffix` says otherwise; `file` is the file's address, `entry` the place in bytes."""
+    return fields(entries.load(spark, entries.Bibtex, path, **options))

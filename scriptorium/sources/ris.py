@@ -1,4 +1,4 @@
-"""RIS files as records, by expressions only.
+"""RIS files as records, by expressions only once entries are cut out.
 
 Lines 'XX  - value' are gathered into entries that 'ER' ends; tags that repeat
 keep their order.  Authors are joined by 'and' without spaces.  The journal is
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import ranges
-from scriptorium.sources.bibtex import numbered
+from scriptorium.sources import entries
+from scriptorium.sources.bibtex import numbered  # noqa: F401
 
 # fixed values: reference type -> kind
 KINDS = {"JOUR": "article", "BOOK": "book", "COLL": "collection"}
@@ -27,9 +28,13 @@ def raw_entries(text: Column) -> Column:
 
 def records(files: DataFrame, text: str = "value", file_pos: str = "file") -> DataFrame:
     """Records of files held in a text column, in order of file and place."""
-    entries = files.select(F.col(file_pos).alias("file"), F.posexplode(raw_entries(F.col(text))).alias("entry", "raw"))
+    return fields(files.select(F.col(file_pos).alias("file"), F.posexplode(raw_entries(F.col(text))).alias("entry", "raw")))
+
+
+def fields(raw: DataFrame) -> DataFrame:
+    """Records of entries (file, entry, raw); those without a line 'TY' are none."""
     tags = F.filter(F.transform(F.split("raw", "\n"), lambda line: F.struct(F.regexp_extract(line, _LINE, 1).alias("tag"), F.trim(F.regexp_extract(line, _LINE, 2)).alias("value"))), lambda t: t["tag"] != "")
-    read = entries.withColumn("tags", tags)
+    read = raw.where(F.col("raw").rlike(r"(?m)^TY")).withColumn("tags", tags)
     every = lambda *names: F.transform(F.filter("tags", lambda t: t["tag"].isin(*names) & (t["value"] != "")), lambda t: t["value"])
     one = lambda *names: F.coalesce(*[F.get(every(n), F.lit(0)) for n in names])
     ints = lambda c: F.when(c.isNotNull(), F.array(c))
@@ -46,7 +51,6 @@ def records(files: DataFrame, text: str = "value", file_pos: str = "file") -> Da
     return found.withColumn("error", F.when(F.col("kind").isNull(), "Unsupported type"))
 
 
-def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files at path; `file` is the file's address."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return numbered(records(files))
+def read_ris(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records of the .ris files at path, unless the option `suffix` says otherwise; `file` is the file's address, `entry` the place in bytes."""
+    return fields(entries.load(spark, entries.Ris, path, **options))

@@ -1,25 +1,28 @@
 """Record files as they arrive in a folder.
 
-Each new file is read once; records seen before, by their key, within the
+Each new file is read once, by its format; records seen before, by their key, within the
 watermark are dropped.  What the sink gets is what the batch readers give.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.sources import bibtex, ris
+from scriptorium.sources import archive, entries
 
 
-def record_stream(spark: SparkSession, folder: str, kind: str = "bibtex", most_files: int = 1000) -> DataFrame:
-    """A streaming DataFrame of records with `key` and the time of arrival."""
-    reader = {"bibtex": bibtex.records, "ris": ris.records}[kind]
-    files = spark.readStream.schema("value string").option("maxFilesPerTrigger", most_files).text(folder, wholetext=True)
-    arrived = reader(files.withColumn("file", F.input_file_name()))
+def record_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """A streaming DataFrame of the records of a folder's files, each read by the end of its name, with `key` and the time of arrival.
+
+    What is new of a file that has grown is read from where the last batch ended.
+    """
+    parts = [fields(entries.stream(spark, form, folder, **options)) for form, fields in archive.FORMATS.values()]
+    arrived = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
     return arrived.withColumns({"key": F.sha1("raw"), "arrived": F.current_timestamp()})
 
 
