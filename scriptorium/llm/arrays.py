@@ -8,6 +8,7 @@ text is its own chunk), so memory follows the chunk and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,12 +80,22 @@ def spans(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         lo = hi
 
 
+def tidy() -> None:
+    """Gives freed memory back to the machine: Spark keeps workers between tasks, and they would keep their largest one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches, text: str = "text", most: int = CHUNK_BYTES):
     """(rows, bytes, offsets) of bounded size from record batches."""
     for batch in batches:
         data, offs = column_bytes(batch.column(batch.schema.get_field_index(text)))
         for lo, hi in spans(offs, most):
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        del batch, data, offs
+    tidy()
 
 
 class Words:

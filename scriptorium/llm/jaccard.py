@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.arrays import NOT_BLANK, Words, chunks, mix, run_hashes
+from scriptorium.llm.arrays import NOT_BLANK, Words, chunks, mix, run_hashes, tidy
 from scriptorium.llm.blocks import MESSAGE, layout, messages, pack, received, runs_of, shard_of, small
 from scriptorium.llm.components import components as connected
 from scriptorium.llm.shared import Workspace
@@ -222,6 +222,8 @@ def _buckets(key: tuple, table: pa.Table) -> pa.Table:
     start, size = start[first], size[first]
     ends = np.concatenate([[0], np.cumsum(size)])
     flat = nodes[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])].view(np.int64)
+    del got, keys, nodes, order, fresh, sums
+    tidy()
     return pa.table([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["nodes"])
 
 
@@ -289,6 +291,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 yes.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+        tidy()
 
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -359,6 +362,7 @@ def _proposed(percent: int, nearest: int | None):
             a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
             rest = ([None] * len(unasked), unasked)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(z, pa.int64()), pa.array(r, pa.int64())]) for z, r in zip((np.minimum(a, b), np.maximum(a, b)), rest, strict=True)], names=["a", "b"])
+        tidy()
 
     return run
 

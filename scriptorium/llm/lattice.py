@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from scriptorium.llm.arrays import mix
+from scriptorium.llm.arrays import mix, tidy
 from scriptorium.llm.components import components as connected
 from scriptorium.llm.shared import Workspace, partitions
 
@@ -253,6 +253,7 @@ def _clusters(nodes: DataFrame, space: Workspace, least: float, cell: float) ->
             for part, rows in vectors_of(batch.column(2)):
                 for row, key, drawn in table_rows(group[part].view(np.uint64), units(rows), least, cell):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), node[part[row]], np.ascontiguousarray(drawn[:, 0]), np.ascontiguousarray(drawn[:, 1]))], names=["key", "node", "s", "t"])
+        tidy()
 
     def joined(keys: int):
         def run(batches):
