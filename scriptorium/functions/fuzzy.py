@@ -8,7 +8,9 @@ piece pass by without leaving the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
+import pickle
+import uuid
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scriptorium import folder
+from scriptorium.functions import bits
+
 #: Characters of needles that are sent out together, and bytes of texts that are hashed together.
 BLOCK_CHARS, CHUNK_BYTES = 1 << 20, 1 << 21
+#: Bytes of texts to a chunk where several blocks take turns.
+MANY_BLOCKS_BYTES = 64 << 20
+#: Windows whose distances are worked out in step.
+WINDOWS = 4096
 #: The most bytes of a piece that are looked up; a power of two.
 GRAM = 32
 _BITS = 20
@@ -73,8 +82,11 @@ def near_matches(needle: Column, text: Column, k: int) -> Column:
 
     @F.pandas_udf(MATCHES)
     def found(needles: pd.Series, texts: pd.Series) -> pd.Series:
-        rows = zip(needles.where(needles.notna(), None), texts.where(texts.notna(), None), strict=True)
-        return pd.Series([[{"start": a, "end": b, "dist": d, "matched": t[a:b]} for a, b, d in search_near(s, t, k)] if s and t else [] for s, t in rows])
+        pairs = [(s or "", t or "") for s, t in zip(needles.where(needles.notna(), None), texts.where(texts.notna(), None), strict=True)]
+        # equal pairs, such as a title on many pages of one text, are sought once
+        known = list(dict.fromkeys(pairs))
+        hits = dict(zip(known, search_pairs(known, k), strict=True))
+        return pd.Series([[{"start": a, "end": b, "dist": d, "matched": t[a:b]} for a, b, d in hits[s, t]] for s, t in pairs])
 
     # a row without any piece sends no text
     return found(needle, F.when(may_hold(needle, text, k), text))
@@ -85,52 +97,39 @@ def cuts(n: int, k: int) -> list[tuple[int, int]]:
     return [(n * i // (k + 1), n * (i + 1) // (k + 1)) for i in range(k + 1)]
 
 
-def _aligned(needle: str, text: str, k: int, low: int, high: int) -> list[tuple[int, int, int]]:
-    """Every end of a hit in text[low:high]; as in `search`, but only cells of at most k are kept."""
-    n = len(needle)
-    column = {i: (i, low) for i in range(min(n, k) + 1)}  # row -> distance, start; rows ascend
-    hits = []
-    for j in range(low + 1, high + 1):
-        c = text[j - 1]
-        reached = {0: (0, j)}
-        for i, (d, start) in column.items():
-            if i and d < k and reached.get(i, (k + 1,)) > (d + 1, start):
-                reached[i] = (d + 1, start)
-            if i < n and d + (needle[i] != c) <= k and reached.get(i + 1, (k + 1,)) > (d + (needle[i] != c), start):
-                reached[i + 1] = (d + (needle[i] != c), start)
-        column, row, above = {}, 0, None
-        for i in sorted(reached):
-            while above and row < i:
-                column[row], row, above = above, row + 1, (above[0] + 1, above[1]) if above[0] < k else None
-            cell = min(reached[i], above) if above else reached[i]
-            column[i], row, above = cell, i + 1, (cell[0] + 1, cell[1]) if cell[0] < k else None
-        while above and row <= n:
-            column[row], row, above = above, row + 1, (above[0] + 1, above[1]) if above[0] < k else None
-        if n in column:
-            hits.append((column[n][1], j, column[n][0]))
-    return hits
-
-
-def search_near(needle: str, text: str, k: int) -> list[tuple[int, int, int]]:
-    """What `search` finds, from the surroundings of the needle's pieces only."""
+def _windows(needle: str, text: str, k: int) -> list[tuple[int, int]]:
+    """The surroundings of the needle's pieces, where alone hits can be."""
     n = len(needle)
-    if not n or not text:
-        return []
     if n <= k:
-        return search(needle, text, k)
+        return [(0, len(text))]
     spans = []
     for a, b in cuts(n, k):
         at = text.find(needle[a:b])
         while at >= 0:
             spans.append((max(0, at - a - k), min(len(text), at - a + n + k)))
             at = text.find(needle[a:b], at + 1)
-    joined: list[list[int]] = []
+    joined: list[tuple[int, int]] = []
     for low, high in sorted(spans):
         if joined and low <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], high)
+            joined[-1] = joined[-1][0], max(joined[-1][1], high)
         else:
-            joined.append([low, high])
-    return _grouped([hit for low, high in joined for hit in _aligned(needle, text, k, low, high)])
+            joined.append((low, high))
+    return joined
+
+
+def search_pairs(pairs: list[tuple[str, str]], k: int) -> list[list[tuple[int, int, int]]]:
+    """What `search` finds for each (needle, text), from the surroundings of the needle's pieces only, all pairs at once."""
+    windows = [(p, p, low, high) for p, (needle, text) in enumerate(pairs) if needle and text for low, high in _windows(needle, text, k)]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in pairs]
+    for step in range(0, len(windows), WINDOWS):
+        part = windows[step : step + WINDOWS]
+        first = part[0][0]
+        own = pairs[first : part[-1][0] + 1]
+        window, start, end, dist = bits.found([n for n, _ in own], [t for _, t in own], [(p - first, p - first, low, high) for p, _, low, high in part], k)
+        order = np.lexsort((end, window))
+        for w, *hit in zip(*(x[order].tolist() for x in (window, start, end, dist)), strict=True):
+            out[part[w][0]].append(tuple(hit))
+    return [_grouped(hits) for hits in out]
 
 
 class Needles:
@@ -186,28 +185,45 @@ def _hashes(data: np.ndarray):
 def search_all(items: DataFrame, item_id: str, needle: str, docs: DataFrame, doc_id: str, text: str, k: int, block_chars: int | None = None) -> DataFrame:
     """(item_id, needle, doc_id, matches) of every pair of rows with a hit, `matches` as by `near_matches`.
 
-    Needles go out in blocks of some block_chars characters, each against all
-    texts.  Null or empty needles and texts have no hits; rows that repeat an id,
-    or have none, count as rows of their own.
+    Needles lie in the shared folder in blocks of some block_chars characters, each written by
+    the task that gathers it.  Texts are read once: a worker holds one block at a time and runs
+    it against a chunk of texts, then the next.  Null or empty needles and texts have no hits;
+    rows that repeat an id, or have none, count as rows of their own.
     """
+    spark = items.sparkSession
     given = items.select(F.col(item_id).alias("id"), F.col(needle).alias("needle")).where(F.length("needle") > 0)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
     total = given.agg(F.sum(F.length("needle"))).first()[0] or 0
     count = max(1, -(-total // (block_chars or BLOCK_CHARS)))
     schema = T.StructType([T.StructField(item_id, given.schema["id"].dataType), T.StructField(needle, T.StringType()), T.StructField(doc_id, texts.schema["id"].dataType), T.StructField("matches", MATCHES)])
-    parts = []
-    for b in range(count):
-        rows = given.where(F.pmod(F.xxhash64("needle"), F.lit(count)) == b).collect()  # of bounded size
-        block = items.sparkSession.sparkContext.broadcast(Needles([r["id"] for r in rows], [r["needle"] for r in rows], k))
-        parts.append(texts.mapInArrow(_scan(block, schema), schema))
-    return reduce(DataFrame.unionByName, parts)
+    place = folder.new_folder(spark, "needles")
+
+    def put(table: pa.Table) -> pa.Table:
+        block = Needles(table.column("id").to_pylist(), table.column("needle").to_pylist(), k)
+        fs, root = folder.file_system(place)
+        name = f"{root}/{table.column('block')[0].as_py()}-{uuid.uuid4().hex}"  # a task that runs again leaves another
+        with fs.open_output_stream(name, compression=None) as sink:
+            sink.write(pickle.dumps(block, 5))
+        return pa.table([pa.array([name.rsplit("/", 1)[1]])], names=["name"])
+
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("needle"), F.lit(count)))
+    names = [r["name"] for r in dealt.groupBy("block").applyInArrow(put, "name string").collect()]
+    return texts.mapInArrow(_scan([f"{place}/{n}" for n in sorted(names)], schema), schema)
+
+
+@lru_cache(1)
+def _block(address: str) -> Needles:
+    """A block of needles; a worker holds one at a time."""
+    fs, path = folder.file_system(address)
+    with fs.open_input_stream(path, compression=None) as source:
+        return pickle.loads(source.read())
 
 
-def _scan(block, schema: T.StructType):
+def _scan(blocks: list[str], schema: T.StructType):
     types = [to_arrow_type(f.dataType) for f in schema.fields]
+    most = CHUNK_BYTES if len(blocks) == 1 else MANY_BLOCKS_BYTES
 
     def run(batches):
-        held = block.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -216,17 +232,19 @@ def _scan(block, schema: T.StructType):
             data = np.frombuffer(column.buffers()[2], np.uint8)
             first = 0
             while first < len(column):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
-                out: list[tuple] = []
-                near = held.pairs(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
-                texts = {t: column[first + t].as_py() for t in {t for t, _ in near}}
-                for t, x in sorted(near):
-                    if hits := search_near(held.needles[x], texts[t], held.k):
-                        out.append((x, first + t, [{"start": a, "end": b, "dist": d, "matched": texts[t][a:b]} for a, b, d in hits]))
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+                for address in blocks:
+                    held = _block(address)
+                    near = sorted(held.pairs(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]))
+                    texts = {t: column[first + t].as_py() for t in {t for t, _ in near}}
+                    out: list[tuple] = []
+                    for (t, x), hits in zip(near, search_pairs([(held.needles[x], texts[t]) for t, x in near], held.k), strict=True):
+                        if hits:
+                            out.append((x, first + t, [{"start": a, "end": b, "dist": d, "matched": texts[t][a:b]} for a, b, d in hits]))
+                    if out:
+                        rows = [r for _, r, _ in out]
+                        found = [pa.array([held.ids[x] for x, _, _ in out], types[0]), pa.array([held.needles[x] for x, _, _ in out], types[1]), batch.column(0).take(pa.array(rows)).cast(types[2]), pa.array([m for _, _, m in out], types[3])]
+                        yield pa.RecordBatch.from_arrays(found, names=schema.names)
                 first = last
-                if out:
-                    rows = [r for _, r, _ in out]
-                    found = [pa.array([held.ids[x] for x, _, _ in out], types[0]), pa.array([held.needles[x] for x, _, _ in out], types[1]), batch.column(0).take(pa.array(rows)).cast(types[2]), pa.array([m for _, _, m in out], types[3])]
-                    yield pa.RecordBatch.from_arrays(found, names=schema.names)
 
     return run

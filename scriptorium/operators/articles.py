@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import fuzzy, ranges, text
 from scriptorium.operators import matching
-from scriptorium.operators.pages import physical_pages, toc_articles
+from scriptorium.operators.pages import looked_up, physical_pages, toc_articles
 
 #: Errors allowed in a title and in an author, and the least likeness of an author that counts.
 TITLE_ERRORS, AUTHOR_ERRORS, AUTHOR_RATIO = 2, 5, 80
@@ -26,11 +26,9 @@ def all_views(page_map: DataFrame, doc: str = "ark") -> DataFrame:
 
 def view_span(wanted: DataFrame, page_map: DataFrame, doc: str = "ark", pages: str = "pages") -> DataFrame:
     """wanted with start_p and end_p, the views of the first and last page wanted; null without pages."""
-    out = wanted
-    for name, page in (("start_p", F.get(pages, F.lit(0))), ("end_p", F.try_element_at(pages, F.lit(-1)))):
-        found = physical_pages(out.withColumn("pno", page), page_map, doc)
-        out = found.withColumn(name, F.when(F.col("pno").isNotNull(), F.col("ordre"))).drop("pno", "ordre")
-    return out
+    ends = {"start_p": F.get(pages, F.lit(0)), "end_p": F.try_element_at(pages, F.lit(-1))}
+    found = looked_up(wanted, page_map, ends, doc)
+    return found.withColumns({name: F.when(page.isNotNull(), F.col(name)) for name, page in ends.items()})
 
 
 def desired_views(wanted: DataFrame, page_map: DataFrame, key: str = "target", doc: str = "ark", pages: str = "pages") -> DataFrame:
@@ -66,11 +64,12 @@ def found_in_text(wanted: DataFrame, page_map: DataFrame, page_text: DataFrame)
     not found.  The author is looked for only where the title is.
     """
     spans = view_span(wanted.select("target", "ark", "title", "author", "pages"), page_map)
-    texts = page_text.select("ark", F.col("ordre").alias("view"), text.plain(F.col("text")).alias("text"))
+    texts = page_text.select("ark", F.col("ordre").alias("view"), "text")
     names = spans.select("target", "ark", "start_p", "end_p", text.plain(F.col("title")).alias("title"), text.plain(F.col("author")).alias("author")).where("title IS NOT NULL AND author IS NOT NULL")
-    first = names.join(texts.withColumnRenamed("view", "start_p"), ["ark", "start_p"]).where(F.length("text") > 0)
-    titled = first.where(F.size(fuzzy.near_matches(F.col("title"), F.col("text"), TITLE_ERRORS)) > 0)
-    ends = titled.select("target", "ark", "author", F.explode(F.array_distinct(F.array("start_p", "end_p"))).alias("view")).join(texts, ["ark", "view"])
+    normal = text.plain(F.col("text"))  # of the pages that are read only
+    first = names.join(texts.withColumnRenamed("view", "start_p"), ["ark", "start_p"]).where(F.length("text") > 0).withColumn("text", normal)
+    titled = first.where((F.length("text") > 0) & (F.size(fuzzy.near_matches(F.col("title"), F.col("text"), TITLE_ERRORS)) > 0))
+    ends = titled.select("target", "ark", "author", F.explode(F.array_distinct(F.array("start_p", "end_p"))).alias("view")).join(texts, ["ark", "view"]).withColumn("text", normal)
     matched = F.get(fuzzy.near_matches(F.col("author"), F.col("text"), AUTHOR_ERRORS), F.lit(0))["matched"]
     alike = ends.withColumn("matched", matched).where(text.ratio(F.col("matched"), F.col("author")) > AUTHOR_RATIO)
     return alike.select("target", "ark").distinct()

@@ -9,14 +9,19 @@ from scriptorium.functions import ranges, text
 
 
 def physical_pages(wanted: DataFrame, page_map: DataFrame, doc: str = "ark", page: str = "pno") -> DataFrame:
-    """wanted with `ordre`: of the first row of the document's map with that page number, else of its last row.
+    """wanted with `ordre`: of the first row of the document's map with that page number, else of its last row."""
+    return looked_up(wanted, page_map, {"ordre": F.col(page)}, doc)
 
-    One aggregate of the map by document serves both; a document's distinct numbers are a map of its own.
+
+def looked_up(wanted: DataFrame, page_map: DataFrame, pages: dict[str, Column], doc: str = "ark") -> DataFrame:
+    """wanted with the view of each of some page numbers, by name, as `physical_pages` finds it.
+
+    One aggregate of the map by document, joined once, serves them all; a document's distinct numbers are a map of its own.
     """
     first = page_map.groupBy(doc, "numero").agg(F.min_by("ordre", "pos").alias("hit"), F.max(F.struct("pos", "ordre")).alias("end"))
     numbers = first.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.when(F.col("numero").isNotNull(), F.struct("numero", "hit")))).alias("numbers"), F.max("end").alias("end"))
     found = wanted.join(numbers, doc, "left")
-    return found.withColumn("ordre", F.coalesce(F.try_element_at("numbers", F.col(page)), F.col("end.ordre"))).drop("numbers", "end")
+    return found.withColumns({name: F.coalesce(F.try_element_at("numbers", page), F.col("end.ordre")) for name, page in pages.items()}).drop("numbers", "end")
 
 
 def last_page(page_map: DataFrame, doc: str = "ark") -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from scriptorium.functions import fuzzy
 from scriptorium.plans import catalogue
 
@@ -21,14 +24,30 @@ def texts(seed):
     return items, [*docs, "", None]
 
 
-def test_search_near_is_search():
+@pytest.mark.parametrize("grams", [True, False])
+def test_search_of_pairs_is_search(monkeypatch, grams):
+    if not grams:
+        monkeypatch.setattr(fuzzy.bits, "sieved", lambda needles, texts, k: np.ones(len(needles[2]), bool))
     for seed in range(4):
         items, docs = texts(seed)
         for k in range(4):
-            for item in items:
-                for doc in docs:
-                    if item and doc and len(item) < 60:
-                        assert fuzzy.search_near(item, doc, k) == fuzzy.search(item, doc, k), (item, doc, k)
+            pairs = [(item, doc) for item in items for doc in docs if item and doc and (len(item) < 60 or seed == k)]
+            for pair, hits in zip(pairs, fuzzy.search_pairs(pairs, k), strict=True):
+                assert hits == fuzzy.search(*pair, k), (pair, k)
+
+
+def test_search_of_long_needles_and_odd_characters():
+    r = random.Random(3)
+    pairs = [("", "x"), ("x", ""), ("a" * 64, "b" + "a" * 63 + "b" + "a" * 65), ("a" * 65, "a" * 64), ("\ud800é👍", "xx\ud800e👍"), ("ab" * 100, "ab" * 99 + "ba" * 3)]
+    for _ in range(40):
+        needle = "".join(r.choices("ab", k=r.randint(1, 200)))
+        text = list("".join(r.choices("ab", k=r.randint(0, 20))) + needle + "".join(r.choices("ab", k=r.randint(0, 20))))
+        for _ in range(r.randint(0, 6)):
+            at = r.randrange(len(text) + 1)
+            text[at : at + r.randint(0, 1)] = r.choice(["", "a", "b"])
+        pairs.append((needle, "".join(text)))
+    for k in (0, 2, 5):
+        assert fuzzy.search_pairs(pairs, k) == [fuzzy.search(*p, k) for p in pairs]
 
 
 def test_whole_items_in_all_documents(spark, tmp_path):
