@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_VALUE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
