@@ -117,10 +117,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from settled(held, ends=True)
 
     table = space.write(dealt.mapInArrow(run, out), "runs")
-    # two runs or so for each range: bounded by their number, not by the rows
-    ends = table.where("run IS NOT NULL AND first").groupBy("sha").agg(F.min(F.struct("part", "run", F.col("keep").alias("id"))).alias("head"), F.sum("size").alias("total"), F.collect_list(F.struct("part", "run")).alias("all"))
-    ends = ends.select(F.explode("all").alias("one"), "head", "total").select(F.col("one.part").alias("part"), F.col("one.run").alias("run"), "head", "total")
-    joined = table.join(F.broadcast(ends), ["part", "run"], "left")
+    # runs at the ends of ranges, two or so for each range; only their rows are joined
+    edge = table.where("run IS NOT NULL AND first").select("part", "run", "sha", "size", F.col("keep").alias("id"))
+    heads = edge.groupBy("sha").agg(F.min(F.struct("part", "run", "id")).alias("head"), F.sum("size").alias("total"))
+    ends = edge.select("part", "run", "sha").join(heads, "sha").drop("sha")
+    inside = table.where("run IS NULL").withColumns({"head": F.lit(None).cast(heads.schema["head"].dataType), "total": F.lit(None).cast("long")})
+    joined = inside.unionByName(table.where("run IS NOT NULL").join(ends, ["part", "run"], "left"))
     heads = F.col("head").isNull() | ((F.col("head.part") == F.col("part")) & (F.col("head.run") == F.col("run")))
     return joined.select(
         F.col("id").alias(id_col),

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a row costs a task beside its text.
+ROW_BYTES = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as an address; a temporary one only where none is set and all runs on one machine, as in tests."""
     context = spark.sparkContext
@@ -62,8 +66,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ranges(docs: DataFrame, text_col: str, size: int) -> int:
-    """Ranges of some `size` bytes of text; as many as shuffles have at least."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    """Ranges of some `size` bytes of text, a row beside its text counting ROW_BYTES; as many as shuffles have at least."""
+    total = docs.agg(F.sum(ROW_BYTES + F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))).first()[0] or 0
     return max(partitions(docs.sparkSession), -(-total // size))
 
 
