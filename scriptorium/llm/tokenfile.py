@@ -21,12 +21,13 @@ their names.
 from __future__ import annotations
 
 import io
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from scriptorium.llm.arrays import NOT_BLANK, Words, chunks
 from scriptorium.llm.cache import WordMemory
@@ -145,21 +147,51 @@ class TokenFileReader:
             yield (None if doc["null"] else int(doc["id"])), int(self.first[k]), ids[a : a + int(doc["n"])]
 
 
-#: Words that show whether a tokenizer minds what is beside a word; the last are special to some.
-_PROBES = ("a", "The", "don't", "x,", "...", "42", "é", "日本", "👍🏽", "'s", "-", "", "<|endoftext|>", "</w>", "\u00a0", "e\u0301", "\u0301")
+# fixed values: what a tokenizer file may have and still code words apart by white space one by one
+_PLAIN_NORMALIZERS = frozenset({"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"})
+_SPLITS_AT_BLANKS = frozenset({"Whitespace", "WhitespaceSplit", "BertPreTokenizer"})
+_KEEPS_BLANKS_OUT = frozenset({"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"})
+_WITHIN_WORDS = frozenset({"Digits", "Punctuation", "UnicodeScripts"})
+
+
+def codes_by_word(told: dict) -> bool:
+    """Whether a tokenizer file says that a text's ids are those of its words, one after the other.
+
+    Its normalizers must not look beyond a word, its first pre-tokenizer must drop white
+    space, no token that is added may take or hold any, and nothing may be drawn.  Whatever
+    is not known to be so is coded as whole texts.
+    """
+    blank = re.compile(r"[\x20\x09-\x0D]")
+
+    def parts(one: dict | None, name: str) -> list[dict]:
+        return [] if one is None else [x for y in one[name] for x in parts(y, name)] if one["type"] == "Sequence" else [one]
+
+    def plain(one: dict) -> bool:
+        if one["type"] != "Replace":
+            return one["type"] in _PLAIN_NORMALIZERS
+        pattern = one["pattern"]
+        return pattern == {"Regex": r"\s+"} and one["content"] == " " or "String" in pattern and not blank.search(pattern["String"] + one["content"])
+
+    def within(one: dict) -> bool:
+        return one["type"] in _WITHIN_WORDS or one["type"] == "ByteLevel" and not one["add_prefix_space"] and not one["use_regex"]
+
+    first, *rest = parts(told.get("pre_tokenizer"), "pretokenizers") or [{"type": "none"}]
+    dropped = first["type"] in _SPLITS_AT_BLANKS or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _KEEPS_BLANKS_OUT
+    added = all(not (t["lstrip"] or t["rstrip"] or blank.search(t["content"])) for t in told.get("added_tokens") or [])
+    model = told["model"]
+    return dropped and all(map(within, rest)) and all(map(plain, parts(told.get("normalizer"), "normalizers"))) and added and model.get("type") in ("BPE", "WordPiece", "WordLevel") and not model.get("dropout") and (told.get("post_processor") or {"type": "ByteLevel"})["type"] in ("ByteLevel", "TemplateProcessing")
 
 
 @lru_cache(2)
 def _encoder(path: str):
-    """The library's tokenizer, a memory of words, and whether it codes words one by one, as one that drops white space does."""
+    """The library's tokenizer, a memory of words, and whether it codes words one by one."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    by_word = all(ids(left + blank + right) == ids(left) + ids(right) for left, right, blank in product(_PROBES, _PROBES, (" ", "\n", "\t  ", "\x0b", "\x0c\r")))
-    return tokenizer, WordMemory(), by_word
+    with open(path, encoding="utf-8") as told:
+        return tokenizer, WordMemory(), codes_by_word(json.load(told))
 
 
 def encode_chunk(path: str, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +246,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64()), pa.array([min(names, default=None)], pa.int64()), pa.array([max(names, default=None)], pa.int64())], names=schema.names)
 
     manifest = space.write(dealt.select("id", "text").mapInArrow(run, schema), "manifest")
-    rows = manifest.orderBy("part").collect()  # one row a file
-    starts = accumulate((r["n_ids"] for r in rows), initial=0)
-    table = [(r["part"], f"{folder}/{r['file']}", r["n_docs"], r["n_ids"], s, r["first_id"], r["last_id"]) for r, s in zip(rows, starts, strict=False)]
-    return spark.createDataFrame(table, "part int, file string, n_docs long, n_ids long, start long, first_id long, last_id long")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    started = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return started.select("part", F.concat(F.lit(f"{folder}/"), "file").alias("file"), "n_docs", "n_ids", "start", "first_id", "last_id")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -232,8 +263,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    spark = manifest.sparkSession
-    dealt = manifest.select("file", "start").repartition(partitions(spark), "file")
+    dealt = manifest.select("file", "start").repartition(max(partitions(manifest.sparkSession), manifest.count()), "file")
     return dealt.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
