@@ -10,11 +10,13 @@ through a logistic curve fitted on labelled rows that no dictionary has seen,
 which gives the chance of label 1.
 
 The fit reads at most SAMPLE labelled rows of either label, the first by a hash
-of their ids, each as a whole text; a score reads every whole text and nothing
-but the text.  Null texts are empty, and an empty text gets the
+of their ids, and SAMPLE_BYTES of them, each as a whole text; a score reads every whole
+text and nothing but the text.  Null texts are empty, and an empty text gets the
 share of label 1.  Labels that contradict each other for a document count as 0;
 null labels or ids do not count.  Without labels of both kinds, every score is
-the share of label 1, or 0.5 if there are none.
+the share of label 1, or 0.5 if there are none.  Rows that repeat are scored each on
+its own; an empty table gives an empty result, and a fit over none the share.  A score
+column replaces a column of that name; other columns come along as they are.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from scriptorium.llm.arrays import column_bytes
 
 SAMPLE = 2000
+#: Bytes of text of either label that the driver holds while it fits.
+SAMPLE_BYTES = 64 << 20
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -82,12 +87,12 @@ class Sizes:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; texts too few or too short to train on serve as they are."""
+    """A trained dictionary; texts too few or too short to train on serve as they are, whole."""
     parts = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-DICTIONARY_BYTES:].ljust(8, b" ")
+        return b"".join(texts).ljust(8, b" ")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
@@ -105,8 +110,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[f
     return tuple((b[:-1] / scale).tolist()), float(b[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> CompressionClassifier:
-    """Learn from the labelled rows that are given; keep held-out rows out of `labels`."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> CompressionClassifier:
+    """Learn from the labelled rows that are given; keep held-out rows out of `labels`.
+
+    Of either label, `sample` rows are read at most, in the order of a hash of their ids, and of those as many
+    whole texts as have `sample_bytes` together; a text longer than that is left out.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     marks = marks.select("id", "label", F.xxhash64(F.col("id").cast("string"), F.lit(5)).alias("order"))
     totals = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
@@ -114,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [marks.where(F.col("label") == k).orderBy("order", "id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 x sample ids at most
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(few, "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).orderBy("order", "id").collect()
+    read = texts.join(few, "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).withColumn("bytes", F.octet_length("text").cast("long")).where(F.col("bytes") <= sample_bytes)
+    so_far = F.sum("bytes").over(W.partitionBy("label").orderBy("order", "id"))
+    rows = read.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).orderBy("order", "id").collect()
     by = {k: [r["text"].encode() for r in rows if r["label"] == k and r["text"]] for k in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
         return CompressionClassifier(b"", b"", (0.0, 0.0), 0.0, share)
