@@ -62,6 +62,11 @@ def spine(pixels: DataFrame, keys: list[str]) -> DataFrame:
     rows = pixels.join(size, keys).where(F.array_contains(F.array(F.floor(F.col("height") / 2) - 20, F.floor(F.col("height") / 2), F.floor(F.col("height") / 2) + 20), F.col("y").cast("long")))
     dark = F.col("v") < SPINE_DARK
     edges = rows.groupBy(*keys, "width", "y").agg(F.min(F.when(dark, F.col("x"))).alias("left"), F.min(F.when(dark & (F.col("x") > 0), F.col("width") - F.col("x"))).alias("right"))
+    return spine_of(edges, keys)
+
+
+def spine_of(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from the first dark pixels of the middle rows: keys, width, y, left, right."""
     sides = edges.select(*keys, "width", F.expr("stack(2, 'left', left, 'right', right) as (side, margin)")).where("margin is not null")
     steady = deanomalised(sides, [*keys, "width", "side"], "margin")
     nearest = steady.groupBy(*keys, "width").agg(F.min(F.struct(F.col("value"), F.col("side"))).alias("least"))
@@ -138,6 +143,11 @@ def ocr_crop(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     image's width and height.  The upper point goes by the ratio of heights, the
     lower by that of widths.
     """
+    return ocr_crop_of(row_means(pixels, keys), boxes, keys)
+
+
+def ocr_crop_of(means: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from the means of rows: keys, y, mean."""
     xs, ys = F.col("height") / F.col("total_height"), F.col("width") / F.col("total_width")
     scaled = boxes.select(
         *keys,
@@ -145,7 +155,7 @@ def ocr_crop(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
         F.bround(F.col("lower.x") * ys).cast("int").alias("lx"), F.bround(F.col("lower.y") * ys).cast("int").alias("ly"),
         F.bround(F.col("height") * 0.05).cast("int").alias("band"),
     )
-    signal = peak_limits(gradients(row_means(pixels, keys), keys), keys).join(scaled, keys)
+    signal = peak_limits(gradients(means, keys), keys).join(scaled, keys)
     above = (F.col("y") <= F.col("uy")) & (F.col("y") > F.col("uy") - F.col("band"))
     below = (F.col("y") >= F.col("ly")) & (F.col("y") < F.col("ly") + F.col("band"))
     both = signal.withColumns({"i": F.col("uy") - F.col("y"), "j": F.col("y") - F.col("ly")}).groupBy(*keys).agg(second_peak("i", True, above).alias("up"), second_peak("j", False, below).alias("down"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import ark, either, fuzzy, ranges, text
-from scriptorium.operators import articles, imaging, matching, pages, report, store
+from scriptorium.operators import articles, imaging, matching, pages, rasters, report, store
 from scriptorium.sources import archive, bibtex, markup, ris
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,10 +532,11 @@ def signal_peaks(t):
 _PIXELS = "WITH p AS (SELECT CAST(vec_id // 100 AS BIGINT) AS doc, CAST(vec_id % 100 AS INTEGER) AS y, CAST(unnest(range(0, len(embedding))) * 2 AS INTEGER) AS x, CAST(abs(CAST(round(unnest(embedding)::DOUBLE, 3) * 1000 AS BIGINT)) % 256 AS INTEGER) AS v FROM embeddings)"
 
 
-def _pixels(t):
-    e = t("embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
-    v = F.abs(F.round(F.round(F.col("e").cast("double"), 3) * 1000).cast("long")) % 256
-    return e.select(F.floor(F.col("vec_id") / 100).alias("doc"), (F.col("vec_id") % 100).cast("int").alias("y"), (F.col("x") * 2).alias("x"), v.cast("int").alias("v"))
+def _tiles(t):
+    """Images of 100 lines: a vector is a line, its numbers stand two apart."""
+    v = F.transform("embedding", lambda e: (F.abs(F.round(F.round(e.cast("double"), 3) * 1000).cast("long")) % 256).cast("int"))
+    xs = F.transform("embedding", lambda _, k: k * 2)
+    return rasters.tiled(t("embeddings").select(F.floor(F.col("vec_id") / 100).alias("doc"), (F.col("vec_id") % 100).cast("int").alias("y"), xs.alias("xs"), v.alias("vs")), ["doc"])
 
 
 _STRETCHED = "CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER)"
@@ -545,7 +546,7 @@ _STRETCHED = "CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER
 b AS (SELECT doc, w, h, min(x) FILTER (v < 255) AS a, min(y) FILTER (v < 255) AS b, max(x) FILTER (v < 255) + 1 AS c, max(y) FILTER (v < 255) + 1 AS d FROM i GROUP BY ALL)
 SELECT doc, coalesce(a, 40) - 10 AS ux, CASE WHEN a IS NULL THEN 40 ELSE b END - 10 AS uy, CASE WHEN a IS NULL THEN w - 40 ELSE c END + 10 AS lx, CASE WHEN a IS NULL THEN h - 40 ELSE d END + 10 AS ly FROM b""")
 def bbox(t):
-    return imaging.crop_bounds(imaging.binarised(_pixels(t), ["doc"]), ["doc"])
+    return rasters.crop_bounds(rasters.binarised(_tiles(t), ["doc"]), ["doc"])
 
 
 @_query(_PIXELS + """, s AS (SELECT doc, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY doc), e AS (SELECT doc, w, y, min(x) FILTER (v < 40) AS l, min(w - x) FILTER (v < 40 AND x > 0) AS r FROM p JOIN s USING (doc) WHERE y IN (h // 2 - 20, h // 2, h // 2 + 20) GROUP BY ALL),
@@ -553,14 +554,14 @@ z AS (SELECT doc, w, 'left' AS side, l AS m FROM e WHERE l IS NOT NULL UNION ALL
 v AS (SELECT doc, w, side, CAST(round_even(avg(m), 0) AS BIGINT) AS value FROM z JOIN q USING (doc, w, side) WHERE sd = 0 OR abs(m - mean) < 1.5 * sd GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY value, side) AS k FROM v)
 SELECT doc, side, value AS margin, CASE WHEN side = 'left' THEN value + 10 ELSE 0 END AS crop_left, CASE WHEN side = 'right' THEN w - value - 10 ELSE w END AS crop_right FROM n WHERE k = 1""")
 def spine(t):
-    return imaging.spine(_pixels(t), ["doc"])
+    return rasters.spine(_tiles(t), ["doc"])
 
 
 @_query(_PIXELS + """, a AS (SELECT doc, x, y, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER) & 248 AS v FROM p WINDOW w AS (PARTITION BY doc)),
 c AS (SELECT doc, x, y, CAST(least(255, CASE WHEN v < 160 THEN round_even(v / 1.2, 0) ELSE v * 2 END) AS INTEGER) AS v FROM a)
 SELECT doc, x, y, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE v END AS INTEGER) AS v FROM c WINDOW w AS (PARTITION BY doc)""")
 def tone_filter(t):
-    return imaging.filter_image(_pixels(t), ["doc"]).select("doc", "x", "y", "v")
+    return rasters.pixels(rasters.filtered(_tiles(t), ["doc"]), ["doc"]).select("doc", "x", "y", "v")
 
 
 @_query("""SELECT p_partkey, round((max(p_retailprice) OVER w - p_retailprice) / 2, 4) AS offset_x, round(least(max(p_retailprice) OVER w / p_retailprice, max(p_size) OVER w / p_size), 6) AS cover_scale, 60 - p_size AS flipped FROM part WINDOW w AS (PARTITION BY p_brand)""")
@@ -740,16 +741,15 @@ def _boxes(t):
 
 @_query(_PIXELS + _BOXES + "SELECT doc, ux - 10 AS ux, CAST(uy - up - 10 AS INTEGER) AS uy, lx + 10 AS lx, CAST(ly + down + 10 AS INTEGER) AS ly FROM bx JOIN pk USING (doc)")
 def ocr_crops(t):
-    return imaging.ocr_crop(_pixels(t), _boxes(t), ["doc"])
+    return rasters.ocr_crop(_tiles(t), _boxes(t), ["doc"])
 
 
 @_query(_PIXELS + """, i AS (SELECT doc, x - 4 AS x, y - 10 AS y, v FROM p WHERE x >= 4 AND x < 30 AND y >= 10 AND y < 40), a AS (SELECT doc, x, y, v AS plain, """ + _STRETCHED + """ & 248 AS v FROM i WINDOW w AS (PARTITION BY doc)),
 c AS (SELECT doc, x, y, plain, CAST(least(255, CASE WHEN v < 160 THEN round_even(v / 1.2, 0) ELSE v * 2 END) AS INTEGER) AS v FROM a)
 SELECT doc, x, y, CASE WHEN doc % 2 = 0 THEN plain ELSE """ + _STRETCHED + """ END AS v FROM c WINDOW w AS (PARTITION BY doc)""")
 def processed_images(t):
-    p = _pixels(t)
-    box = p.select("doc").distinct().select("doc", *[F.lit(v).alias(k) for k, v in (("ux", 4), ("uy", 10), ("lx", 30), ("ly", 40))])
-    return imaging.processed_images(p, box, ["doc"], F.col("doc") % 2 == 0).select("doc", "x", "y", "v")
+    box = t("embeddings").select(F.floor(F.col("vec_id") / 100).alias("doc")).distinct().select("doc", *[F.lit(v).alias(k) for k, v in (("ux", 4), ("uy", 10), ("lx", 30), ("ly", 40))])
+    return rasters.pixels(rasters.processed(_tiles(t), box, ["doc"], F.col("doc") % 2 == 0), ["doc"]).select("doc", "x", "y", "v")
 
 
 _PLAN = """WITH p AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS page, CAST(400 + o_orderkey % 50 AS INTEGER) AS mw, CAST(600 + o_orderkey % 70 AS INTEGER) AS mh, CAST(800 + o_orderkey % 90 AS INTEGER) AS iw,
