@@ -30,7 +30,7 @@ _PLACE = "top int, left int, height int, width int, data binary, known binary"
 def tiled(lines: DataFrame, keys: list[str], lines_of_tile: int = TILE_LINES, columns_of_tile: int = TILE_COLUMNS) -> DataFrame:
     """Tiles of images given as lines: keys, y, and arrays xs and vs of places and tones."""
     kinds = lines.select(*keys).schema
-    schema = T.StructType([*kinds.fields, *T._parse_datatype_string(_PLACE).fields])
+    schema = T.StructType([*kinds.fields, *T.StructType.fromDDL(_PLACE).fields])
     names = [f.name for f in schema]
 
     def band(key: tuple, table: pa.Table) -> pa.Table:
@@ -56,7 +56,7 @@ def tiled(lines: DataFrame, keys: list[str], lines_of_tile: int = TILE_LINES, co
 
 def _told(tiles: DataFrame, carried: list[str], fields: str, tell: Callable[[np.ndarray, np.ndarray, dict], Iterator[tuple]]) -> DataFrame:
     """carried columns and what tell(tones, known, row) gives for each tile."""
-    schema = T.StructType([*tiles.select(*carried).schema.fields, *T._parse_datatype_string(fields).fields])
+    schema = T.StructType([*tiles.select(*carried).schema.fields, *T.StructType.fromDDL(fields).fields])
     kinds = [f.type for f in _arrow_schema(schema)]
 
     def run(batches):
