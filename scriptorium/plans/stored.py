@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.folder import new_folder
-from scriptorium.operators import index
-from scriptorium.plans.catalogue import ORACLES, QUERIES, _arr, _query
-from scriptorium.sources import bibtex, ris
+from scriptorium.operators import index, keyed, report
+from scriptorium.functions import text
+from scriptorium.plans.catalogue import ORACLES, QUERIES, _RESULTS, _arr, _query, _results
+from scriptorium.sources import bibtex, entries, one_file, ris
 
 #: Bytes of a range: the tables are small, and a file should be cut all the same.
 _SPLIT = 1 << 15
@@ -73,4 +74,46 @@ def index_pages(t):
     return index.search(made, two, "item_id", "words", first=11, most=20).select("item_id", F.col("key").alias("doc_id"), "hits", "rank")
 
 
+# --- a report in one file --------------------------------------------------------
+
+
+class _Lines(entries.Entries):
+    """Every line is an entry, so its place in bytes is told."""
+
+    opens = rb""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lines"
+
+
+@_query(_RESULTS + r""", f AS (SELECT doc_id, E'\n  ==' || name || E'==\n\n@x\n\n' || CASE WHEN status THEN '  Processed: ' || processed || E'\n  Confidence: 72.33 %\n' ELSE E'  Failed to match :(\n' END AS entry, name FROM r)
+SELECT CAST(94 + 1 + coalesce(sum(octet_length(encode(entry))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place, '  ==' || name || '==' AS line FROM f""")
+def report_file(t):
+    """The plain report of all results as one ordered file, read back: where each result's head line stands."""
+    c, none = F.col, F.lit(None).cast("string")
+    entry = report.text_entry(c("name"), F.lit("@x"), c("status"), c("processed"), none, text.confidence(F.lit(0.7233333)))
+    spark = t("documents").sparkSession
+    head = spark.createDataFrame([(-1, report.TEXT_HEAD)], "pos long, entry string")
+    place = one_file.write_in_order(head.unionByName(_results(t).select(c("doc_id").alias("pos"), entry.alias("entry"))), "pos", "entry", f"{new_folder(spark, 'report')}/report.txt")
+    lines = entries.load(spark, _Lines, place, splitBytes=_SPLIT)
+    return lines.where(c("raw").startswith("  ==")).select(c("entry").alias("place"), c("raw").alias("line"))
+
+
+# --- a store that is updated -------------------------------------------------------
+
+
+@_query(ORACLES["kv_latest"])
+def kv_updated(t):
+    """The last value of each key, put in three parts by writers of their own, compacted between."""
+    e = t("events").select("user_id", "event_type", "value", "event_id")
+    path = f"{new_folder(e.sparkSession, 'store')}/events"
+    one, two = keyed.KeyedStore.create(e.sparkSession, path, e.schema, ["user_id", "event_type"], "event_id"), keyed.KeyedStore(e.sparkSession, path)
+    for k, writer in enumerate((one, two, one)):
+        writer.put(e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k))
+        if k < 2:
+            writer.compact()
+    return two.read()
+
+
 __all__ = ["QUERIES", "ORACLES"]
