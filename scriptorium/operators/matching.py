@@ -174,10 +174,10 @@ def early_exit(scored: DataFrame, target: str, pos: str, score: str = "score", s
     return ends.withColumn("over", F.coalesce(ended, F.lit(False))).where(~F.col("over")).drop("ends", "over")
 
 
-def first_of_block(rows: DataFrame, block: str, pos: str, number: int) -> DataFrame:
-    """The first rows of every block; rows without a block are left out."""
+def first_of_block(rows: DataFrame, block: str, pos: str, number: int, keep: str | None = None) -> DataFrame:
+    """The first rows of every block, with their number from 1 if it is to be kept; rows without a block are left out."""
     order = Window.partitionBy(block).orderBy(pos)
-    return rows.where(F.col(block).isNotNull()).withColumn("number", F.row_number().over(order)).where(F.col("number") <= number).drop("number")
+    return rows.where(F.col(block).isNotNull()).withColumn("number", F.row_number().over(order)).where(F.col("number") <= number).withColumnsRenamed({"number": keep} if keep else {}).drop(*[] if keep else ["number"])
 
 
 def best_match(scored: DataFrame, target: str, pos: str, score: str = "score", settings: MatchSettings = DEFAULTS) -> DataFrame:

@@ -246,16 +246,23 @@ def _scored(t, first: int | None = None):
     The parts of a type are candidates of all its parts, in one order, so a search
     that gives up after so many never sees those beyond.  A part without a type has none.
     """
-    p = t("part").select("p_partkey", "p_name", "p_size", "p_type")
-    held = p if first is None else matching.first_of_block(p, "p_type", "p_partkey", first)
-    targets = p.select("p_type", F.col("p_partkey").alias("target"), F.col("p_name").alias("t_name"), F.array("p_size").alias("t_number"))
+    targets, p = _targets(t), t("part").select("p_partkey", "p_name", "p_size", "p_type")
+    return _of_pairs(targets, p if first is None else matching.first_of_block(p, "p_type", "p_partkey", first))
+
+
+def _targets(t):
+    return t("part").select("p_type", F.col("p_partkey").alias("target"), F.col("p_name").alias("t_name"), F.array("p_size").alias("t_number"))
+
+
+def _of_pairs(targets, held):
+    """target, pos and scores of all pairs of a type; a title is compared once with each other title of its type."""
     met = targets.select("p_type", "t_name").distinct().join(held.select("p_type", F.col("p_name").alias("c_name")).distinct(), "p_type")
     titles = met.select("t_name", "c_name").distinct().withColumn("s_title", matching.text_score(F.col("t_name"), F.col("c_name")))
     c = F.col("p_size")
     scores = {"title": F.col("s_title"), "number": matching.number_score(F.col("t_number"), F.array(c, c + 1, c + 2), F.lit(False), F.lit(True))}
     known = met.alias("m").join(titles.alias("x"), F.col("m.t_name").eqNullSafe(F.col("x.t_name")) & F.col("m.c_name").eqNullSafe(F.col("x.c_name"))).select("m.*", "x.s_title")
     named = targets.alias("t").join(known.alias("k"), (F.col("t.p_type") == F.col("k.p_type")) & F.col("t.t_name").eqNullSafe(F.col("k.t_name"))).select("t.*", "k.c_name", "k.s_title")
-    named = named.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target")  # few bytes here, which one task would take, make very many pairs
+    named = named.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target")  # few bytes here, which one task would take, make very many pairs
     pairs = named.alias("n").join(held.alias("h"), (F.col("n.p_type") == F.col("h.p_type")) & F.col("n.c_name").eqNullSafe(F.col("h.p_name"))).select("n.target", "n.t_number", "n.s_title", "h.p_partkey", "h.p_size")
     n_scored = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in scores.values()])
     return pairs.select("target", F.col("p_partkey").alias("pos"), "s_title", scores["number"].alias("s_number"), matching.mean_score(scores).alias("score"), n_scored.alias("n_scored"))

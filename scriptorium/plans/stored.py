@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.folder import new_folder
-from scriptorium.operators import index, keyed, report
+from scriptorium.operators import index, keyed, matching, report, templates, waves
 from scriptorium.functions import text
-from scriptorium.plans.catalogue import ORACLES, QUERIES, _RESULTS, _arr, _query, _results
+from scriptorium.plans.catalogue import ORACLES, QUERIES, _RESULTS, _arr, _of_pairs, _query, _results, _targets
 from scriptorium.sources import bibtex, entries, one_file, ris
 
 #: Bytes of a range: the tables are small, and a file should be cut all the same.
@@ -74,6 +74,17 @@ def index_pages(t):
     return index.search(made, two, "item_id", "words", first=11, most=20).select("item_id", F.col("key").alias("doc_id"), "hits", "rank")
 
 
+# --- search in waves ------------------------------------------------------------
+
+
+@_query(ORACLES["match_best"])
+def match_waves(t):
+    """The best match of every part, by a search that scores candidates wave by wave."""
+    p = t("part").select("p_partkey", "p_name", "p_size", "p_type")
+    best = waves.best(_targets(t), p.withColumn("pos", F.col("p_partkey")), "p_type", "target", "pos", _of_pairs)
+    return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
+
+
 # --- a report in one file --------------------------------------------------------
 
 
@@ -100,6 +111,25 @@ def report_file(t):
     return lines.where(c("raw").startswith("  ==")).select(c("entry").alias("place"), c("raw").alias("line"))
 
 
+_CARD = """{{ name|upper }} has {{ orders|length }} orders
+{% for o in orders %}
+{{ loop.index }}. {{ o.key }}{% if o.status == 'O' %} open{% elif o.status == 'P' %} in part{% endif %}{% if not loop.last %},{% endif %}
+{% else %}
+none at all
+{% endfor %}
+-- {{ segment|lower|default('?') }}"""
+
+
+@_query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l AS (SELECT o_custkey, count(*) AS n, string_agg(i || '. ' || o_orderkey || CASE o_orderstatus WHEN 'O' THEN ' open' WHEN 'P' THEN ' in part' ELSE '' END || CASE WHEN i < n THEN ',' ELSE '' END || chr(10), '' ORDER BY i) AS lines FROM o GROUP BY o_custkey)
+SELECT c_custkey, upper(c_name) || ' has ' || coalesce(n, 0) || ' orders' || chr(10) || coalesce(lines, 'none at all' || chr(10)) || '-- ' || lower(c_mktsegment) AS entry FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
+def template_cards(t):
+    """A card of every customer and their orders, from a template with a loop and conditions."""
+    held = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("orders"))
+    rows = t("customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "orders")
+    return templates.rendered(rows, _CARD).select("c_custkey", "entry")
+
+
 # --- a store that is updated -------------------------------------------------------
 
 
