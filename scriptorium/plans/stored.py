@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.folder import new_folder
-from scriptorium.operators import index, keyed, matching, report, templates, waves
+from scriptorium.operators import colocated, index, keyed, matching, report, templates, waves
 from scriptorium.functions import text
-from scriptorium.plans.catalogue import ORACLES, QUERIES, _RESULTS, _arr, _of_pairs, _query, _results, _targets
+from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _RESULTS, _arr, _article_tables, _of_pairs, _query, _results, _targets
 from scriptorium.sources import bibtex, entries, one_file, ris
 
 #: Bytes of a range: the tables are small, and a file should be cut all the same.
@@ -74,6 +74,33 @@ def index_pages(t):
     return index.search(made, two, "item_id", "words", first=11, most=20).select("item_id", F.col("key").alias("doc_id"), "hits", "rank")
 
 
+# --- tables that lie by key ------------------------------------------------------
+
+
+@_query(f"""WITH m AS {_MAP}, v AS (SELECT ark, count(*) AS views, coalesce(arg_max(ordre, pos) FILTER (kind = 'A'), arg_min(ordre, pos)) AS last_pno FROM m GROUP BY ark)
+SELECT o_orderkey AS ark, p_type AS journaltitle, views, last_pno, e.pos AS pos, pno, entry FROM orders JOIN part ON p_partkey = o_custkey + o_orderkey % 2 JOIN v ON ark = o_orderkey
+LEFT JOIN (SELECT l_orderkey, CAST(n AS INTEGER) AS pos, CAST(l_linenumber AS VARCHAR) AS pno, p_brand || ' - ' || p_name AS entry FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) JOIN orders ON o_orderkey = l_orderkey
+ JOIN part ON p_partkey = CASE WHEN l_suppkey % 2 = 0 THEN o_custkey ELSE l_partkey END WHERE l_orderkey % 3 > 0) e ON e.l_orderkey = o_orderkey""")
+def issue_contents(t):
+    """Issues with their metadata, page map and contents, from tables that lie by key."""
+    _, _, meta, listed, page_map, _ = _article_tables(t)
+    held = colocated.Archive(t("orders").sparkSession)
+    for name, rows in (("meta", meta), ("page_map", page_map), ("entries", listed)):
+        held.add(name, rows)
+    found = colocated.issue_contents(held)
+    return found.select("ark", "journaltitle", "views", "last_pno", F.col("pos").cast("int").alias("pos"), "pno", F.col("title").alias("entry"))
+
+
+@_query(ORACLES["issue_year_join"])
+def issues_by_year(t):
+    """Issues of the years wanted, of which no other year's are read."""
+    y = (F.col("c_nationkey") % 5 + 1995).cast("int")
+    serials = t("customer").select("c_custkey", F.array(y, y + 2).alias("years"))
+    issues = t("orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("issue_year"))
+    lying = colocated.by_year(issues, "issue_year", f"{new_folder(issues.sparkSession, 'issues')}/by year")
+    return colocated.issues_wanted(serials, "years", "c_custkey", lying, "o_custkey", "issue_year").select("c_custkey", "wanted", "o_orderkey")
+
+
 # --- search in waves ------------------------------------------------------------
 
 
