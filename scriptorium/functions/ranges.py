@@ -1,4 +1,8 @@
-"""Page, volume and year ranges."""
+"""Page, volume and year ranges.
+
+A range, or a list of them, of more than MOST members is no range but a mistake, and a null;
+what reads records says so as an error.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,18 @@ from pyspark.sql import functions as F
 
 _ROMAN = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
 _NO_INTS = "array<int>"
+#: Members that a list of ranges has at most.
+MOST = 100_000
+TOO_WIDE = "range too wide"
 
 
 def span(a: Column, b: Column) -> Column:
-    """a..b inclusive; empty if b < a (sequence alone would count down)."""
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast(_NO_INTS))
+    """a..b inclusive; empty if b < a (sequence alone would count down), null if too wide."""
+    return F.when(_size(a, b) > MOST, F.lit(None)).when(b >= a, F.sequence(a, b)).otherwise(F.array().cast(_NO_INTS))
+
+
+def _size(a: Column, b: Column) -> Column:
+    return b.cast("bigint") - a.cast("bigint") + 1
 
 
 def to_roman(n: Column) -> Column:
@@ -46,11 +57,11 @@ def prettify(start: Column, end: Column, roman: Column) -> Column:
 
 def pretty_pages(pages: Column) -> Column:
     """Runs of consecutive pages (an array of strings, arabic or roman) as ranges, joined by ', '."""
-    parsed = F.transform(pages, lambda p: F.struct(p.rlike("^[0-9]+$").alias("arabic"), F.when(p.rlike("^[0-9]+$"), p.cast("int")).otherwise(from_roman(p)).alias("n")))
+    parsed = F.transform(pages, lambda p: F.struct(p.rlike("^[0-9]+$").alias("arabic"), F.when(p.rlike("^[0-9]+$"), p.try_cast("int")).otherwise(from_roman(p)).alias("n")))
 
     def grow(runs: Column, p: Column) -> Column:
         last = F.element_at(runs, -1)
-        joins = (F.size(runs) > 0) & (last["arabic"] == p["arabic"]) & (last["b"] + 1 == p["n"])
+        joins = (F.size(runs) > 0) & (last["arabic"] == p["arabic"]) & (last["b"].cast("bigint") + 1 == p["n"])
         one = lambda a: F.array(F.struct(p["arabic"].alias("arabic"), a.alias("a"), p["n"].alias("b")))
         return F.when(joins, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), one(last["a"]))).otherwise(F.concat(runs, one(p["n"])))
 
@@ -65,10 +76,12 @@ def deprettify(text: Column) -> Column:
         ends = F.split(F.trim(part), "-+")
         s, e = F.trim(F.get(ends, F.lit(0))), F.trim(F.get(ends, F.lit(1)))
         full = F.when(F.length(e) < F.length(s), F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(e)), e)).otherwise(e)
-        a, b = s.try_cast("int"), full.try_cast("int")
-        return F.when(e.isNull(), F.array(a)).otherwise(span(a, b))
+        return F.struct(s.try_cast("int").alias("a"), full.try_cast("int").alias("b"), e.isNull().alias("single"))
 
-    return F.flatten(F.transform(F.split(text, ","), one))
+    parts = F.transform(F.split(text, ","), one)
+    # counted before any is made
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n + F.when(p["single"], 1).otherwise(F.greatest(F.lit(0), F.coalesce(_size(p["a"], p["b"]), F.lit(0)))))
+    return F.when(total <= MOST, F.flatten(F.transform(parts, lambda p: F.when(p["single"], F.array(p["a"])).otherwise(span(p["a"], p["b"])))))
 
 
 def bib_pages(text: Column) -> Column:
@@ -110,7 +123,8 @@ def catalogue_years(text: Column) -> Column:
     def step(state: Column, part: Column) -> Column:
         ends = F.split(part, "-")
         a, b = F.trim(F.get(ends, F.lit(0))).try_cast("int"), F.trim(F.get(ends, F.lit(1))).try_cast("int")
-        bad = (F.size(ends) > 2) | (a.isNull() & b.isNull())
+        wide = F.coalesce(F.size(state["years"]) + _size(a, b) > MOST, F.lit(False))
+        bad = (F.size(ends) > 2) | (a.isNull() & b.isNull()) | wide
         whole = F.when(F.size(ends) == 1, F.concat(state["years"], F.array(a))).when(a.isNotNull() & b.isNotNull(), F.concat(state["years"], span(a, b))).otherwise(F.array(F.coalesce(a, b)))
         return F.struct(F.when(bad, state["years"]).otherwise(whole).alias("years"), (state["bad"] | bad).alias("bad"))
 
@@ -119,5 +133,6 @@ def catalogue_years(text: Column) -> Column:
 
 
 def year_window(years: Column) -> Column:
-    """The years from one before to one after each, distinct, ascending."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(years, lambda y: F.sequence(y - 1, y + 1)))))
+    """The years from one before to one after each, distinct, ascending; a year of more than six digits stands alone."""
+    near = lambda y: F.when(y.between(-1_000_000, 1_000_000), F.sequence(y - 1, y + 1)).otherwise(F.array(y))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(years, near))))

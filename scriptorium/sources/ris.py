@@ -46,9 +46,9 @@ def fields(raw: DataFrame) -> DataFrame:
         "file", "entry", kind.alias("kind"), F.lit("ris").alias("input"), "raw", one("TI", "T1").alias("title"), F.lit(None).cast("string").alias("subtitle"), one("JO", "T2").alias("journaltitle"),
         F.array_join(every("AU", "A1"), "and").alias("author"), one("ED").alias("editor"), one("PB").alias("publisher"), one("CY").alias("location"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("string").alias("ark"),
         ints(year).alias("publicationdate"), no.alias("publicationdate_is_list"), ints(one("IS").try_cast("int")).alias("number"), no.alias("number_is_list"), ints(one("VL").try_cast("int")).alias("volume"), no.alias("volume_is_list"),
-        F.when(one("SP").isNotNull(), pages).alias("pages"), F.lit(None).cast("array<int>").alias("physical_pages"),
+        F.when(one("SP").isNotNull(), pages).alias("pages"), F.lit(None).cast("array<int>").alias("physical_pages"), (one("SP").try_cast("int").isNotNull() & one("EP").try_cast("int").isNotNull() & pages.isNull()).alias("pages wide"),
     )
-    return found.withColumn("error", F.when(F.col("kind").isNull(), "Unsupported type"))
+    return found.withColumn("error", F.when(F.col("kind").isNull(), "Unsupported type").when(F.col("pages wide"), ranges.TOO_WIDE)).drop("pages wide")
 
 
 def read_ris(spark: SparkSession, path: str, **options) -> DataFrame:
