@@ -107,6 +107,37 @@ def told_recurring(table: pa.Table, keys: np.ndarray, shards: int) -> np.ndarray
     return known[yes]
 
 
+def answer_owned(key: tuple, table: pa.Table) -> pa.Table:
+    """Of each key that occurs twice anywhere, to the first block that asked: its place among the block's keys, and all blocks that asked."""
+    rows = received(table)
+    size = np.array([len(x[2][0]) for x in rows])
+    keys = np.concatenate([x[2][0] for x in rows])
+    twice = np.concatenate([np.unpackbits(x[2][1], count=len(x[2][0])) for x in rows])
+    block = np.array([x[0] for x in rows])
+    who = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((who, keys))  # rows come by block
+    start = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])) if len(keys) else np.zeros(0, np.int64)
+    many = np.diff(start, append=len(keys))
+    again = (many > 1) | (np.add.reduceat(twice[order], start) > 0) if len(keys) else many > 1
+    start, many = start[again], many[again]
+    first = order[start]
+    by = np.lexsort((place[first], who[first]))
+    first, start, many = first[by], start[by], many[by]
+    asked = block[who[order[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())]]]
+    ends, out = np.concatenate([[0], np.cumsum(many)]), []
+    for owner, a, b in runs_of(who[first]):
+        out.append((int(block[owner]), rows[owner][1], pack(small(np.diff(place[first[a:b]], prepend=0)), small(many[a:b]), small(asked[ends[a] : ends[b]]))))
+    return messages(out)
+
+
+def told_owned(table: pa.Table, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's ascending distinct keys the places of those that it owns, how many blocks asked for each, and which."""
+    base = {s: a for s, a, _ in runs_of(shard_of(keys, shards))}
+    found = [(base[s] + np.cumsum(steps, dtype=np.int64), many.astype(np.int64), asked.astype(np.int64)) for _, s, (steps, many, asked) in received(table)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are among the ascending known ones."""
     if not len(known):

@@ -2,18 +2,20 @@
 
 A window of WINDOW words recurs if its word sequence starts anywhere else.  Of
 every window the least GRAM-gram is an anchor; a recurring window has a recurring
-anchor.  Blocks of documents ask shards which anchors recur, then, of the windows
-around those only, which windows recur: that confirms a window for the corpus.  Of
-each confirmed window a block takes one place, the first; these windows, joined
-where they touch, are its passages.  The passages' anchors are compiled into
-Aho-Corasick automata of at most AUTOMATON_CHARS characters each, and all documents
-of the block stream through them.  Every hit lays a passage along a document, word
-by word, and what is equal over a window's length or more is removed.
-
-Every occurrence of a window has its anchors at the same places, so the automata
-find all of them; what they find at a second place does recur.  Each document is
-judged on the input, so what is removed elsewhere does not matter.  That a window
-recurs is decided by 64-bit hashes of its words, where it stands by the automata.
+anchor.  Blocks of documents ask shards which anchors recur, then about the windows
+around those only.  A window that recurs in the corpus is confirmed once: the shard tells
+the first block that asked, its owner, and which blocks asked.  Nobody else learns
+that it recurs.  The owner takes one place of each window it owns, joins windows that touch
+to passages, and sends each passage, as text, to the blocks that asked for its windows.
+
+A block compiles the anchors of the passages it got into Aho-Corasick automata of at
+most AUTOMATON_CHARS characters each, and streams all its documents through them.  Every
+hit lays a passage along a document, word by word, and what is equal over a window's
+length or more is removed.  Every occurrence of a window has its anchors at the same
+places, so the automata find all of them; what a document shares with a passage over a
+window's length is a window that recurs.  Each document is judged on the input, so
+what is removed elsewhere does not matter.  That a window recurs is decided by 64-bit
+hashes of its words, where it stands by the automata alone.
 
 Null texts have no words.  Rows of the same id, or without one, are separate
 documents; equal rows repeat each other.  Documents of fewer words than a window
@@ -26,12 +28,13 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.arrays import NOT_BLANK, PIECE_BYTES, Words, binary_rows, column_bytes, gather, run_hashes, spans, winnow
-from scriptorium.llm.blocks import MESSAGE, among, answer_recurring, ask_recurring, blocked, layout, messages, number, told_recurring
+from scriptorium.llm.blocks import MESSAGE, among, answer_owned, answer_recurring, ask_recurring, blocked, layout, messages, number, told_owned, told_recurring
 
 WINDOW = 35
 GRAM = 8
@@ -71,14 +74,25 @@ def _near(words: Words, owner: np.ndarray, at: np.ndarray, window: int, gram: in
     return places, hashes[places]
 
 
-def _runs(words: Words, owner: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of the unions of touching windows of one document."""
-    if not len(starts):
-        return starts, starts
+def _passages(words: Words, owner: np.ndarray, starts: np.ndarray, target: np.ndarray, window: int) -> list[tuple[int, bytes]]:
+    """For each target the unions of touching windows of one document, a line each, their words parted by one space."""
+    order = np.lexsort((starts, target))
+    starts, target = starts[order], target[order]
     fresh = np.ones(len(starts), bool)
-    fresh[1:] = (starts[1:] > starts[:-1] + window) | (owner[starts[1:]] != owner[starts[:-1]])
-    first = np.flatnonzero(fresh)
-    return starts[first], starts[np.append(first[1:] - 1, len(starts) - 1)] + window
+    fresh[1:] = (target[1:] != target[:-1]) | (starts[1:] > starts[:-1] + window) | (owner[starts[1:]] != owner[starts[:-1]])
+    run = np.flatnonzero(fresh)
+    first, size = starts[run], starts[np.append(run[1:] - 1, len(starts) - 1)] + window - starts[run]
+    ends = np.cumsum(size)
+    word = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))
+    length = words.end[word] - words.start[word] + 1  # with what parts it from the next
+    out = gather(np.append(words.data, np.uint8(32)), words.start[word], length)
+    at = np.cumsum(length)
+    out[at - 1] = 32
+    out[at[ends - 1] - 1] = 10
+    whose = target[run]
+    last = np.flatnonzero(np.append(whose[1:] != whose[:-1], True))
+    stops = at[ends[last] - 1]
+    return [(int(whose[k]), out[a : b - 1].tobytes()) for k, a, b in zip(last.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
 def _joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,27 +177,25 @@ def _mark(gone: np.ndarray, there: np.ndarray, here: np.ndarray, low: np.ndarray
         np.add.at(gone, at[closes[enough]] + 1, -1)
 
 
-def _located(words: Words, first: np.ndarray, end: np.ndarray, window: int, gram: int, most: int) -> np.ndarray:
-    """Words of the block inside any occurrence of a window of the passages [first, end), by way of the passages' anchors."""
+def _located(words: Words, passages: Words, window: int, gram: int, most: int) -> np.ndarray:
+    """Words of the block inside any occurrence of a window of the passages, by way of the passages' anchors."""
     gone = np.zeros(len(words) + 1, np.int64)
-    if not len(first):
+    if not len(passages):
         return gone[:-1] > 0
-    inside = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)])
-    starts = np.concatenate([[0], np.cumsum(end - first)])  # of the passages, among the words `inside`
-    hashes = words.hash[inside]
-    whose = np.repeat(np.arange(len(first)), end - first)
+    starts, hashes, whose = passages.rows, passages.hash, passages.row_of()
+    size = np.diff(starts)
     grams = run_hashes(hashes, gram)
     n = len(grams)
     at = np.flatnonzero(winnow(grams, window - gram + 1) & (whose[:n] == whose[gram - 1 :][:n]))
     by: dict[bytes, list[int]] = {}
     for k in at.tolist():
-        by.setdefault(b" ".join(words.text(i) for i in inside[k : k + gram].tolist()), []).append(k)
+        by.setdefault(b" ".join(passages.text(i) for i in range(k, k + gram)), []).append(k)
     place, kind = _found(words, [f" {p.decode('utf-8', 'replace')} " for p in by], most)
     order = np.argsort(place, kind="stable")
     place, kind = place[order], kind[order]
     many = np.array([len(v) for v in by.values()])
     flat, base = np.concatenate([np.array(v) for v in by.values()]), np.cumsum(many) - many
-    owner, span = words.row_of(), len(words) + int((end - first).max()) + 1
+    owner, span = words.row_of(), len(words) + int(size.max()) + 1
     # documents in parts of some PAIRS_AT_ONCE pairs of an anchor's place and a passage that holds it
     doc_of = owner[place]
     pairs = np.bincount(doc_of, many[kind], len(words.rows) - 1)
@@ -195,11 +207,11 @@ def _located(words: Words, first: np.ndarray, end: np.ndarray, window: int, gram
         own = flat[np.repeat(base[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
         # each passage along each document once, however many of its anchors are there
         begin = np.repeat(x, times) - own + starts[whose[own]]
-        key = np.unique((np.repeat(doc_of[a:b], times) * len(first) + whose[own]) * span + (begin + span - len(words) - 1))
+        key = np.unique((np.repeat(doc_of[a:b], times) * len(size) + whose[own]) * span + (begin + span - len(words) - 1))
         both, begin = np.divmod(key, span)
         begin -= span - len(words) - 1
-        doc, passage = np.divmod(both, len(first))
-        low, high = np.maximum(begin, words.rows[doc]), np.minimum(begin + (end - first)[passage], words.rows[doc + 1])
+        doc, passage = np.divmod(both, len(size))
+        low, high = np.maximum(begin, words.rows[doc]), np.minimum(begin + size[passage], words.rows[doc + 1])
         long = high - low >= window
         _mark(gone, words.hash, hashes, low[long], high[long], (starts[passage] - begin)[long], window)
     return np.cumsum(gone[:-1]) > 0
@@ -228,22 +240,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, hashes = _near(words, owner, recurring_anchors(words, owner, told), window, gram)
         return messages(ask_recurring(number(key), hashes, shards))
 
-    def cut(key, table, told):
+    def send(key, table, told):
+        """The owned passages, to each block that asked for their windows."""
         if not table.num_rows:
-            return out_table([], [], [], None, None)
+            return messages([])
         words = _words(table)
         owner = words.row_of()
         # both rounds' answers lie in one table: those about windows have shards from `shards` on
         numbers = told.column("shard").to_numpy()
         about_windows = numbers >= shards
-        anchors = told.filter(pa.array(~about_windows))
         rest = told.filter(pa.array(about_windows))
+        if not rest.num_rows:
+            return messages([])
         rest = rest.set_column(1, "shard", pa.array(rest.column("shard").to_numpy() - shards, pa.int32()))
-        places, hashes = _near(words, owner, recurring_anchors(words, owner, anchors), window, gram)
-        recurring = among(hashes, told_recurring(rest, hashes, shards))
-        places, hashes = places[recurring], hashes[recurring]
-        once = np.sort(np.unique(hashes, return_index=True)[1])  # of each window its first place
-        gone = _located(words, *_runs(words, owner, places[once], window), window, gram, automaton_chars)
+        places, hashes = _near(words, owner, recurring_anchors(words, owner, told.filter(pa.array(~about_windows))), window, gram)
+        known, first = np.unique(hashes, return_index=True)  # of each window its first place
+        own, many, target = told_owned(rest, known, shards)
+        return messages([(b, number(key), zstandard.compress(text, 1)) for b, text in _passages(words, owner, np.repeat(places[first[own]], many), target, window)])
+
+    def cut(key, table, told):
+        if not table.num_rows:
+            return out_table([], [], [], None, None)
+        words = _words(table)
+        texts = [zstandard.decompress(p.as_py()).decode().split("\n") for p in told.column("payload")]
+        passages = Words(*column_bytes(pa.array([t for each in texts for t in each], pa.large_string())), NOT_BLANK, lower=False)
+        gone = _located(words, passages, window, gram, automaton_chars)
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.rows])
         return out_table(table.column("id"), np.diff(words.rows), removed, *_joined(words, ~gone))
 
@@ -254,6 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ids_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(docs.schema[id_col].dataType.simpleString(), pa.string())
     first = given.groupBy("block").applyInArrow(ask_anchors, MESSAGE).groupBy("shard").applyInArrow(answer_recurring, MESSAGE)
-    second = given.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_windows, MESSAGE).groupBy("shard").applyInArrow(answer_recurring, MESSAGE)
+    second = given.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_windows, MESSAGE).groupBy("shard").applyInArrow(answer_owned, MESSAGE)
     told = first.unionByName(second.withColumn("shard", F.col("shard") + F.lit(shards)))
-    return given.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, out)
+    sent = given.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, MESSAGE)
+    return given.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(cut, out)
