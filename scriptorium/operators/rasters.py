@@ -13,6 +13,7 @@ lines, so tiles have no margins that overlap.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.folder import file_system
 from scriptorium.operators import imaging
+from scriptorium.sources import images
 
 TILE_LINES, TILE_COLUMNS = 64, 256
 _PLACE = "top int, left int, height int, width int, data binary, known binary"
@@ -221,3 +224,20 @@ def pixels(tiles: DataFrame, keys: list[str]) -> DataFrame:
         yield from zip((y + row["top"]).tolist(), (x + row["left"]).tolist(), tones[y, x].tolist(), strict=True)
 
     return _told(tiles, keys, "y int, x int, v int", tell)
+
+
+def write_images(tiles: DataFrame, name: str, folder: str) -> None:
+    """Writes each image, one tile that is known throughout, as `name`.png; a task that runs again replaces its files."""
+
+    def tell(tones, known, row):
+        if row["top"] or row["left"]:
+            raise ValueError("an image is one tile here")
+        fs, root = file_system(folder)
+        fs.create_dir(root, recursive=True)
+        own = f"{root}/.{row[name]}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(own, compression=None) as sink:
+            sink.write(images.write_png(np.where(known, tones, 255).astype(np.uint8)))
+        fs.move(own, f"{root}/{row[name]}.png")
+        yield (1,)
+
+    _told(tiles, [name], "written int", tell).write.format("noop").mode("overwrite").save()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.folder import new_folder
-from scriptorium.operators import colocated, index, keyed, matching, report, templates, waves
+from scriptorium.operators import colocated, downloads, index, keyed, matching, rasters, report, store, templates, waves
 from scriptorium.functions import text
-from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _RESULTS, _arr, _article_tables, _of_pairs, _query, _results, _targets
-from scriptorium.sources import bibtex, entries, one_file, ris
+from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _PIXELS, _RESULTS, _WANTED, _arr, _article_tables, _of_pairs, _page_map, _query, _results, _targets, _wanted
+from scriptorium.sources import archive, bibtex, entries, images, one_file, ris
 
 #: Bytes of a range: the tables are small, and a file should be cut all the same.
 _SPLIT = 1 << 15
@@ -157,6 +157,36 @@ def template_cards(t):
     return templates.rendered(rows, _CARD).select("c_custkey", "entry")
 
 
+# --- download plans and images in files ----------------------------------------------
+
+
+@_query(_WANTED + """, s AS (SELECT ark, min(view) FILTER (i = 1) AS a, min(view) FILTER (i = 3) AS z FROM h GROUP BY ark),
+p AS (SELECT ark, a, least(z, a + 249) AS z, CASE WHEN ark % 5 = 0 THEN 'image' ELSE 'pdf' END AS mode, CASE WHEN ark % 5 = 0 THEN 1 ELSE 100 END AS size FROM s WHERE ark % 7 > 0),
+b AS (SELECT *, unnest(range(a, z + 1, size)) AS first_view FROM p)
+SELECT ark, mode, CAST((first_view - a) // size AS INTEGER) AS block_no, first_view, least(size, z - first_view + 1) AS views, CASE WHEN mode = 'pdf' AND first_view > a THEN 2 ELSE 0 END AS dropped, CAST(first_view - a + 1 + CASE WHEN mode = 'pdf' AND first_view > a THEN 2 ELSE 0 END AS INTEGER) AS out_page, '2,4,8,16,32,64,128' AS waits FROM b""")
+def fetch_plan(t):
+    """Every piece to fetch of the documents that are not there yet, and where its pages go."""
+    wanted = _wanted(t).withColumn("target", F.col("ark"))
+    statuses = wanted.select("ark", F.when(F.col("ark") % 5 == 0, 451).otherwise(200).alias("status"))
+    found = downloads.plan(wanted, _page_map(t), statuses, wanted.where("target % 7 = 0").select("target"), downloads.DownloadSettings(fetch_only=250))
+    return found.select("ark", "mode", "block_no", "first_view", "views", "dropped", "out_page", _arr(F.col("waits")).alias("waits"))
+
+
+@_query(_PIXELS.replace("* 2 AS INTEGER) AS x", "AS INTEGER) AS x") + """, r AS (SELECT doc, x, y, v FROM p WHERE x >= doc % 20 AND x < doc % 20 + 30 AND y >= 15 AND y < 55)
+SELECT doc, CAST(count(DISTINCT x) AS INTEGER) AS width, CAST(count(DISTINCT y) AS INTEGER) AS height, CAST(sum(v * ((y - 15) * 1000 + x - doc % 20 + 1)) AS BIGINT) AS digest FROM r GROUP BY doc""")
+def image_regions(t):
+    """Regions of image files: written as PNG, read by their names, cut, and read again."""
+    v = F.transform("embedding", lambda e: (F.abs(F.round(F.round(e.cast("double"), 3) * 1000).cast("long")) % 256).cast("int"))
+    lines = t("embeddings").select(F.floor(F.col("vec_id") / 100).alias("doc"), (F.col("vec_id") % 100).cast("int").alias("y"), F.transform("embedding", lambda _, k: k).alias("xs"), v.alias("vs"))
+    folder = new_folder(lines.sparkSession, "images")
+    rasters.write_images(rasters.tiled(lines, ["doc"], 128, 64), "doc", f"{folder}/files")
+    files = archive.read_images(lines.sparkSession, f"{folder}/files", "*.png").withColumn("doc", F.regexp_extract("name", r"^(\d+)\.png$", 1).cast("long"))
+    cut = images.regions(files.select("doc", (F.col("doc") % 20).cast("int").alias("x"), F.lit(15).alias("y"), F.lit(30).alias("width"), F.lit(40).alias("height"), "content"))
+    again = images.tiles(cut.select("doc", F.col("region").alias("content"))).drop("error")
+    each = rasters.pixels(again, ["doc"])
+    return each.groupBy("doc").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.sum(F.col("v") * (F.col("y") * 1000 + F.col("x") + 1)).cast("long").alias("digest"))
+
+
 # --- a store that is updated -------------------------------------------------------
 
 
@@ -173,4 +203,15 @@ def kv_updated(t):
     return two.read()
 
 
+@_query("SELECT DISTINCT user_id, user_id * 2.0 AS value, (SELECT max(event_id) FROM events WHERE event_type = 'click') + 1 AS version FROM events")
+def memoised_anew(t):
+    """With the cache ignored every key is made, and what is made wins over what was stored."""
+    e = t("events")
+    log = store.named_store(e.where("event_type = 'click'").select(F.lit("ark").alias("name"), F.col("user_id").alias("key"), "value", F.col("event_id").alias("version")), "ark")
+    wanted = e.select(F.col("user_id").alias("key")).distinct()
+    _, rows = store.memoised(wanted, log, "key", "value", "version", lambda w: w.select("key", (F.col("key") * 2.0).alias("value")), ignore=True)
+    held = store.latest(store.put(log, rows), ["key"], "version")
+    return wanted.join(held, "key").select(F.col("key").alias("user_id"), "value", "version")
+
+
 __all__ = ["QUERIES", "ORACLES"]
