@@ -1,7 +1,9 @@
 """From raw documents to token ids, in five stages on the operators of scriptorium.llm.
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps with the
-columns of documents; the last returns each document's ids.
+columns of documents; the last returns each document's ids.  Columns that documents
+have beside those named here come along, whatever their names; an empty table stays
+one in every stage.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by five-word shingles at 0.8, the one with the smallest doc_id stays, null ids last.
 
-    Rows are told apart by id and text, so rows that share an id, or have none, stand or go for themselves.
+    Rows are told apart by 128 bits of a digest of id and text, so rows that share an id, or have none, stand or go
+    for themselves; of equal rows one stays.  Null texts, and those without words, link with nothing and stay.
     """
-    keyed = docs.withColumn("row key", F.xxhash64("doc_id", "text"))
+    told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise(":"), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("row key", F.substring(F.sha2(told, 256), 1, 32))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row key").alias("key"))  # in this order the first of a group stays
     groups = jaccard.components(keyed.select(place.alias("place"), "text"), shingle=5, percent=80, id_col="place")
     groups = groups.select(F.col("place.key").alias("row key"), F.col("component_id.key").alias("first"), "n_shingles")
@@ -54,13 +58,16 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item; those without words stay."""
+    """Drops documents that hold a window of a benchmark item; null texts and those without words stay, and so does all if there are no items."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.where("n_hit = 0").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, binary), n_tokens, and the text decoded from the ids."""
+    """doc_id, ids (little-endian unsigned 32-bit, binary), n_tokens, and the text decoded from the ids.
+
+    A row for each row, those that repeat included; null and empty texts have no ids and decode to ''.
+    """
     coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.col("decoded").alias("text"))
 
@@ -92,4 +99,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space, docs = Workspace(spark, "pipeline"), documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = space.write(stage(spark, docs, sf_dir), str(k))
+        if k:
+            space.drop(str(k - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
