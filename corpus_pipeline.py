@@ -24,11 +24,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_QUALITY = 0.3
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs do not have."""
+    while name in docs.columns:
+        name += "'"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the compression classifier rejects; null texts are empty ones, and equal texts go or stay together."""
-    chance = "chance of label 1"
-    while chance in docs.columns:
-        chance += "'"
+    chance = _free(docs, "chance of label 1")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score_documents(docs, model, score_col=chance)
     return scored.where(F.col(f"`{chance}`") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -46,15 +51,16 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     for themselves; of equal rows one stays.  Null texts, and those without words, link with nothing and stay.
     """
     told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise(":"), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("row key", F.substring(F.sha2(told, 256), 1, 32))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row key").alias("key"))  # in this order the first of a group stays
+    key = _free(docs, "row key")
+    keyed = docs.withColumn(key, F.substring(F.sha2(told, 256), 1, 32))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))  # in this order the first of a group stays
     groups = jaccard.components(keyed.select(place.alias("place"), "text"), shingle=5, percent=80, id_col="place")
-    groups = groups.select(F.col("place.key").alias("row key"), F.col("component_id.key").alias("first"), "n_shingles")
-    gone = groups.where(F.col("row key") != F.col("first")).select("row key").distinct()
-    kept = keyed.join(gone, "row key", "left_anti")
-    equal = groups.where("n_shingles > 0").groupBy("row key").count().where("count > 1").select("row key")  # equal rows; none after exact dedup
-    once = kept.join(equal, "row key", "left_semi").dropDuplicates(["row key"])
-    return kept.join(equal, "row key", "left_anti").unionByName(once).select(*docs.columns)
+    groups = groups.select(F.col("place.key").alias(key), F.col("component_id.key").alias("first"), "n_shingles")
+    gone = groups.where(F.col(key) != F.col("first")).select(key).distinct()
+    kept = keyed.join(gone, key, "left_anti")
+    equal = groups.where("n_shingles > 0").groupBy(key).count().where("count > 1").select(key)  # equal rows; none after exact dedup
+    once = kept.join(equal, key, "left_semi").dropDuplicates([key])
+    return kept.join(equal, key, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
