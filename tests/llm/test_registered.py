@@ -17,7 +17,7 @@ ROWS = messy_rows()
 @pytest.fixture(scope="module")
 def tables(messy, spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
-    messy.withColumnRenamed("score", "chance of label 1").write.parquet(f"{folder}/documents.parquet")
+    messy.withColumnRenamed("score", "chance of label 1").withColumnRenamed("node", "row key").write.parquet(f"{folder}/documents.parquet")
     labels = [(i, i % 2, 0) for i in range(0, 90, 3)] + [(3, 0, 0), (None, 1, 0), (6, None, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, None), (2, ROWS[30][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
