@@ -9,6 +9,7 @@ from scriptorium.operators import colocated, downloads, index, keyed, matching,
 from scriptorium.functions import text
 from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _PIXELS, _RESULTS, _WANTED, _arr, _article_tables, _of_pairs, _page_map, _query, _results, _targets, _wanted
 from scriptorium.sources import archive, bibtex, entries, images, one_file, ris
+from scriptorium.streaming import progress
 
 #: Bytes of a range: the tables are small, and a file should be cut all the same.
 _SPLIT = 1 << 15
@@ -187,6 +188,27 @@ def image_regions(t):
     return each.groupBy("doc").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.sum(F.col("v") * (F.col("y") * 1000 + F.col("x") + 1)).cast("long").alias("digest"))
 
 
+# --- progress of a stream -----------------------------------------------------------
+
+
+@_query(_RESULTS + "SELECT count(*) AS total, count(*) FILTER (status) AS matched, count(*) FILTER (NOT status) AS failed, count(*) FILTER (status IS NULL) AS unmatched, CAST(1 AS DOUBLE) AS progress FROM r")
+def stream_counts(t):
+    """What a stream of all results tells of itself, batch by batch, while it runs."""
+    r = _results(t)
+    spark, folder = r.sparkSession, new_folder(r.sparkSession, "results")
+    r.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{folder}/in")
+    seen = progress.Progress(spark, r.count())
+    try:
+        stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        query = progress.watched(stream).writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.wait(query.lastProgress.batchId + 1 if query.lastProgress else 0)
+        counts = seen.counts()
+    finally:
+        seen.close()
+    return spark.createDataFrame([tuple(counts.values())], "total long, matched long, failed long, unmatched long, progress double")
+
+
 # --- a store that is updated -------------------------------------------------------
 
 
