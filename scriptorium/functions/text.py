@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.functions import bits
+
 ASCII = r"^[\x00-\x7F]*$"
 _ENDS = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -39,16 +42,37 @@ def indel_ratio(a: str | None, b: str | None) -> int:
     return round(200 * (len(a) - rows.bit_count()) / (len(a) + len(b)))
 
 
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """The pair of each row among the distinct ones; nulls as ''."""
+    pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+    known = dict(zip(dict.fromkeys(pairs), range(len(pairs)), strict=False))
+    return np.array([known[p] for p in pairs], np.int64), list(known)
+
+
 @F.pandas_udf(T.IntegerType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two strings from 0 to 100."""
-    known: dict[tuple, int] = {}
-    out = []
-    for pair in zip(a.where(a.notna(), None), b.where(b.notna(), None), strict=True):
-        if pair not in known:
-            known[pair] = indel_ratio(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="int32")
+    """Similarity of two strings from 0 to 100; equal pairs of a batch are compared once, short ones all at a time."""
+    which, pairs = _distinct(a, b)
+    out = np.zeros(len(pairs), np.int32)
+    short = [k for k, (x, y) in enumerate(pairs) if x and y and min(len(x), len(y)) <= 64]
+    common = bits.common_lengths([pairs[k] for k in short]) if short else []
+    for k, n in zip(short, common, strict=True):
+        out[k] = round(200 * int(n) / (len(pairs[k][0]) + len(pairs[k][1])))
+    for k, (x, y) in enumerate(pairs):
+        if min(len(x), len(y)) > 64:
+            out[k] = indel_ratio(x, y)
+    return pd.Series(out[which], dtype="int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def ratio_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """What the similarity of two strings cannot exceed: a common subsequence has no more of a character than either string."""
+    which, pairs = _distinct(a, b)
+    if not pairs:
+        return pd.Series([], dtype="int32")
+    most = np.minimum(bits.bags([x for x, _ in pairs]), bits.bags([y for _, y in pairs])).sum(1)
+    out = np.array([round(200 * int(n) / (len(x) + len(y))) if x and y else 0 for n, (x, y) in zip(most, pairs, strict=True)], np.int32)
+    return pd.Series(out[which], dtype="int32")
 
 
 def ratio_native(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.folder import new_folder
 from scriptorium.operators import colocated, downloads, index, keyed, matching, rasters, report, store, templates, waves
 from scriptorium.functions import text
-from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _PIXELS, _RESULTS, _WANTED, _arr, _article_tables, _of_pairs, _page_map, _query, _results, _targets, _wanted
+from scriptorium.plans.catalogue import ORACLES, QUERIES, _MAP, _PIXELS, _RESULTS, _WANTED, _arr, _article_tables, _page_map, _query, _results, _targets, _wanted
 from scriptorium.sources import archive, bibtex, entries, images, one_file, ris
 from scriptorium.streaming import progress
 
@@ -107,10 +107,27 @@ def issues_by_year(t):
 
 @_query(ORACLES["match_best"])
 def match_waves(t):
-    """The best match of every part, by a search that scores candidates wave by wave."""
+    """The best match of every part, by a search in waves that compares titles only where letters and numbers let them be better."""
     p = t("part").select("p_partkey", "p_name", "p_size", "p_type")
-    best = waves.best(_targets(t), p.withColumn("pos", F.col("p_partkey")), "p_type", "target", "pos", _of_pairs)
-    return best.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
+    size = F.col("p_size")
+    number = matching.number_score(F.col("t_number"), F.array(size, size + 1, size + 2), F.lit(False), F.lit(True))
+
+    def bound(targets, candidates):
+        """Each pair of titles is bounded once."""
+        pairs = targets.join(candidates, "p_type").select("target", "pos", "t_name", "p_name", number.alias("s_number"))
+        titles = pairs.select(F.col("t_name").alias("a"), F.col("p_name").alias("b")).distinct()
+        most = titles.withColumn("most", text.ratio_bound(text.plain(F.col("a")), text.plain(F.col("b"))) / 100)
+        met = pairs.join(most, F.col("t_name").eqNullSafe(F.col("a")) & F.col("p_name").eqNullSafe(F.col("b"))).drop("a", "b")
+        return met.withColumn("bound", F.when(F.col("t_name").isNull(), F.col("s_number")).otherwise((F.col("most") + F.col("s_number")) / 2)).drop("most")
+
+    def score(pairs, _):
+        """Each pair of titles is compared once."""
+        titles = pairs.select(F.col("t_name").alias("a"), F.col("p_name").alias("b")).distinct().withColumn("s_title", matching.text_score(F.col("a"), F.col("b")))
+        known = pairs.join(titles, F.col("t_name").eqNullSafe(F.col("a")) & F.col("p_name").eqNullSafe(F.col("b")))
+        return known.select("target", "pos", matching.mean_score({"title": F.col("s_title"), "number": F.col("s_number")}).alias("score"))
+
+    found = waves.best(_targets(t), p.withColumn("pos", F.col("p_partkey")), "p_type", "target", "pos", score, bound=bound)
+    return found.select("target", "pos", F.round("score", 6).alias("score"), (F.col("score") >= matching.DEFAULTS.minimum_confidence).alias("confident"))
 
 
 # --- a report in one file --------------------------------------------------------
