@@ -172,14 +172,19 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def winnow(grams: np.ndarray, width: int) -> np.ndarray:
+def winnow(grams: np.ndarray, width: int, valid: np.ndarray | None = None) -> np.ndarray:
     """Which grams are a minimum of some `width` neighbouring ones; all if there are fewer.
 
     Every window keeps all its minima, so equal windows keep equal grams at equal places.
+    valid: which windows count, by their first gram; then what is kept of a text does not depend on its neighbours.
     """
-    if len(grams) < width or width <= 1:
+    if valid is None and (len(grams) < width or width <= 1):
         return np.ones(len(grams), bool)
+    if len(grams) < width:
+        return np.zeros(len(grams), bool)
     least = sliding(grams, width, np.minimum)
+    if valid is not None:
+        least = np.where(valid, least, np.uint64(0))
     ends = np.zeros(width - 1, np.uint64)
     return sliding(np.concatenate([ends, least, ends]), width, np.maximum) == grams
 

@@ -57,9 +57,9 @@ def _within(words: Words, owner: np.ndarray, k: int) -> np.ndarray:
 
 
 def _anchors(words: Words, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows."""
+    """Places and hashes of the anchors of all windows; a document has the same in whatever order a block's rows come."""
     grams = run_hashes(words.hash, gram)
-    at = np.flatnonzero(winnow(grams, window - gram + 1) & _within(words, owner, gram))
+    at = np.flatnonzero(winnow(grams, window - gram + 1, _within(words, owner, window)) & _within(words, owner, gram))
     return at, grams[at]
 
 
@@ -186,7 +186,7 @@ def _located(words: Words, passages: Words, window: int, gram: int, most: int) -
     size = np.diff(starts)
     grams = run_hashes(hashes, gram)
     n = len(grams)
-    at = np.flatnonzero(winnow(grams, window - gram + 1) & (whose[:n] == whose[gram - 1 :][:n]))
+    at = np.flatnonzero(winnow(grams, window - gram + 1, _within(passages, whose, window)) & (whose[:n] == whose[gram - 1 :][:n]))
     by: dict[bytes, list[int]] = {}
     for k in at.tolist():
         by.setdefault(b" ".join(passages.text(i) for i in range(k, k + gram)), []).append(k)

@@ -56,3 +56,17 @@ def test_passages_of_each_target():
     got = substrings._passages(words, owner, np.array([0, 1, 3, 0, 4]), np.array([7, 7, 9, 9, 9]), 3)
     assert got == [(7, b"a b c d"), (9, b"a b c d e f g")]
     assert substrings._passages(words, owner, np.array([0, 4]), np.array([1, 1]), 3) == [(1, b"a b c\ne f g")]
+
+
+def test_anchors_do_not_depend_on_the_order_of_rows():
+    """A block's rows come in another order each time a shuffle is read; what it asks must be the same."""
+    texts = [t or "" for _, t in messy_rows()]
+    rng = np.random.default_rng(2)
+    keys = []
+    for _ in range(5):
+        words = words_of([texts[k] for k in rng.permutation(len(texts))])
+        owner = words.row_of()
+        at, prints = substrings._anchors(words, owner, 12, 4)
+        _, near = substrings._near(words, owner, at[prints % np.uint64(3) == 0], 12, 4)
+        keys.append((np.unique(prints).tolist(), np.unique(near).tolist()))
+    assert all(k == keys[0] for k in keys)
