@@ -33,11 +33,13 @@ from scriptorium.folder import new_folder, written
 SEGMENT = 1 << 16
 RUN = 128
 SHARDS = 32
-_HEAD = struct.Struct("<II")
+_HEAD, _ONE = struct.Struct("<II"), struct.Struct("<IIHBBB")
 
 
 def packed(places: np.ndarray, counts: np.ndarray) -> bytes:
     """A block of ascending places below SEGMENT, and a count for each."""
+    if len(places) == 1 and counts[0] < 256:  # most words
+        return _ONE.pack(1, 1, places[0], 0, 0, counts[0])
     step = np.diff(places, prepend=places[:1])
     runs = -(-len(places) // RUN)
     step = np.concatenate([step, np.zeros(runs * RUN - len(step), step.dtype)]).reshape(runs, RUN)
