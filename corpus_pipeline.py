@@ -52,7 +52,7 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise(":"), F.coalesce("text", F.lit("")))
     key = _free(docs, "row key")
-    keyed = docs.withColumn(key, F.substring(F.sha2(told, 256), 1, 32))
+    keyed = docs.withColumn(key, F.unhex(F.substring(F.sha2(told, 256), 1, 32)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))  # in this order the first of a group stays
     groups = jaccard.components(keyed.select(place.alias("place"), "text"), shingle=5, percent=80, id_col="place")
     groups = groups.select(F.col("place.key").alias(key), F.col("component_id.key").alias("first"), "n_shingles")
