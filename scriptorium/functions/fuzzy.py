@@ -27,6 +27,8 @@ from scriptorium.functions import bits
 BLOCK_CHARS, CHUNK_BYTES = 1 << 20, 1 << 21
 #: Bytes of texts to a chunk where several blocks take turns.
 MANY_BLOCKS_BYTES = 64 << 20
+#: Pairs of a needle and a text that may hold it that are searched together.
+PAIRS = 4096
 #: Windows whose distances are worked out in step.
 WINDOWS = 4096
 #: The most bytes of a piece that are looked up; a power of two.
@@ -230,21 +232,24 @@ def _scan(blocks: list[str], schema: T.StructType):
             column = batch.column(1).cast(pa.large_string())
             ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2], np.uint8)
+            near: dict[str, list[tuple[int, int]]] = {address: [] for address in blocks}
             first = 0
             while first < len(column):
                 last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
                 for address in blocks:
-                    held = _block(address)
-                    near = sorted(held.pairs(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]))
-                    texts = {t: column[first + t].as_py() for t in {t for t, _ in near}}
+                    near[address] += sorted((first + t, x) for t, x in _block(address).pairs(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]))
+                first = last
+            for address, pairs in near.items():
+                for k in range(0, len(pairs), PAIRS):  # searched all at a time
+                    held, part = _block(address), pairs[k : k + PAIRS]
+                    texts = {t: column[t].as_py() for t in {t for t, _ in part}}
                     out: list[tuple] = []
-                    for (t, x), hits in zip(near, search_pairs([(held.needles[x], texts[t]) for t, x in near], held.k), strict=True):
+                    for (t, x), hits in zip(part, search_pairs([(held.needles[x], texts[t]) for t, x in part], held.k), strict=True):
                         if hits:
-                            out.append((x, first + t, [{"start": a, "end": b, "dist": d, "matched": texts[t][a:b]} for a, b, d in hits]))
+                            out.append((x, t, [{"start": a, "end": b, "dist": d, "matched": texts[t][a:b]} for a, b, d in hits]))
                     if out:
                         rows = [r for _, r, _ in out]
                         found = [pa.array([held.ids[x] for x, _, _ in out], types[0]), pa.array([held.needles[x] for x, _, _ in out], types[1]), batch.column(0).take(pa.array(rows)).cast(types[2]), pa.array([m for _, _, m in out], types[3])]
                         yield pa.RecordBatch.from_arrays(found, names=schema.names)
-                first = last
 
     return run

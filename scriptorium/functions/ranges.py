@@ -81,7 +81,8 @@ def deprettify(text: Column) -> Column:
     parts = F.transform(F.split(text, ","), one)
     # counted before any is made
     total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n + F.when(p["single"], 1).otherwise(F.greatest(F.lit(0), F.coalesce(_size(p["a"], p["b"]), F.lit(0)))))
-    return F.when(total <= MOST, F.flatten(F.transform(parts, lambda p: F.when(p["single"], F.array(p["a"])).otherwise(span(p["a"], p["b"])))))
+    alone = text.rlike("^[0-9]{1,9}$")  # most are
+    return F.when(alone, F.array(text.try_cast("int"))).when(total <= MOST, F.flatten(F.transform(parts, lambda p: F.when(p["single"], F.array(p["a"])).otherwise(span(p["a"], p["b"])))))
 
 
 def bib_pages(text: Column) -> Column:
@@ -120,15 +121,19 @@ def describe(text: Column) -> dict[str, Column]:
 def catalogue_years(text: Column) -> Column:
     """Years of a catalogue's date: a list of years and ranges; a half-open range stands alone, replacing what came before."""
 
-    def step(state: Column, part: Column) -> Column:
+    def ends_of(part: Column) -> Column:
+        """A part's ends, read once."""
         ends = F.split(part, "-")
-        a, b = F.trim(F.get(ends, F.lit(0))).try_cast("int"), F.trim(F.get(ends, F.lit(1))).try_cast("int")
+        return F.struct(F.size(ends).alias("n"), F.trim(F.get(ends, F.lit(0))).try_cast("int").alias("a"), F.trim(F.get(ends, F.lit(1))).try_cast("int").alias("b"))
+
+    def step(state: Column, part: Column) -> Column:
+        n, a, b = part["n"], part["a"], part["b"]
         wide = F.coalesce(F.size(state["years"]) + _size(a, b) > MOST, F.lit(False))
-        bad = (F.size(ends) > 2) | (a.isNull() & b.isNull()) | wide
-        whole = F.when(F.size(ends) == 1, F.concat(state["years"], F.array(a))).when(a.isNotNull() & b.isNotNull(), F.concat(state["years"], span(a, b))).otherwise(F.array(F.coalesce(a, b)))
+        bad = (n > 2) | (a.isNull() & b.isNull()) | wide
+        whole = F.when(n == 1, F.concat(state["years"], F.array(a))).when(a.isNotNull() & b.isNotNull(), F.concat(state["years"], span(a, b))).otherwise(F.array(F.coalesce(a, b)))
         return F.struct(F.when(bad, state["years"]).otherwise(whole).alias("years"), (state["bad"] | bad).alias("bad"))
 
-    end = F.aggregate(F.split(text, ","), F.struct(F.array().cast(_NO_INTS).alias("years"), F.lit(False).alias("bad")), step)
+    end = F.aggregate(F.transform(F.split(text, ","), ends_of), F.struct(F.array().cast(_NO_INTS).alias("years"), F.lit(False).alias("bad")), step)
     return F.when(~end["bad"], end["years"])
 
 

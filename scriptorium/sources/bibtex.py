@@ -91,16 +91,18 @@ def records(files: DataFrame, text: str = "value", file_pos: str = "file") -> Da
 
 def fields(raw: DataFrame) -> DataFrame:
     """Records of entries (file, entry, raw)."""
-    read = raw.withColumn("e", entry_fields("raw"))
     f = lambda k: F.nullif(F.col("e.fields")[k], F.lit(""))
-    many = lambda k: F.when(f(k).isNotNull(), F.filter(ranges.deprettify(f(k)), lambda x: x.isNotNull()))
+    lists = ("year", "number", "volume")
+    # read once, in a projection of their own
+    read = raw.withColumn("e", entry_fields("raw")).withColumns({**{f"{k} list": ranges.deprettify(f(k)) for k in lists}, "page list": F.when(f("pages").isNotNull(), ranges.bib_pages(f("pages")))})
+    many = lambda k: F.filter(f"{k} list", lambda x: x.isNotNull())
     listed = lambda k: F.coalesce(F.size(many(k)) > 1, F.lit(False))
-    wide = reduce(lambda a, b: a | b, [f(k).isNotNull() & many(k).isNull() for k in ("year", "number", "volume")]) | (f("pages").isNotNull() & ranges.bib_pages(f("pages")).isNull())
+    wide = reduce(lambda a, b: a | b, [f(k).isNotNull() & F.col(f"{k} list").isNull() for k in lists]) | (f("pages").isNotNull() & F.col("page list").isNull())
     return read.select(
         "file", "entry", F.col("e.kind").alias("kind"), F.lit("bibtex").alias("input"), "raw", f("title").alias("title"), f("subtitle").alias("subtitle"), F.coalesce(f("journaltitle"), f("journal")).alias("journaltitle"),
         f("author").alias("author"), f("editor").alias("editor"), f("publisher").alias("publisher"), F.coalesce(f("location"), f("address")).alias("location"), f("page_count").try_cast("int").alias("page_count"), f("ark").alias("ark"),
         many("year").alias("publicationdate"), listed("year").alias("publicationdate_is_list"), many("number").alias("number"), listed("number").alias("number_is_list"), many("volume").alias("volume"), listed("volume").alias("volume_is_list"),
-        F.when(f("pages").isNotNull(), ranges.bib_pages(f("pages"))).alias("pages"), F.lit(None).cast("array<int>").alias("physical_pages"), F.coalesce(F.col("e.error"), F.when(wide, ranges.TOO_WIDE)).alias("error"),
+        F.col("page list").alias("pages"), F.lit(None).cast("array<int>").alias("physical_pages"), F.coalesce(F.col("e.error"), F.when(wide, ranges.TOO_WIDE)).alias("error"),
     )
 
 
