@@ -79,3 +79,13 @@ def test_rows_that_repeat_an_id(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "a c"), (None, "a b"), (2, None), (3, "b")]
     got = matching.token_search(spark.createDataFrame([(7, "a b"), (8, "a"), (9, "")], "q long, text string"), "q", "text", spark.createDataFrame(rows, "key long, text string"), "key", "text")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(7, 1), (7, 1), (7, None), (8, 1), (8, 1), (8, 1), (8, None)], key=repr)
+
+
+def test_no_index_of_rows_is_broadcast(spark, tmp_path):
+    """A file's size says nothing of its words: only the queries' distinct words may be sent to all."""
+    spark.range(2000).selectExpr("id AS key", "concat('red bolt ', id % 3) AS text").write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame([(1, "red 1"), (2, "bolt red"), (3, "red blue")], "q long, text string").write.parquet(str(tmp_path / "queries"))
+    found = matching.token_search(spark.read.parquet(str(tmp_path / "queries")), "q", "text", spark.read.parquet(str(tmp_path / "rows")), "key", "text")
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert all("LeftSemi" in line for line in joins)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, k) for k in range(1, 2000, 3)] + [(2, k) for k in range(2000)]
