@@ -60,3 +60,21 @@ def test_best_and_seen_of_every_part(spark, folder):
 
 def test_entry_has_every_part(spark):
     assert __spark_entry__.entry(spark).select("target").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for others."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_are_not_shuffled(spark, tmp_path):
+    """360,000 pairs of 600 names, from few rows; rows that repeat a key or have none count each."""
+    parts = [(k, f"part {k}", k % 7, "A") for k in range(598)] + [(3, "part 3", 1, "A"), (None, "part 4", None, "A"), (7, "part", 1, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    before = shuffled(spark)
+    found = catalogue.QUERIES["match_scores"](spark, str(tmp_path)).cache()
+    assert found.count() == 600 * 600 and found.where("target = 3 AND pos = 3").count() == 4 and found.where("target IS NULL AND pos IS NULL").count() == 1
+    assert shuffled(spark) - before < 20_000
+    found.unpersist()
