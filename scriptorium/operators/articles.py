@@ -64,12 +64,12 @@ def found_in_text(wanted: DataFrame, page_map: DataFrame, page_text: DataFrame)
     not found.  The author is looked for only where the title is.
     """
     spans = view_span(wanted.select("target", "ark", "title", "author", "pages"), page_map)
-    texts = page_text.select("ark", F.col("ordre").alias("view"), "text")
+    # one table of normal forms for titles and authors, so that Spark deals the texts out once
+    texts = page_text.select("ark", F.col("ordre").alias("view"), text.plain(F.col("text")).alias("text")).where(F.length("text") > 0)
     names = spans.select("target", "ark", "start_p", "end_p", text.plain(F.col("title")).alias("title"), text.plain(F.col("author")).alias("author")).where("title IS NOT NULL AND author IS NOT NULL")
-    normal = text.plain(F.col("text"))  # of the pages that are read only
-    first = names.join(texts.withColumnRenamed("view", "start_p"), ["ark", "start_p"]).where(F.length("text") > 0).withColumn("text", normal)
-    titled = first.where((F.length("text") > 0) & (F.size(fuzzy.near_matches(F.col("title"), F.col("text"), TITLE_ERRORS)) > 0))
-    ends = titled.select("target", "ark", "author", F.explode(F.array_distinct(F.array("start_p", "end_p"))).alias("view")).join(texts, ["ark", "view"]).withColumn("text", normal)
+    first = names.join(texts.withColumnRenamed("view", "start_p"), ["ark", "start_p"])
+    titled = first.where(F.size(fuzzy.near_matches(F.col("title"), F.col("text"), TITLE_ERRORS)) > 0)
+    ends = titled.select("target", "ark", "author", F.explode(F.array_distinct(F.array("start_p", "end_p"))).alias("view")).join(texts, ["ark", "view"])
     matched = F.get(fuzzy.near_matches(F.col("author"), F.col("text"), AUTHOR_ERRORS), F.lit(0))["matched"]
     alike = ends.withColumn("matched", matched).where(text.ratio(F.col("matched"), F.col("author")) > AUTHOR_RATIO)
     return alike.select("target", "ark").distinct()

@@ -357,9 +357,14 @@ def catalogue_journals(t):
 _MAP = "(SELECT l_orderkey AS ark, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, CAST(l_linenumber AS VARCHAR) AS numero, l_partkey AS ordre, l_returnflag AS kind FROM lineitem)"
 
 
+def _numbered_lines(t):
+    """Line items with their place in their order.  The flag parts ties, so all that read the lines read the same columns, and Spark deals them out once."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").withColumn("pos", F.row_number().over(order))
+
+
 def _page_map(t):
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return t("lineitem").select(F.col("l_orderkey").alias("ark"), pos.alias("pos"), F.col("l_linenumber").cast("string").alias("numero"), F.col("l_partkey").alias("ordre"), F.col("l_returnflag").alias("pagination_type"))
+    return _numbered_lines(t).select(F.col("l_orderkey").alias("ark"), "pos", F.col("l_linenumber").cast("string").alias("numero"), F.col("l_partkey").alias("ordre"), F.col("l_returnflag").alias("pagination_type"))
 
 
 @_query(f"""WITH m AS {_MAP}, h AS (SELECT ark, arg_min(ordre, pos) FILTER (numero = CAST(ark % 7 + 1 AS VARCHAR)) AS hit, arg_max(ordre, pos) AS last, arg_max(ordre, pos) FILTER (kind = 'A') AS a, arg_min(ordre, pos) AS first FROM m GROUP BY ark)
@@ -426,12 +431,13 @@ def _article_tables(t):
     said = F.concat(F.year("o_orderdate").cast("string"), F.lit("/10 (A4,T"), (F.col("o_orderkey") % 4).cast("string"), F.lit(")."))
     journal = part.select(F.col("p_partkey").alias("about"), F.col("p_type").alias("journaltitle"))
     meta = o.withColumn("about", F.col("o_custkey") + F.col("o_orderkey") % 2).join(journal, "about").select(F.col("o_orderkey").alias("ark"), "journaltitle", F.array(F.lit("x"), said).alias("description"))
-    lines = t("lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    lines = _numbered_lines(t)
     about = F.when(F.col("l_suppkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("l_partkey"))
     lines = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(part.select(F.col("p_partkey").alias("about"), "p_name", "p_brand"), about == F.col("about"))
-    entries = lines.where(F.col("l_orderkey") % 3 > 0).select(F.col("l_orderkey").alias("ark"), "pos", F.col("l_linenumber").cast("string").alias("pno"), F.concat("p_brand", F.lit(" - "), "p_name").alias("title"))
+    # with the place in them, this condition and that of texts stay above the numbering of lines, which is shared
+    entries = lines.where(F.when(F.col("l_orderkey") % 3 > 0, F.col("pos")) > 0).select(F.col("l_orderkey").alias("ark"), "pos", F.col("l_linenumber").cast("string").alias("pno"), F.concat("p_brand", F.lit(" - "), "p_name").alias("title"))
     said = F.concat(F.lit("<p>...</p> "), F.translate("p_name", "e", "w"), F.lit("\n par "), F.replace(F.upper("p_brand"), F.lit("ND#1"), F.lit("N#1")))
-    texts = lines.select(F.col("l_orderkey").alias("ark"), F.col("l_partkey").alias("ordre"), said.alias("text"))
+    texts = lines.where("pos > 0").select(F.col("l_orderkey").alias("ark"), F.col("l_partkey").alias("ordre"), said.alias("text"))
     return targets, wanted, meta, entries, _page_map(t), texts
 
 

@@ -166,3 +166,10 @@ def test_page_slices(spark):
     rows = spark.createDataFrame([("a", k, str(k)) for k in range(1, 6)], "ark string, ordre int, text string")
     ids = lambda *args: sorted(r["ordre"] for r in pages.content_slice(rows, *args).collect())
     assert ids(2) == [2, 3, 4, 5] and ids(2, 2) == [2, 3] and ids(F.lit(4), F.lit(9)) == [4, 5]
+
+
+def test_lines_are_dealt_out_once(spark):
+    """Contents, page maps and texts of issues share one shuffle of the line items."""
+    plan = catalogue.QUERIES["article_match"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    read = {line[line.index("[") : line.index("]")].replace("L", "") for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line}
+    assert {tuple(c.split("#")[0] for c in r[1:].split(",")) for r in read} == {("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")}
