@@ -1,9 +1,11 @@
 """Every part as a target, against a search in Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from scriptorium.functions import text
+from scriptorium.operators import matching
 from scriptorium.plans import catalogue
 
 # equal names that differ in size and type, more than 50 candidates, a null name
@@ -78,3 +80,19 @@ def test_pairs_are_not_shuffled(spark, tmp_path):
     assert found.count() == 600 * 600 and found.where("target = 3 AND pos = 3").count() == 4 and found.where("target IS NULL AND pos IS NULL").count() == 1
     assert shuffled(spark) - before < 20_000
     found.unpersist()
+
+
+def test_a_frequent_name_is_packed_in_parts(spark):
+    """8,000 equal names and sizes, 2,000 or so a side: no row holds a whole side's keys, and no pair is lost."""
+    rows = spark.range(8000).select("id", F.lit("A").alias("type"), F.lit("part").alias("name"), F.lit(1).alias("size"))
+    met = matching.cells_of_pairs(rows, "type", "id", "name", "size").select(*[F.aggregate(F.col(c), F.lit(0), lambda n, h: n + F.size(h["keys"])).alias(c) for c in ("t_held", "c_held")])
+    most, pairs = met.agg(F.max(F.greatest("t_held", "c_held")), F.sum(F.col("t_held").cast("long") * F.col("c_held"))).first()
+    assert most < 1.5 * matching.PACK_ROWS and pairs == 8000 * 8000
+
+
+def test_means_are_rounded_before_sizes_are_paired(spark, folder):
+    """Rounding costs more than all else, so it is done once a pair of names."""
+    plan = catalogue.QUERIES["match_scores"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spread = [k for k, line in enumerate(plan) if "Generate explode(c_held" in line]
+    rounded = [k for k, line in enumerate(plan) if "round(" in line]
+    assert spread and rounded and min(rounded) > max(spread)
