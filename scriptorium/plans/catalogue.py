@@ -429,18 +429,18 @@ def _article_tables(t):
     nulls = {"publisher": "string", "number": "array<int>"}
     y = lambda k: (F.col(k) % 5 + 1995).cast("int")
     part, o = t("part"), t("orders")
-    named = t("customer").join(part, F.col("c_custkey") == F.col("p_partkey"))
+    named = t("customer").join(part.hint("merge"), F.col("c_custkey") == F.col("p_partkey"))
     targets = named.select(
         F.col("c_custkey").alias("target"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("journaltitle"), F.array(F.lit("2"), F.lit("3")).alias("pages"), F.array(y("c_nationkey")).alias("publicationdate"),
         F.lit(False).alias("publicationdate_is_list"), F.array((F.col("c_custkey") % 4).cast("int")).alias("volume"), F.lit(False).alias("volume_is_list"), F.lit(False).alias("number_is_list"), *[F.lit(None).cast(k).alias(c) for c, k in nulls.items()],
     )
-    wanted = o.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("ark"), F.col("o_orderkey").alias("issue")).join(targets.select("target"), "target", "left_semi")
+    wanted = o.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("ark"), F.col("o_orderkey").alias("issue")).join(targets.select("target").hint("merge"), "target", "left_semi")
     said = F.concat(F.year("o_orderdate").cast("string"), F.lit("/10 (A4,T"), (F.col("o_orderkey") % 4).cast("string"), F.lit(")."))
-    journal = part.select(F.col("p_partkey").alias("about"), F.col("p_type").alias("journaltitle"))
+    journal = part.select(F.col("p_partkey").alias("about"), F.col("p_type").alias("journaltitle")).hint("merge")
     meta = o.withColumn("about", F.col("o_custkey") + F.col("o_orderkey") % 2).join(journal, "about").select(F.col("o_orderkey").alias("ark"), "journaltitle", F.array(F.lit("x"), said).alias("description"))
     lines = _numbered_lines(t)
     about = F.when(F.col("l_suppkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("l_partkey"))
-    lines = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(part.select(F.col("p_partkey").alias("about"), "p_name", "p_brand"), about == F.col("about"))
+    lines = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").hint("merge"), "l_orderkey").join(part.select(F.col("p_partkey").alias("about"), "p_name", "p_brand").hint("merge"), about == F.col("about"))
     # with the place in them, this condition and that of texts stay above the numbering of lines, which is shared
     entries = lines.where(F.when(F.col("l_orderkey") % 3 > 0, F.col("pos")) > 0).select(F.col("l_orderkey").alias("ark"), "pos", F.col("l_linenumber").cast("string").alias("pno"), F.concat("p_brand", F.lit(" - "), "p_name").alias("title"))
     said = F.concat(F.lit("<p>...</p> "), F.translate("p_name", "e", "w"), F.lit("\n par "), F.replace(F.upper("p_brand"), F.lit("ND#1"), F.lit("N#1")))

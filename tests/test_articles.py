@@ -1,5 +1,6 @@
 """Articles in issues: page numbers, contents and recognised text, against plain Python."""
 
+import os
 import unicodedata
 
 import pytest
@@ -173,3 +174,14 @@ def test_lines_are_dealt_out_once(spark):
     plan = catalogue.QUERIES["article_match"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     read = {line[line.index("[") : line.index("]")].replace("L", "") for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line}
     assert {tuple(c.split("#")[0] for c in r[1:].split(",")) for r in read} == {("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")}
+
+
+def test_no_table_is_broadcast_for_its_small_file(spark):
+    """Parts and customers have small files for their rows; sent to every task, they would pass the driver whole."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(max(os.path.getsize(f"{SF}/{t}.parquet") for t in ("part", "customer"))))
+    try:
+        for name in ("article_match", "article_contents_match", "article_text_match"):
+            assert "BroadcastHashJoin" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
